@@ -69,13 +69,16 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> U64(32))) * U64(0xD6E8FEB86659FD93)
 
 
-def byte_grams(data: np.ndarray) -> np.ndarray:
-    """Hashes of all runs of 16 bytes, straight from the bytes as two numbers."""
-    n = len(data) - 15
-    if n < 1:
+def byte_grams(data: np.ndarray, doublings: int = 2) -> np.ndarray:
+    """Hashes of all runs of 16 bytes, doubled: 64 for two doublings, straight from the bytes as numbers."""
+    n = len(data) - 7
+    if n < 1 or len(data) < 16 << doublings:
         return np.zeros(0, U64)
-    eight = np.ndarray((n + 8,), np.dtype("<u8"), np.ascontiguousarray(data), strides=(1,)).astype(U64)
-    return scramble(scramble(eight[:n] * U64(0x9E3779B97F4A7C15)) + eight[8:] * U64(0xC2B2AE3D27D4EB4F))
+    out = np.ndarray((n,), np.dtype("<u8"), np.ascontiguousarray(data), strides=(1,)).astype(U64)
+    for d in range(doublings + 1):
+        reach = 8 << d
+        out = scramble(scramble(out[:-reach] * U64(0x9E3779B97F4A7C15)) + out[reach:] * U64(0xC2B2AE3D27D4EB4F))
+    return out
 
 
 def rolling(values: np.ndarray, width: int, seed: int = 0, base: int = BASE) -> np.ndarray:

@@ -30,9 +30,16 @@ HOT = 2000
 #: A shard ends at the first anchor after so many symbols.
 SHARD = 60_000
 
+#: Symbols compared in one task, or so.
+TASK = 2_000_000
+
 KEY = "id {id}, h long"
 
 
+def keyed_partitions(df: DataFrame) -> str:
+    return df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+
+
 def symbols(piece: Piece, unit: str) -> tuple[np.ndarray, np.ndarray]:
     """Symbol hashes of a piece and the documents' borders in them."""
     if unit == "words":
@@ -177,7 +184,9 @@ def repeated_spans(docs: DataFrame, unit: str, length: int, k: int, later_only:
     fetched = docs.join(wanted.withColumnsRenamed({"id": "wid", "h": "wh"}), F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh"))).select("id", "h", "text", "wanted")
     content = saved(fetched.mapInArrow(content_rows(unit, length), f"anchor long, hot boolean, {key}, lo long, content {'array<long>' if unit == 'words' else 'binary'}"), "content")
 
-    cold = content.filter("not hot").repartition("anchor").sortWithinPartitions("anchor", "id", "h", "lo")
+    # by number: the work of a task follows its symbols, which are few bytes to Spark's own sizing
+    n = max(int(keyed_partitions(docs)), -(-content.agg(F.coalesce(F.sum(F.size("content") if unit == "words" else F.length("content")), F.lit(0))).first()[0] // TASK))
+    cold = content.filter("not hot").repartition(n, "anchor").sortWithinPartitions("anchor", "id", "h", "lo")
     spans = spans.unionByName(cold.mapInArrow(compare, f"{key}, lo long, hi long"))
 
     windows = content.filter("hot").mapInArrow(window_rows(length), f"{key}, lo long, one long, two long").distinct()

@@ -19,8 +19,9 @@ from .packed import U64, covered, pieces, ranges, take
 from .repeats import content_values, once, repeated_spans, shards, with_spans
 
 LENGTH = 200
-ANCHOR = 16  #: bytes of packed.byte_grams
-SHALLOW = 64
+#: Bytes of an anchor, those of packed.byte_grams. Long enough that texts without a common passage rarely share one.
+ANCHOR = 64
+SHALLOW = 128
 STEP = 8
 SHARD_BYTES = 1_000_000
 
