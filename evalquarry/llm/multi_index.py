@@ -14,7 +14,8 @@ from .shared import saved
 
 BITS = 64
 PARTS = 4
-RADIUS = 29
+#: Share of a sample's true neighbours that the Hamming radius must hold; the radius is learned so.
+RECALL = 0.97
 #: Vectors that the rotation is learned from, at most: those of least hash.
 SAMPLE = 10_000
 #: Vectors indexed by one task, and queries broadcast at a time.
@@ -57,6 +58,24 @@ def learn(x: np.ndarray, norm: float, bits: int = BITS, rounds: int = 15) -> Rot
     return Rotation(centre, axes @ turn, norm)
 
 
+def learn_radius(rotation: Rotation, x: np.ndarray, k: int, total: int, recall: float = RECALL, asked: int = 300) -> int:
+    """The radius that holds a share of the true neighbours among sampled vectors.
+
+    Of a sample of n in ``total`` vectors the nearest k n / total are what the k
+    nearest of all are; for a small sample of very many at least the first one is
+    taken, which is farther, so the radius errs to the wide side.
+    """
+    if len(x) < 2:
+        return BITS
+    q = np.arange(0, len(x), max(1, len(x) // asked))
+    near = min(len(x) - 1, max(1, -(-k * len(x) // total)))
+    scores = x[q] @ x.T
+    scores[np.arange(len(q)), q] = -np.inf
+    at = np.argpartition(-scores, near - 1, axis=1)[:, :near]
+    apart = np.bitwise_count(rotation.codes(x[q], query=True)[:, None] ^ rotation.codes(x)[at])
+    return int(np.ceil(np.quantile(apart, recall)))
+
+
 def balls(width: int, radius: int) -> np.ndarray:
     """All numbers of ``width`` bits with at most ``radius`` ones."""
     n = np.arange(1 << width, dtype=np.uint32)
@@ -70,7 +89,7 @@ class MultiIndex:
     in radius // parts bits at most: the buckets of those values hold them all.
     """
 
-    def __init__(self, codes: np.ndarray, parts: int = PARTS, radius: int = RADIUS) -> None:
+    def __init__(self, codes: np.ndarray, parts: int = PARTS, radius: int = BITS) -> None:
         self.codes, self.parts, self.radius, self.width = codes, parts, radius, BITS // parts
         self.tables = []
         for p in range(parts):
@@ -140,7 +159,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0)
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, parts: int = PARTS, radius: int = RADIUS, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, parts: int = PARTS, radius: int | None = None, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest found of each query by inner product: query_id, rank, vec_id, score.
 
     queries: a condition on id_col that says which rows are queries; candidates are
@@ -149,7 +168,8 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     non-finite components take no part, nor do null ids or vectors whose length is not
     the most frequent one. Equal vectors are indexed once with their k + 1 least ids, which is all
     that a list of k can show, so copies form no hot bucket. Repeated rows of one id
-    count once. With no usable vector the result is empty.
+    count once. With no usable vector the result is empty. The Hamming radius is
+    learned to hold RECALL of a sample's neighbours unless it is given.
     """
     spark = vectors.sparkSession
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).filter(F.col("id").isNotNull())
@@ -167,7 +187,9 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     distinct = saved(distinct, "vectors")
     size, norm = distinct.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)))).first()
     sample = distinct.select("vector").orderBy(F.xxhash64("vector"), F.col("ids")[0]).limit(SAMPLE).toArrow()
-    rotation = learn(matrix(sample["vector"].combine_chunks(), dim), norm)
+    known = matrix(sample["vector"].combine_chunks(), dim)
+    rotation = learn(known, norm)
+    radius = learn_radius(rotation, known, k, size) if radius is None else radius
     index = distinct.repartition(max(1, -(-size // index_block)))
 
     asked = given.filter(queries(F.col("id")) if callable(queries) else queries)
