@@ -50,7 +50,7 @@ def read_stems(spark: SparkSession, glob: str, schema: T.StructType | str) -> Da
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     """path, size, sha256 and lines of every file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    text = F.decode("content", F.lit("ISO-8859-1"))
+    text = F.decode("content", "ISO-8859-1")
     lines = F.when(F.col("path").endswith(".jsonl"), F.regexp_count(text, F.lit(r"(?m)^[^\S\n]*\S")))
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), lines.cast("long").alias("records"))
 

@@ -134,7 +134,7 @@ def test_motion(spark):
     assert one(spark, G.free_space(s, wall, F.lit(180.0), bounds)) == pytest.approx(19)
     assert one(spark, G.translation_capacity(s, wall, F.lit(0.0), bounds)) == 5.75
     assert one(spark, G.translation_capacity(s, wall, F.lit(90.0), bounds)) == 19
-    assert one(spark, G.rotation_capacity(s, F.array(poly(square(2.3, 0, 1))), F.lit(1), bounds)) == 15
+    assert one(spark, G.rotation_capacity(s, F.array(poly(square(2.3, 0, 1))), F.lit(1), bounds)) == 20
     assert one(spark, G.rotation_capacity(s, F.array(poly(square(5, 0, 1))), F.lit(-1), bounds)) == 180
 
 

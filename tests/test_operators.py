@@ -211,5 +211,5 @@ def test_queries_run(spark, name):
 
 
 def test_known_answer(spark):
-    got = {r.event_type: (r.paired_n, r.gained, r.lost, round(r.p_value, 6)) for r in catalog.QUERIES["mcnemar_exact"](spark, "/root/testdata/sf0.01").collect()}
+    got = {r.event_type: (r.paired_n, r.lost, r.gained, round(r.p_value, 6)) for r in catalog.QUERIES["mcnemar_exact"](spark, "/root/testdata/sf0.01").collect()}
     assert got == {"click": (599, 73, 79, 0.685209), "error": (569, 68, 70, 0.932202), "purchase": (557, 73, 58, 0.221116), "signup": (588, 71, 70, 1.0)}
