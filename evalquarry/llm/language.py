@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packed import LOWER, SPACED, U64, lists, pieces, scramble, take
-from .shared import saved
+from .shared import hot_join, saved
 
 #: n-grams of three bytes are hashed into 2 ** BITS buckets.
 BITS = 15
@@ -111,10 +111,14 @@ def host(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
+def level_sums(rows: DataFrame, level: str, n: int, name: str) -> DataFrame:
+    """For each value of a level its pages and the sums of their text posteriors."""
+    return rows.filter(F.col(level).isNotNull()).groupBy(level).agg(F.array(*(F.sum(F.col("soft")[i]) for i in range(n))).alias(name), F.count("*").alias("_n"))
+
+
 def smoothed(rows: DataFrame, level: str, n: int, above: Column, lean: float) -> DataFrame:
     """rows with the prior of a level: its counts of the other pages leaning on the level above."""
-    sums = rows.filter(F.col(level).isNotNull()).groupBy(F.col(level).alias("_key")).agg(F.array(*(F.sum(F.col("soft")[i]) for i in range(n))).alias("_sums"))
-    joined = rows.join(sums, F.col(level) == F.col("_key"), "left").drop("_key")
+    joined = hot_join(rows, level_sums(rows, level, n, "_sums"), [level], "_n", ["id", "url"], "left")
     zero = F.array(*(F.lit(0.0) for _ in range(n)))
     others = F.zip_with(F.coalesce("_sums", zero), F.when(F.col(level).isNotNull(), F.col("soft")).otherwise(zero), lambda s, own: F.greatest(s - own, F.lit(0.0)))
     total = F.aggregate(others, F.lit(0.0), lambda a, x: a + x)
@@ -157,10 +161,9 @@ def identify(pages: DataFrame, texts: DataFrame, id_col: str = "page_id", url_co
         out = smoothed(out, level, n, F.col("prior"), lean)
     logs = [F.col("text_log"), F.transform("prior", lambda p: F.log(p))]
     for what in ("declared", "segment"):
-        sums = rows.filter(F.col(what).isNotNull()).groupBy(F.col(what).alias("_v")).agg(F.array(*(F.sum(F.col("soft")[i]) for i in range(n))).alias(f"_{what}"))
         every = rows.filter(F.col(what).isNotNull()).agg(F.array(*(F.sum(F.col("soft")[i]) for i in range(n))).alias("s"), F.count_distinct(what).alias("k")).first()
         norm, kinds = [x or 0.0 for x in every["s"] or [0.0] * n], every["k"]
-        out = out.join(sums, F.col(what) == F.col("_v"), "left").drop("_v")
+        out = hot_join(out, level_sums(rows, what, n, f"_{what}"), [what], "_n", ["id", "url"], "left")
         # P(value | language), with the page's own share left out
         value = F.array(*(F.log((F.greatest(F.col(f"_{what}")[i] - F.col("soft")[i], F.lit(0.0)) + SMOOTH) / F.lit(norm[i] + SMOOTH * (kinds + 1))) for i in range(n)))
         logs.append(F.when(F.col(what).isNotNull(), value).otherwise(F.array(*(F.lit(0.0) for _ in range(n)))))

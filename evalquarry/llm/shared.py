@@ -49,3 +49,25 @@ def unpacked_rest(docs: DataFrame, *used: str) -> list[Column]:
 def schema_of(df: DataFrame, names: list[str], more: str) -> T.StructType:
     """The schema of some columns of df, and more columns."""
     return T.StructType([df.schema[n] for n in names] + T._parse_datatype_string(more).fields)
+
+
+#: A key is hot if it has more than one in so many of all rows: there are fewer such keys than this.
+HOT_SHARE = 1000
+SALTS = 64
+
+
+def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with a table that has one row and a number of rows (``weight``) for each key.
+
+    Keys of more than a HOT_SHARE-th of all rows are spread over SALTS: fewer than
+    HOT_SHARE keys can be hot, whatever the size of the data, so their list may be
+    broadcast. ``spread`` names columns of rows that tell a hot key's rows apart.
+    keyed should be a written table; it is read three times.
+    """
+    total = keyed.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    hot = F.broadcast(keyed.filter(F.col(weight) * HOT_SHARE > total).select(*on, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
+    right = keyed.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot", weight)
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
