@@ -81,7 +81,7 @@ def likelihood(held: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 doc, bucket = grams(piece.data, piece.bounds)
                 docs = len(piece.rows)
                 n = np.bincount(doc, minlength=docs)
-                sums = np.column_stack([np.bincount(doc, column[bucket], docs) for column in logs.T]) if logs.shape[1] else np.zeros((docs, 0))
+                sums = np.column_stack([np.bincount(doc, column[bucket], docs).astype(float) for column in logs.T]) if logs.shape[1] else np.zeros((docs, 0))
                 sums *= (np.minimum(n, GRAMS) / np.maximum(n, 1))[:, None]
                 sums -= sums.max(axis=1, keepdims=True, initial=-np.inf) if logs.shape[1] else 0
                 kept = [batch.column(c).slice(piece.rows.start, docs) for c in ("id", "url", "declared")]
