@@ -192,3 +192,31 @@ def test_rectangles(spark):
     assert one(spark, G.contact(r, F.lit(-1.0), F.lit(0.0), o, 0.1)) is None
     assert one(spark, G.contact(r, F.lit(0.0), F.lit(1.0), o, 0.1)) is None
     assert one(spark, G.overlap(r, G.moved(r, F.lit(0.5), F.lit(0.25)))) == pytest.approx(0.375)
+
+
+def broken(spark, rules):
+    return one(spark, B.violations(rules))
+
+
+def test_response_rules(spark):
+    from evalquarry.functions import rules as R
+
+    see, t = lit([10, 20, 30]), F.lit(20)
+    none, text = F.lit(None).cast("bigint"), lambda s: F.lit(s)
+    assert broken(spark, R.visibility_rules(F.lit(False), text("FULL"))) == ["not found but visible"]
+    assert broken(spark, R.visibility_rules(F.lit(True), text("NOT_VISIBLE"))) == ["found but not visible"]
+    assert broken(spark, R.ordered_assessment_rules(lit([30, 10]), lit([True, False], "boolean"), lit([30, 20, 10]), t, t)) == []
+    assert broken(spark, R.ordered_assessment_rules(lit([10, 30]), lit([True, None], "boolean"), lit([30, 20, 10]), t, F.lit(1))) == ["names another target", "objects out of order, missing or extra", "a flag is no Boolean"]
+    fine = ["INTERFERES", "TARGET", "DOES_NOT_INTERFERE"]
+    assert broken(spark, R.relation_rules(lit([10, 20, 30]), lit(fine, "string"), see, t, t)) == []
+    assert broken(spark, R.relation_rules(lit([20, 10, 30]), lit(fine, "string"), see, t, t)) == ["not ascending", "the target has another relation", "another object's relation"]
+    assert broken(spark, R.blocker_rules(text("NONE"), none, see, t)) == []
+    assert broken(spark, R.blocker_rules(text("NONE"), F.lit(20), see, t)) == ["no reason but a blocker", "chosen object is the target"]
+    assert broken(spark, R.blocker_rules(text("FRONT"), none, see, t)) == ["a reason but no blocker"]
+    assert broken(spark, R.blocker_set_rules(text("FRONT"), lit([10, 30]), see, t)) == []
+    assert broken(spark, R.blocker_set_rules(text("NONE"), lit([30, 10, 10, 99]), see, t)) == ["a blocker twice", "blockers not ascending", "a blocker isn't visible", "no reason but blockers"]
+    act = lambda a, c, d=None, dl=None: R.action_rules(text(a), F.lit(c), see, t, F.lit(d).cast("double"), F.lit(dl).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("string"))
+    assert broken(spark, act("RETRIEVE", 20)) == [] and broken(spark, act("RETRIEVE", 10)) == ["retrieves another object"]
+    assert broken(spark, act("TRANSLATE", 20, 4.0, "LONG")) == ["moves the target", "distance and its level differ"]
+    assert broken(spark, R.upstream_rules(text("RETRIEVE"), F.lit(20), t, text("FRONT"), F.lit(10))) == ["retrieves in spite of a blocker", "moves another object than the blocker"]
+    assert broken(spark, R.action_only_rules(text('{"action": "FLY", "x": 1}'), text("FLY"))) == ["other keys than action", "unknown action"]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalquarry.operators import audit, metrics, paired, ranking, scene, vectors
-from evalquarry.plans import catalog, evaluation, metric_queries, value_queries  # noqa: F401
+from evalquarry.plans import catalog, evaluation, linking_queries, metric_queries, value_queries  # noqa: F401
 from evalquarry.sources import io
 from evalquarry.streaming import log
 
