@@ -76,12 +76,6 @@ def learn_radius(rotation: Rotation, x: np.ndarray, k: int, total: int, recall:
     return int(np.ceil(np.quantile(apart, recall)))
 
 
-def balls(width: int, radius: int) -> np.ndarray:
-    """All numbers of ``width`` bits with at most ``radius`` ones."""
-    n = np.arange(1 << width, dtype=np.uint32)
-    return n[np.bitwise_count(n) <= radius]
-
-
 class MultiIndex:
     """Tables of code substrings of a block of vectors.
 
