@@ -11,7 +11,6 @@ from ..sources.io import matrix
 from .catalog import define, r6, table
 from .evaluation import condition_metrics, evaluate
 
-P9 = "CAST(printf('%.9g', {}) AS DOUBLE)"
 UNIT = "SELECT user_id, event_type, CAST(ts AS DATE) AS day, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(value, (ts, event_id)) > 100 AS correct FROM events GROUP BY ALL"
 #: The exact test in SQL: the same recurrence, as a sum over a list.
 BINOMIAL = "CASE WHEN {a} + {b} = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, CAST(least({a}, {b}) AS BIGINT) + 1), lambda k: exp(lgamma({a} + {b} + 1) - lgamma(k + 1) - lgamma({a} + {b} - k + 1) - ({a} + {b}) * ln(2))))) END"
