@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .packed import ALNUM, U64, Words, covered, pieces, prefix_sums, ranges, signed, span_hashes, take, words
-from .shared import packed_rest, schema_of, unpacked_rest
+from .shared import bounded_batches, packed_rest, schema_of, unpacked_rest
 
 WINDOW = 10
 #: Benchmarks of at most so many bytes of text are broadcast; larger ones are joined.
@@ -124,6 +124,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``broadcast_bytes``; a larger one meets the documents' windows in a join.
     """
     spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     own = (id_col, text_col, *NEW)
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), packed_rest(docs, *own))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text"))

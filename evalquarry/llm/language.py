@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packed import LOWER, SPACED, U64, lists, pieces, scramble, take
-from .shared import hot_join, saved
+from .shared import bounded_batches, hot_join, saved
 
 #: n-grams of three bytes are hashed into 2 ** BITS buckets.
 BITS = 15
@@ -138,6 +138,7 @@ def identify(pages: DataFrame, texts: DataFrame, id_col: str = "page_id", url_co
     Repeated rows each count and get their row. Without any labelled text, language
     and probability are null. Other columns play no part.
     """
+    bounded_batches(pages.sparkSession)
     model = fit(texts, text_col, lang_col)
     langs, n = model[0], len(model[0])
     kind = pages.schema[id_col].dataType.simpleString()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .bagminhash import REGISTERS, band_keys, signatures
 from .components import components
 from .packed import SPACED, U64, mix, pieces, prefix_sums, span_hashes, take, words
-from .shared import saved
+from .shared import bounded_batches, saved
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -163,6 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal id and text are all marked). Empty and null texts are classes of their
     own. A null id counts as the smallest. Other columns play no part.
     """
+    bounded_batches(docs.sparkSession)
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     kind = keyed.schema["id"].dataType.simpleString()
     signed = saved(keyed.mapInArrow(sign(shingle, bands, registers), f"id {kind}, h long, node binary, n long, bands array<long>"), "signatures")

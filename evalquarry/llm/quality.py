@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .labelled import SAMPLE, held_out, sample
 from .packed import SPACED, U64, byte_table, lists, mix, pieces, take, words
-from .shared import saved
+from .shared import bounded_batches, saved
 from .trees import Forest, train
 
 CLASSES = {
@@ -115,6 +115,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     each get their row; without labels of both kinds every score is the labels'
     share (0.5 without any). Other columns play no part.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     features = saved(keyed.mapInArrow(statistics, f"id {kind}, features array<double>"), "statistics")
@@ -125,6 +126,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without those whose score is below ``least``, in one pass once the forest is fitted."""
+    bounded_batches(docs.sparkSession)
     chosen = sample(labels, "quality").select(F.col("id"), F.col("label"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     marked = docs.select(F.col("doc_id").alias("id"), "text").join(chosen.select("id"), "id", "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN["dir"]
 
 
+#: Bytes of an Arrow batch, at most, between Spark and Python.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Limit the session's Arrow batches to BATCH_BYTES: rows are whole texts, so a number of rows bounds no memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not re.fullmatch(r"\d+b?", now := spark.conf.get(key)) or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the session's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
 from .packed import LOWER, SPACED, U64, lists, pieces, ranges, scramble, take
+from .shared import bounded_batches
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 10_000
@@ -153,6 +154,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     null and empty ones have the score of no n-grams. Repeated documents each get
     their row; without labels of both kinds every score is the labels' share.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(fit(keyed, labels, label_col, rows))

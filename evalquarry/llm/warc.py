@@ -15,6 +15,8 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 CHUNK = 1 << 16
 #: Payloads of fewer bytes are stored however often they occur.
 LEAST = 1000
@@ -171,6 +173,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     of one id and payload are responses or revisits alike. Other columns play no
     part. Equality is SHA-256's over narrow rows; html is shuffled once, by id.
     """
+    bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.col(html_col), F.lit(""))
     narrow = pages.select(F.col(id_col).alias("id"), F.sha2(payload, 256).alias("same"), F.octet_length(payload).alias("size")).filter((F.col("size") >= least) & F.col("id").isNotNull())
     last = narrow.groupBy("same").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
