@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .packed import BYTE_VALUES, SPACED, U64, Piece, byte_grams, lists, mix, pieces, ranges, rolling, signed, words
 from .segments import segments
-from .shared import saved
+from .shared import bounded_batches, hot_join, saved
 
 #: An anchor with more different segments than this is compared by window, not in a shard.
 HOT = 2000
@@ -164,16 +164,17 @@ def repeated_spans(docs: DataFrame, unit: str, length: int, k: int, later_only:
     the first of equal windows (by id, then h, then place) isn't reported.
     compare: mapInArrow function from sorted content rows to spans.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["id"].dataType.simpleString()
     key = KEY.format(id=kind)
     found = docs.mapInArrow(segment_rows(unit, length, k), f"{key}, lo long, n int, anchor long, body long")
-    often = found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1").select("anchor")
-    seen = saved(found.join(often, "anchor"), "segments")
+    often = saved(found.groupBy("anchor").agg(F.count("*").alias("c")).filter("c > 1"), "anchors")
+    seen = saved(hot_join(found, often, ["anchor"], "c", ["id", "lo"]), "segments")
 
     place = F.struct("id", "h", "lo")
     distinct = seen.groupBy("anchor", "body").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"))
-    copied = distinct.filter("copies > 1").select("anchor", "body", "first")
-    spans = seen.join(copied, ["anchor", "body"])
+    copied = saved(distinct.filter("copies > 1").select("anchor", "body", "first", "copies"), "copies")
+    spans = hot_join(seen, copied, ["anchor", "body"], "copies", ["id", "lo"])
     if later_only:
         spans = spans.filter(~place.eqNullSafe(F.col("first")))
     spans = spans.select("id", "h", "lo", (F.col("lo") + F.col("n") + (length - 1)).alias("hi"))
@@ -190,8 +191,8 @@ def repeated_spans(docs: DataFrame, unit: str, length: int, k: int, later_only:
     spans = spans.unionByName(cold.mapInArrow(compare, f"{key}, lo long, hi long"))
 
     windows = content.filter("hot").mapInArrow(window_rows(length), f"{key}, lo long, one long, two long").distinct()
-    least = windows.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    hot = windows.join(least, ["one", "two"])
+    least = saved(windows.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1"), "windows")
+    hot = hot_join(windows, least, ["one", "two"], "c", ["id", "lo"])
     if later_only:
         hot = hot.filter(~place.eqNullSafe(F.col("first")))
     return spans.unionByName(hot.select("id", "h", "lo", (F.col("lo") + length).alias("hi")))
