@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import hot_join, saved
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
+#: Plans of at most so many bytes are broadcast; larger ones meet the documents in a salted join.
+BROADCAST_BYTES = 8 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -21,6 +25,11 @@ def uniform(seed: int, *of: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
 
 
+def key_of(source: Column) -> Column:
+    """The source as a key that is never null: null is a source like others."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """Each source's target from its size: (source, source_size, target).
 
@@ -47,7 +56,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return out.select("source", "source_size", F.when(F.col("opened"), F.col("level") * F.col("weight")).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = 17, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix takes the document).
 
     A source's rate is its target over its size; a document is taken floor(rate)
@@ -55,16 +64,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     id and text, so reruns agree. copies is at most ``most``. A null or wordless text
     has size 0 and its source's rate; a source of no words has target 0 and copies
     0. Equal rows share their draw. docs' columns stay; those named like new ones
-    are replaced.
+    are replaced. The plan has a row for each source. It is written first, and
+    broadcast if it has at most ``broadcast_bytes``, so texts aren't shuffled; a
+    larger one is joined with the rows of large sources spread over salts.
     """
     new = ["size", "source_size", "target", "copies"]
     sized = docs.drop(*(c for c in new if c in docs.columns and c not in (id_col, text_col, source_col))).withColumn("size", word_count(F.col(text_col)))
-    sizes = sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
-    plan = targets(sizes, weights, share, most).withColumnRenamed("source", "_source")
+    sources = saved(sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
+    plan = targets(sources.drop("n"), weights, share, most)
+    rows = sized.select(F.struct("*").alias("row"), key_of(F.col(source_col)).alias("key"), uniform(seed, F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("draw"))
+    plan = plan.select(key_of(F.col("source")).alias("key"), "source_size", "target")
+    if sources.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)) + 32), F.lit(0))).first()[0] <= broadcast_bytes:
+        out = rows.join(F.broadcast(plan), "key", "left")
+    else:
+        counted = saved(plan.join(sources.select(key_of(F.col("source")).alias("key"), "n"), "key"), "plan")
+        out = hot_join(rows.withColumn("id", F.col(f"row.`{id_col}`")), counted, ["key"], "n", ["id", "draw"], "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = F.floor(rate) + (uniform(seed, F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")))) < rate - F.floor(rate)).cast("long")
-    out = sized.join(plan, F.col(source_col).eqNullSafe(F.col("_source")), "left").drop("_source")
-    return out.withColumn("copies", copies)
+    copies = F.floor(rate) + (F.col("draw") < rate - F.floor(rate)).cast("long")
+    return out.select("row.*", "source_size", "target", copies.alias("copies"))
 
 
 def emit(mixed: DataFrame) -> DataFrame:

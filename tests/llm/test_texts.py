@@ -203,3 +203,8 @@ def test_mix_of_awkward_tables(spark):
     assert mix(documents(spark, [])).count() == 0
     empty = mix(documents(spark, [(1, None, None, None, None), (2, "", None, "a", 0)])).collect()
     assert [(r.target, r.copies) for r in empty] == [(0.0, 0), (0.0, 0)]
+
+
+def test_mix_beyond_the_broadcast_bound(spark):
+    docs = clashing(documents(spark))
+    assert Counter(mix(docs).collect()) == Counter(mix(docs, broadcast_bytes=0).collect())
