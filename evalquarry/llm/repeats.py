@@ -129,14 +129,13 @@ def shards(batches: Iterator[pa.RecordBatch], size: int = SHARD) -> Iterator[pa.
         _, bounds = content_values(batch.column("content")) if len(batch) else (None, np.zeros(1, np.int64))
         at = 0
         last = np.asarray(held[-1].column("anchor"))[-1] if held else None
-        for to in [0, *borders] if len(batch) else []:
-            if symbols_held >= size and (to > at or (to == 0 and anchors[0] != last)):
+        for to in borders if len(batch) else []:
+            if symbols_held >= size and (at > 0 or anchors[0] != last):  # a batch may begin inside the anchor that is held
                 yield pa.Table.from_batches(held)
                 held, symbols_held = [], 0
-            if to > at:
-                held.append(batch.slice(at, to - at))
-                symbols_held += int(bounds[to] - bounds[at])
-                at = to
+            held.append(batch.slice(at, to - at))
+            symbols_held += int(bounds[to] - bounds[at])
+            at = to
     if held:
         yield pa.Table.from_batches(held)
 

@@ -3,9 +3,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 
 from evalquarry.llm import bagminhash, near_dedup, repeats, substring_dedup, suffix_dedup
 from evalquarry.llm.automaton import SuffixAutomaton
@@ -82,6 +84,38 @@ def test_suffixes_beyond_the_hot_bound(spark, monkeypatch):
     check_suffixes(spark, small(awkward()))
 
 
+@pytest.fixture
+def tiny_shards(spark, monkeypatch):
+    """Workers get the modules by value, with a shard after each anchor and Arrow batches that cut anchors."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    monkeypatch.setattr(repeats.shards, "__defaults__", (1,))
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 1)
+    for module in (repeats, substring_dedup, suffix_dedup):
+        cloudpickle.register_pickle_by_value(module)
+    yield lambda n: spark.conf.set(key, n)
+    for module in (repeats, substring_dedup, suffix_dedup):
+        cloudpickle.unregister_pickle_by_value(module)
+    spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("records", [1, 3])
+def test_anchors_that_batches_cut_stay_whole(spark, tiny_shards, records):
+    tiny_shards(records)
+    check_substrings(spark, awkward())
+    check_suffixes(spark, small(awkward()))
+
+
+@pytest.mark.parametrize("records", [1, 2, 3, 50])
+def test_shards_are_whole_anchors(records):
+    table = pa.table({"anchor": [1, 1, 1, 2, 3, 3, 3, 3, 4, 5, 5], "content": pa.array([b"xy"] * 11, pa.binary())})
+    for size in (1, 3, 5, 100):
+        got = [t["anchor"].to_pylist() for t in repeats.shards(iter(table.to_batches(max_chunksize=records)), size)]
+        assert sum(got, []) == table["anchor"].to_pylist()
+        assert all(a[-1] != b[0] for a, b in zip(got, got[1:], strict=False))
+        assert all(2 * len(a) >= size for a in got[:-1])
+
+
 @pytest.mark.parametrize("operator", [substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, near_dedup.near_duplicates])
 def test_empty_tables_and_clashing_names(spark, operator):
     assert operator(documents(spark, [])).count() == 0
