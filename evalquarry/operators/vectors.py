@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Labels whose sums a task holds at once.
+MOST = 256
+#: Vectors in a block of the comparison of all with all.
+NEAR_BLOCK = 8192
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -30,10 +35,10 @@ def centred(df: DataFrame, vector: str, dim: int, by: Sequence[str] = ()) -> Dat
     return joined.withColumn(vector, F.zip_with(vector, "_mean", lambda x, m: x - m)).drop("_mean")
 
 
-def cosine_pairs(df: DataFrame, key: str, vector: str, extra: Sequence[str] = (), clip: bool = True, by: Sequence[str] = ()) -> DataFrame:
-    """All pairs i < j of a (small, stated) set of vectors within each group, with their cosine in double precision."""
+def cosine_pairs(df: DataFrame, key: str, vector: str, extra: Sequence[str] = (), clip: bool = True, by: Sequence[str] = (), asked: Column | None = None) -> DataFrame:
+    """All pairs i < j of vectors within each group, with their cosine in double precision; with ``asked``, those whose i meets it."""
     u = df.select(*by, F.col(key), *extra, unit(F.col(vector)).alias("_u"))
-    a = u.select(*by, *(F.col(c).alias(f"{c}_i") for c in (key, *extra)), F.col("_u").alias("_a"))
+    a = (u if asked is None else u.filter(asked)).select(*by, *(F.col(c).alias(f"{c}_i") for c in (key, *extra)), F.col("_u").alias("_a"))
     b = u.select(*(F.col(c).alias(f"_{c}") for c in by), *(F.col(c).alias(f"{c}_j") for c in (key, *extra)), F.col("_u").alias("_b"))
     on = F.col(f"{key}_i") < F.col(f"{key}_j")
     for c in by:
@@ -62,6 +67,113 @@ def neighbour_agreement(pairs: DataFrame, key: str, label: str) -> DataFrame:
     return top.groupBy(F.col("l").alias(label)).agg(F.count("*").alias("n"), F.count_if(F.col("nearest") == F.col("l")).alias("agree"))
 
 
+def group_sums(df: DataFrame, vector: str, label: str, dim: int, squares: bool = True) -> DataFrame:
+    """Sums of unit vectors by label, from which means and sds of all pair cosines follow without pairs: label, kind, pos, v.
+
+    Kinds: n (the count), s (the sum of the vectors) and, with squares, m (that of their outer
+    products, row by row). Null vectors take no part. A task adds up its rows, holding MOST labels.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        sums: dict = {}
+
+        def flushed():
+            for g, (n, total, square) in sums.items():
+                v = np.concatenate([[n], total, square.ravel() if squares else []])
+                kind = ["n"] + ["s"] * dim + ["m"] * (len(v) - 1 - dim)
+                pos = np.concatenate([[0], np.arange(dim), np.arange(len(v) - 1 - dim)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(v), kinds), pa.array(kind), pa.array(pos), pa.array(v)], names=[label, "kind", "pos", "v"])
+            sums.clear()
+
+        for batch in batches:
+            kinds = batch.schema.field(label).type
+            x = np.asarray(batch.column("_u").flatten()).reshape(len(batch), -1)
+            groups = batch.column(label).dictionary_encode()
+            at = np.asarray(groups.indices.fill_null(-1))
+            for i in np.unique(at):
+                part = x[at == i]
+                g = None if i < 0 else groups.dictionary[int(i)].as_py()
+                n, total, square = sums.get(g, (0, 0.0, 0.0))
+                sums[g] = (n + len(part), total + part.sum(axis=0), square + part.T @ part if squares else 0.0)
+            if len(sums) > MOST:
+                yield from flushed()
+        yield from flushed()
+
+    units = df.filter(F.col(vector).isNotNull()).select(label, unit(F.col(vector)).alias("_u"))
+    parts = units.mapInArrow(run, f"`{label}` {df.schema[label].dataType.simpleString()}, kind string, pos int, v double")
+    return parts.groupBy(label, "kind", "pos").agg(F.sum("v").alias("v"))
+
+
+def all_pairs_gap(df: DataFrame, vector: str, label: str, dim: int) -> DataFrame:
+    """What pair_gap gives over all pairs of df with two labels that aren't null, in time linear in the rows.
+
+    A sum over ordered pairs of cosines (or of their squares) is the squared length of a sum
+    of vectors (of outer products), which holds each vector's pair with itself, 1, too.
+    """
+    each = group_sums(df.filter(F.col(label).isNotNull()), vector, label, dim)
+    own = each.groupBy("kind").agg(F.sum(F.col("v") * F.col("v")).alias("own"), F.sum("v").alias("total"))
+    every = each.groupBy("kind", "pos").agg(F.sum("v").alias("v")).groupBy("kind").agg(F.sum(F.col("v") * F.col("v")).alias("every"))
+    get = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    n = F.coalesce(get("n", "total"), F.lit(0.0))
+    # sums over ordered pairs: of 1, of the cosine and of its square
+    within = {k: F.coalesce(get(k, "own"), F.lit(0.0)) - n for k in "nsm"}
+    between = {k: F.coalesce(get(k, "every") - get(k, "own"), F.lit(0.0)) for k in "nsm"}
+    sums = own.join(every, "kind").agg(*(f[k].alias(f"{name}{k}") for name, f in (("w", within), ("b", between)) for k in "nsm"))
+    mean = lambda name, k: F.try_divide(F.col(f"{name}{k}"), F.col(f"{name}n"))
+    sd = lambda name: F.sqrt(F.greatest(mean(name, "m") - mean(name, "s") * mean(name, "s"), F.when(mean(name, "s").isNotNull(), 0.0)))
+    out = sums.select(
+        F.round(F.col("wn") / 2).cast("bigint").alias("within_n"), F.round(F.col("bn") / 2).cast("bigint").alias("between_n"), mean("w", "s").alias("within"), mean("b", "s").alias("between"),
+        sd("w").alias("within_sd"), sd("b").alias("between_sd"),
+    )
+    return out.withColumn("gap", F.col("within") - F.col("between"))
+
+
+def group_means(df: DataFrame, vector: str, label: str, dim: int) -> DataFrame:
+    """Mean cosine of all pairs of different rows between any two labels, both orders: label_i, label_j, cosine (null for a label of one row with itself)."""
+    each = group_sums(df, vector, label, dim, squares=False)
+    wide = each.groupBy(label).agg(F.max(F.when(F.col("kind") == "n", F.col("v"))).alias("n"), F.array_sort(F.collect_list(F.when(F.col("kind") == "s", F.struct("pos", "v")))).alias("s"))
+    wide = wide.withColumn("s", F.col("s.v"))
+    a, b = (wide.select(F.col(label).alias(f"{label}_{x}"), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}")) for x in "ij")
+    same = F.when(F.col(f"{label}_i").eqNullSafe(F.col(f"{label}_j")), F.col("n_i")).otherwise(0.0)
+    return a.crossJoin(b).select(f"{label}_i", f"{label}_j", F.try_divide(dot(F.col("s_i"), F.col("s_j")) - same, F.col("n_i") * F.col("n_j") - same).alias("cosine"))
+
+
+def nearest_agreement(df: DataFrame, key: str, vector: str, label: str, block: int = NEAR_BLOCK) -> DataFrame:
+    """What neighbour_agreement gives over all pairs of df, compared block by block: every row against every other one.
+
+    Time is quadratic, memory a block's. Cosines are equal if they are to 12 digits. Null vectors take no part.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    units = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(label).alias("l"), unit(F.col(vector)).alias("_u"))
+    blocks = max(1, -(-units.count() // block))
+    dealt = units.withColumn("_b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked, held = dealt.withColumnRenamed("_b", "q").withColumn("c", others), dealt.withColumnRenamed("_b", "c").withColumn("q", others)
+
+    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+        two = two.sort_by("k")  # the first maximum is the least key's
+        x, y = (np.asarray(t["_u"].combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (one, two))
+        keys, names = np.asarray(one["k"]), np.asarray(two["k"])
+        best, at = np.full(len(x), -np.inf), np.zeros(len(x), np.int64)
+        for a in range(0, len(x) if len(y) else 0, 512):
+            cos = np.round(x[a : a + 512] @ y.T, 12)
+            cos[keys[a : a + 512, None] == names] = -np.inf
+            at[a : a + 512] = cos.argmax(axis=1)
+            best[a : a + 512] = cos[np.arange(len(cos)), at[a : a + 512]]
+        rows = np.flatnonzero(best > -np.inf)
+        found = two.take(pa.array(at[rows]))
+        return pa.table([one["k"].take(pa.array(rows)), one["l"].take(pa.array(rows)), found["k"], found["l"], pa.array(best[rows])], names=["k", "l", "ok", "ol", "cosine"])
+
+    kind = df.schema[label].dataType.simpleString()
+    near = asked.groupBy("q", "c").cogroup(held.groupBy("q", "c")).applyInArrow(compare, f"k long, l {kind}, ok long, ol {kind}, cosine double")
+    top = near.groupBy("k", "l").agg(F.max_by("ol", F.struct("cosine", (-F.col("ok")).alias("o"))).alias("nearest"))
+    return top.groupBy(F.col("l").alias(label)).agg(F.count("*").alias("n"), F.count_if(F.col("nearest") == F.col("l")).alias("agree"))
+
+
 def softmax(logits: Column) -> Column:
     top = F.array_max(logits)
     e = F.transform(logits, lambda x: F.exp(x - top))

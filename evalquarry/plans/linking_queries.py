@@ -9,7 +9,7 @@ from ..functions import arrays as A
 from ..operators import linking, metrics, scene, vectors
 from .catalog import define, r6, table
 from .metric_queries import UNIT, labelled, scored
-from .value_queries import BOX, PAIRS, boxes, shelf, small_pairs
+from .value_queries import BOX, PAIRS, boxes, shelf
 
 
 @define("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON replace(c_name, 'Customer#', 'v2_') = 'v2_' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')")
@@ -87,7 +87,7 @@ def conditioned_correct(spark: SparkSession, sf: str) -> DataFrame:
 
 @define(f'WITH p AS (SELECT li AS a, lj AS b, c FROM ({PAIRS}) UNION ALL SELECT lj, li, c FROM ({PAIRS})) SELECT a AS "group", ' + ", ".join(f"round(avg(c) FILTER (b = {d}), 6) AS with_{d}" for d in range(4)) + " FROM p GROUP BY a")
 def family_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    out = linking.mean_matrix(small_pairs(spark, sf), "label_i", "label_j", "cosine", range(4))
+    out = linking.mean_matrix(vectors.group_means(table(spark, sf, "embeddings"), "embedding", "label", 64), "label_i", "label_j", "cosine", range(4))
     return out.withColumns({f"with_{d}": r6(F.col(f"with_{d}")) for d in range(4)})
 
 
@@ -126,14 +126,15 @@ def micro_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 @define(f"SELECT i AS vec_id_i, j AS vec_id_j, round(c - d, 6) AS change FROM ({PAIRS}) JOIN (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) AS d FROM (SELECT vec_id, CAST(embedding[1:32] AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 60) a JOIN (SELECT vec_id, CAST(embedding[1:32] AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 60) b ON a.vec_id < b.vec_id) USING (i, j)")
 def matrix_difference(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").filter("vec_id < 60")
-    half = vectors.cosine_pairs(e.withColumn("embedding", F.slice("embedding", 1, 32)), "vec_id", "embedding").withColumnRenamed("cosine", "d")
-    return vectors.cosine_pairs(e, "vec_id", "embedding").join(half, ["vec_id_i", "vec_id_j"]).select("vec_id_i", "vec_id_j", r6(F.col("cosine") - F.col("d")).alias("change"))
+    """The stated first 60 vectors against all."""
+    e, asked = table(spark, sf, "embeddings"), F.col("vec_id") < 60
+    half = vectors.cosine_pairs(e.withColumn("embedding", F.slice("embedding", 1, 32)), "vec_id", "embedding", asked=asked).withColumnRenamed("cosine", "d")
+    return vectors.cosine_pairs(e, "vec_id", "embedding", asked=asked).join(half, ["vec_id_i", "vec_id_j"]).select("vec_id_i", "vec_id_j", r6(F.col("cosine") - F.col("d")).alias("change"))
 
 
 @define(f"WITH p AS (SELECT 1 AS layer, li, lj, c FROM ({PAIRS}) WHERE i < 60 AND j < 60 UNION ALL SELECT 2, li, lj, c FROM ({PAIRS}) WHERE i >= 60 AND i < 120 AND j >= 60 AND j < 120) SELECT layer, round(avg(c) FILTER (li = lj) - avg(c) FILTER (li <> lj), 6) AS gap FROM p GROUP BY layer")
 def layerwise_gap(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").filter("vec_id < 120").withColumn("layer", (F.floor(F.col("vec_id") / 60) + 1).cast("int"))
+    e = table(spark, sf, "embeddings").withColumn("layer", (F.floor(F.col("vec_id") / 60) + 1).cast("int"))
     pairs = vectors.cosine_pairs(e, "vec_id", "embedding", ["label"], by=["layer"])
     return vectors.pair_gap(pairs, F.col("label_i") == F.col("label_j"), by=["layer"]).select("layer", r6(F.col("gap")).alias("gap"))
 

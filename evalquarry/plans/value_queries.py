@@ -143,31 +143,29 @@ SMALL = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
 PAIRS = f"SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) AS c FROM ({SMALL}) a JOIN ({SMALL}) b ON a.vec_id < b.vec_id"
 
 
-def small_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of the stated first 200 vectors: a similarity matrix is quadratic, so its set is a parameter of the report."""
-    return vectors.cosine_pairs(table(spark, sf, "embeddings").filter("vec_id < 200"), "vec_id", "embedding", ["label"])
-
-
 @define(f"SELECT i AS vec_id_i, j AS vec_id_j, round(c, 6) AS cosine FROM ({PAIRS})")
 def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return small_pairs(spark, sf).select("vec_id_i", "vec_id_j", r6(F.col("cosine")).alias("cosine"))
+    """The stated first 200 vectors against all: a whole similarity matrix is quadratic, so its rows are a parameter of the report."""
+    pairs = vectors.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", asked=F.col("vec_id") < 200)
+    return pairs.select("vec_id_i", "vec_id_j", r6(F.col("cosine")).alias("cosine"))
 
 
 @define(f"SELECT count(*) FILTER (li = lj) AS within_n, count(*) FILTER (li <> lj) AS between_n, round(avg(c) FILTER (li = lj), 6) AS within, round(avg(c) FILTER (li <> lj), 6) AS between, round(stddev_pop(c) FILTER (li = lj), 6) AS within_sd, round(stddev_pop(c) FILTER (li <> lj), 6) AS between_sd, round(avg(c) FILTER (li = lj) - avg(c) FILTER (li <> lj), 6) AS gap FROM ({PAIRS})")
 def group_pair_gap(spark: SparkSession, sf: str) -> DataFrame:
-    out = vectors.pair_gap(small_pairs(spark, sf), F.col("label_i") == F.col("label_j"))
+    out = vectors.all_pairs_gap(table(spark, sf, "embeddings"), "embedding", "label", 64)
     return out.withColumns({c: r6(F.col(c)) for c in ("within", "between", "within_sd", "between_sd", "gap")})
 
 
 @define(f"WITH p AS (SELECT i AS k, li AS l, j AS o, lj AS ol, c FROM ({PAIRS}) UNION ALL SELECT j, lj, i, li, c FROM ({PAIRS})), t AS (SELECT k, l, arg_max(ol, (c, -o)) AS nearest FROM p GROUP BY k, l) SELECT l AS label, count(*) AS n, count(*) FILTER (nearest = l) AS agree FROM t GROUP BY l")
 def nn1_label_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.neighbour_agreement(small_pairs(spark, sf), "vec_id", "label")
+    return vectors.nearest_agreement(table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
 
 
 @define("WITH c AS (SELECT vec_id, list(x - m ORDER BY d) AS v FROM (SELECT vec_id, d, x, avg(x) OVER (PARTITION BY d) AS m FROM (SELECT vec_id, unnest(range(1, 65)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id < 100)) GROUP BY vec_id) SELECT a.vec_id AS vec_id_i, b.vec_id AS vec_id_j, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 6) AS cosine FROM c a JOIN c b ON a.vec_id < b.vec_id")
 def centered_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").filter("vec_id < 100").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    return vectors.cosine_pairs(vectors.centred(e, "embedding", 64), "vec_id", "embedding").withColumn("cosine", r6(F.col("cosine")))
+    """The stated first 100 vectors against all, all less the mean of all."""
+    e = table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return vectors.cosine_pairs(vectors.centred(e, "embedding", 64), "vec_id", "embedding", asked=F.col("vec_id") < 100).withColumn("cosine", r6(F.col("cosine")))
 
 
 L8 = "SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS l FROM embeddings"

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,61 @@ def test_vectors(spark):
     assert vectors.principal_axes(df, "v").count() == 3
 
 
+def all_cosines(spark):
+    """ids, labels and the matrix of all cosines of the smallest embeddings, in order of ids."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    return [r.vec_id for r in rows], np.array([r.label for r in rows]), x, u @ u.T
+
+
+def pairs_of(cos, ids, most):
+    return {(ids[i], ids[j]): cos[i, j] for i in range(len(ids)) for j in range(i + 1, len(ids)) if ids[i] < most}
+
+
+def test_gaps_and_families_are_of_all_vectors(spark):
+    _, label, _, cos = all_cosines(spark)
+    i, j = np.triu_indices(len(label), 1)
+    c, same = cos[i, j], label[i] == label[j]
+    got = value_queries.group_pair_gap(spark, SF).first()
+    assert (got.within_n, got.between_n) == (same.sum(), (~same).sum())
+    want = (c[same].mean(), c[~same].mean(), c[same].std(), c[~same].std(), c[same].mean() - c[~same].mean())
+    assert (got.within, got.between, got.within_sd, got.between_sd, got.gap) == pytest.approx(want, abs=2e-6)
+    family = {r.group: r for r in linking_queries.family_matrix(spark, SF).collect()}
+    assert set(family) == set(label)
+    for a in family:
+        for d in range(4):
+            both = np.outer(label == a, label == d) & ~np.eye(len(label), dtype=bool)
+            assert family[a][f"with_{d}"] == pytest.approx(cos[both].mean(), abs=2e-6)
+    layers = {r.layer: r.gap for r in linking_queries.layerwise_gap(spark, SF).collect()}
+    assert set(layers) == {k // 60 + 1 for k in range(len(label))}
+    for n, gap in layers.items():
+        here = (i // 60 + 1 == n) & (j // 60 + 1 == n)
+        assert gap == pytest.approx(c[here & same].mean() - c[here & ~same].mean(), abs=2e-6)
+
+
+def test_neighbours_and_matrices_reach_all_vectors(spark):
+    ids, label, x, cos = all_cosines(spark)
+    near = label[np.where(np.eye(len(ids), dtype=bool), -2, cos).argmax(axis=1)]
+    want = {k: ((label == k).sum(), ((label == k) & (near == k)).sum()) for k in set(label)}
+    assert {r.label: (r.n, r.agree) for r in value_queries.nn1_label_agreement(spark, SF).collect()} == want
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    assert {r.label: (r.n, r.agree) for r in vectors.nearest_agreement(e, "vec_id", "embedding", "label", block=100).collect()} == want
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    middle, half = unit(x - x.mean(axis=0)), unit(x[:, :32])
+    for query, most, c, name in ((value_queries.cosine_pairs, 200, cos, "cosine"), (value_queries.centered_cosine, 100, middle @ middle.T, "cosine"), (linking_queries.matrix_difference, 60, cos - half @ half.T, "change")):
+        assert {(r.vec_id_i, r.vec_id_j): r[name] for r in query(spark, SF).collect()} == pytest.approx(pairs_of(c, ids, most), abs=2e-6)
+
+
+def test_gaps_without_pairs(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0], "a"), (2, [3.0, 4.0], "a"), (3, [1.0, 0.0], None), (4, None, "b")], "k long, v array<double>, l string")
+    got = vectors.all_pairs_gap(df, "v", "l", 2).first()
+    assert (got.within_n, got.between_n, got.within, got.between) == (2 - 1, 0, pytest.approx(1), None)
+    assert got.within_sd == pytest.approx(0, abs=1e-6) and got.between_sd is None
+    assert vectors.all_pairs_gap(df.filter("false"), "v", "l", 2).first().within_n == 0
+    assert {(r.l, r.n, r.agree) for r in vectors.nearest_agreement(df, "k", "v", "l").collect()} == {("a", 2, 2), (None, 1, 0)}
+
+
 def test_losses(spark):
     logits = F.array(*map(F.lit, (1.0, 2.0, 0.5)))
     ok = F.array(F.lit(False), F.lit(True), F.lit(True))
