@@ -25,7 +25,7 @@ def ordered(spark: SparkSession, sf: str) -> DataFrame:
 
 @define("SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', ' ', 'g')) AS normal FROM documents WHERE lang = 'en'")
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", X.normalized(F.substring("text", 1, 200)).alias("normal"))
+    return table(spark, sf, "documents").select("doc_id", X.normalized(F.col("text")).alias("normal"))
 
 
 @define("SELECT doc_id, contains(t, ' the and ') OR contains(t, ' of that ') AS matches FROM (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS t FROM documents)")

@@ -1,6 +1,7 @@
 """DataFrame operators against known answers and plain Python."""
 
 import math
+import re
 from collections import Counter
 from datetime import datetime
 
@@ -147,6 +148,18 @@ def test_gaps_without_pairs(spark):
     assert {(r.l, r.n, r.agree) for r in vectors.nearest_agreement(df, "k", "v", "l").collect()} == {("a", 2, 2), (None, 1, 0)}
 
 
+def test_whole_texts_of_all_documents_are_normalised(spark, tmp_path):
+    text = "A, b! " * 60 + "Ünd das ENDE."
+    rows = [(1, text, "en"), (2, text, "de"), (3, "x\t-- Y", None), (4, None, "en"), (5, "", "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.normal for r in value_queries.normalize_text(spark, f"file://{tmp_path}").collect()}
+    whole = "a b " * 60 + "nd das ende"
+    assert got == {1: whole, 2: whole, 3: "x y", 4: None, 5: ""}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    want = {r.doc_id: None if r.text is None else re.sub("[^a-z0-9]+", " ", r.text.lower()).strip() for r in docs}
+    assert {r.doc_id: r.normal for r in value_queries.normalize_text(spark, SF).collect()} == want
+
+
 def test_losses(spark):
     logits = F.array(*map(F.lit, (1.0, 2.0, 0.5)))
     ok = F.array(F.lit(False), F.lit(True), F.lit(True))
