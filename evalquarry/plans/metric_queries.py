@@ -338,9 +338,8 @@ def exact_dup_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 @define("SELECT '{\"k0\":' || a || ',\"k1\":' || b || '}' AS key_json, count(*) AS n, list_sort(list(DISTINCT label)) AS splits FROM (SELECT CAST(floor(embedding[1] / 0.05) AS BIGINT) AS a, CAST(floor(embedding[2] / 0.05) AS BIGINT) AS b, label FROM embeddings) GROUP BY a, b HAVING count(DISTINCT label) > 1")
 def near_duplicate_quantized(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    cell = lambda i: F.floor(F.col("embedding")[i].cast("double") / 0.05)
-    return audit.quantized_duplicates(e, [cell(0), cell(1)], "label")
+    cells = F.transform("embedding", lambda x: F.floor(x.cast("double") / 0.05))
+    return audit.quantized_duplicates(table(spark, sf, "embeddings"), [cells], "label")
 
 
 @define("SELECT unnest(['price is positive', 'discount below tax']) AS invariant, unnest([count(*) FILTER (NOT coalesce(l_extendedprice > 0, false)), count(*) FILTER (NOT coalesce(l_discount < l_tax, false))]) AS broken FROM lineitem")

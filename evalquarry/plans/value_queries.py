@@ -173,14 +173,14 @@ L8 = "SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS l FROM embeddings"
 
 @define(f"SELECT vec_id, list_position(l, list_max(l)) - 1 AS choice, round(exp(list_max(l)) / list_sum(list_transform(l, lambda x: exp(x))), 6) AS p, round(ln(list_sum(list_transform(l, lambda x: exp(x)))), 6) AS total, round(ln(list_sum(list_transform(l, lambda x: exp(x)))) - l[1], 6) AS ce FROM ({L8})")
 def softmax_decode(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("l"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("l"))
     return e.select("vec_id", vectors.argmax(F.col("l")).cast("bigint").alias("choice"), r6(F.array_max(vectors.softmax(F.col("l")))).alias("p"), r6(vectors.logsumexp(F.col("l"))).alias("total"), r6(vectors.cross_entropy(F.col("l"), F.lit(0))).alias("ce"))
 
 
 @define("WITH e AS (SELECT vec_id, CAST(embedding[1:16] AS DOUBLE[]) AS l FROM embeddings), s AS (SELECT vec_id, l, list_transform(range(0, 4), lambda d: ln(list_sum(list_transform(l[d * 4 + 1:d * 4 + 4], lambda x: exp(x))))) AS m FROM e), d AS (SELECT *, list_position(m, list_max(m)) - 1 AS direction FROM s) SELECT vec_id, direction, list_position(l[direction * 4 + 1:direction * 4 + 4], list_max(l[direction * 4 + 1:direction * 4 + 4])) - 1 AS distance, round(list_max(m), 6) AS marginal FROM d")
 def logsumexp_marginal(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("l"))
-    e = e.select("vec_id", vectors.direction_first(F.col("l"), 4, 4).alias("d"))
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("l"))
+    e = e.select("vec_id", vectors.direction_first(F.col("l"), 8, 8).alias("d"))
     return e.select("vec_id", F.col("d.direction").cast("bigint").alias("direction"), F.col("d.distance").cast("bigint").alias("distance"), r6(F.col("d.marginal")).alias("marginal"))
 
 

@@ -160,6 +160,29 @@ def test_whole_texts_of_all_documents_are_normalised(spark, tmp_path):
     assert {r.doc_id: r.normal for r in value_queries.normalize_text(spark, SF).collect()} == want
 
 
+def test_quantised_duplicates_agree_in_every_component(spark, tmp_path):
+    v = [0.01 + i / 64 for i in range(64)]
+    rows = [(1, v, 0), (2, [*v[:63], v[63] + 1], 1), (3, [x + 1e-4 for x in v], 2), (4, [*v[:2], *(-x for x in v[2:])], 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"file://{tmp_path}/embeddings.parquet")
+    got = metric_queries.near_duplicate_quantized(spark, f"file://{tmp_path}").collect()
+    assert [(r.n, r.splits) for r in got] == [(2, [0, 2])]
+
+
+def test_decoders_take_all_components(spark):
+    ids, _, x, _ = all_cosines(spark)
+    total = np.log(np.exp(x).sum(axis=1))
+    got = {r.vec_id: r for r in value_queries.softmax_decode(spark, SF).collect()}
+    marginal = np.log(np.exp(x.reshape(-1, 8, 8)).sum(axis=2))
+    two = {r.vec_id: r for r in value_queries.logsumexp_marginal(spark, SF).collect()}
+    assert set(got) == set(two) == set(ids)
+    for n, k in enumerate(ids):
+        assert got[k].choice == x[n].argmax()
+        assert (got[k].p, got[k].total, got[k].ce) == pytest.approx((np.exp(x[n].max() - total[n]), total[n], total[n] - x[n, 0]), abs=2e-6)
+        d = marginal[n].argmax()
+        assert (two[k].direction, two[k].distance) == (d, x[n].reshape(8, 8)[d].argmax())
+        assert two[k].marginal == pytest.approx(marginal[n, d], abs=2e-6)
+
+
 def test_losses(spark):
     logits = F.array(*map(F.lit, (1.0, 2.0, 0.5)))
     ok = F.array(F.lit(False), F.lit(True), F.lit(True))
