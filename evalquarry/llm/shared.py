@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,11 +75,15 @@ def hot_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, spre
     Keys of more than a HOT_SHARE-th of all rows are spread over SALTS: fewer than
     HOT_SHARE keys can be hot, whatever the size of the data, so their list may be
     broadcast. ``spread`` names columns of rows that tell a hot key's rows apart.
+    In a left join, rows with a null key are spread in the same way.
     keyed should be a written table; it is read three times.
     """
     total = keyed.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
     hot = F.broadcast(keyed.filter(F.col(weight) * HOT_SHARE > total).select(*on, F.lit(True).alias("_hot")))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
+    spreads = F.coalesce("_hot", F.lit(False))
+    if how == "left":  # rows with a null key match nothing and stay: any salt will do
+        spreads = reduce(Column.__or__, (F.col(c).isNull() for c in on), spreads)
+    salt = F.when(spreads, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     left = rows.join(hot, on, "left").withColumn("_salt", salt).drop("_hot")
     right = keyed.join(hot, on, "left").withColumn("_salt", F.explode(salts)).drop("_hot", weight)

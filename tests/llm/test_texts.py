@@ -9,6 +9,7 @@ from evalquarry.llm import language, quality, toxicity, trees
 from evalquarry.llm.decontaminate import decontaminate
 from evalquarry.llm.labelled import held_out, sample
 from evalquarry.llm.mixing import emit, mix
+from evalquarry.llm.shared import hot_join
 
 from .data import awkward, clashing, documents
 
@@ -208,3 +209,20 @@ def test_mix_of_awkward_tables(spark):
 def test_mix_beyond_the_broadcast_bound(spark):
     docs = clashing(documents(spark))
     assert Counter(mix(docs).collect()) == Counter(mix(docs, broadcast_bytes=0).collect())
+
+
+def test_null_keys_of_a_left_join_are_spread(spark):
+    own = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    rows = spark.createDataFrame([(i, None if i < 900 else f"k{i % 3}") for i in range(1000)], "i long, k string")
+    keyed = spark.createDataFrame([("k0", 1, "x"), ("k1", 1, "y")], "k string, c long, v string")
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = hot_join(rows, keyed, ["k"], "c", ["i"], "left").withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.i, r.k, r.v) for r in got if r.k) == sorted((i, f"k{i % 3}", {0: "x", 1: "y"}.get(i % 3)) for i in range(900, 1000))
+    assert sorted(r.i for r in got if r.k is None and r.v is None) == list(range(900))
+    assert len({r.part for r in got if r.k is None}) > 1
