@@ -17,7 +17,7 @@ from .shared import fresh_path, saved
 from .substring_dedup import substring_dedup, word_text
 from .suffix_dedup import suffix_dedup
 from .toxicity import score as toxicity_score
-from .warc import read_archives, write_archives
+from .warc import checked, read_archives, write_archives
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = saved(write_archives(table(spark, sf_dir, "pages"), fresh_path(spark, "warc")), "archives")
-    out = read_archives(spark, archives)
+    out = checked(read_archives(spark, archives))
     return out.select(F.expr("try_cast(record_id AS BIGINT)").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 

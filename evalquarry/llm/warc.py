@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bounded_batches
+from .shared import bounded_batches, hot_join, saved
 
 CHUNK = 1 << 16
 #: Payloads of fewer bytes are stored however often they occur.
@@ -48,26 +48,33 @@ def record(name: str, uri: str | None, payload: bytes, refers_to: str | None) ->
     return member(headers, block)
 
 
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI and the path in it; Hadoop's names of S3 mean the same store."""
+    if "://" not in uri:
+        uri = f"file://{os.path.abspath(uri)}"
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+
+
 def writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One archive for each partition; it gets its name when it is complete."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, base = fs.FileSystem.from_uri(folder)
+        files, base = opened(folder)
         files.create_dir(base, recursive=True)
         first = next(batches, None)
         if first is None:
             return
-        name = f"{base}/{uuid.uuid4().hex}.warc.gz"
+        name = f"{uuid.uuid4().hex}.warc.gz"
         n = 0
-        with files.open_output_stream(f"{name}.part") as out:
+        with files.open_output_stream(f"{base}/{name}.part") as out:
             for batch in _and(first, batches):
                 for row in range(len(batch)):
                     page, url, html, to = (batch.column(c)[row].as_py() for c in ("id", "url", "html", "refers_to"))
                     out.write(record(page, url, (html or "").encode(), to))
                 n += len(batch)
-        files.move(f"{name}.part", name)
-        scheme = folder.partition("://")[0] + "://" if "://" in folder else ""
-        yield pa.RecordBatch.from_arrays([pa.array([scheme + name]), pa.array([n])], names=["path", "records"])
+        files.move(f"{base}/{name}.part", f"{base}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n])], names=["path", "records"])
 
     return run
 
@@ -136,23 +143,36 @@ def _name(urn: str | None) -> str | None:
     return urn.removeprefix("<urn:page:").removesuffix(">") if urn else None
 
 
+def fields(r: Record) -> tuple:
+    """What COLUMNS has of a record after its path.
+
+    A response's length and digest are those of the body that was read, and a
+    revisit's, whose body stands elsewhere, those that it declares. digest_ok:
+    the block has its declared digest, and so have a response's body and length.
+    """
+    head, body = r.http()
+    says, length = r.headers["warc-payload-digest"], int(head["content-length"])
+    ok = digest(r.block) == r.headers["warc-block-digest"]
+    if not (revisit := r.headers["warc-type"] == "revisit"):
+        ok &= digest(body) == says and len(body) == length
+        says, length = digest(body), len(body)
+    full = base64.b32decode(says.removeprefix("sha1:")).hex()
+    return (r.position, _name(r.headers["warc-record-id"]), r.headers["warc-type"], r.headers.get("warc-target-uri"), _name(r.headers.get("warc-refers-to")), None if revisit else body, length, full, ok)
+
+
 def reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the archives whose paths come in."""
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     kinds = [pa.string(), pa.int64(), *[pa.string()] * 4, pa.binary(), pa.int64(), pa.string(), pa.bool_()]
     for batch in batches:
         for path in batch.column("path").to_pylist():
-            files, at = fs.FileSystem.from_uri(path if "://" in path else f"file://{os.path.abspath(path)}")
+            files, at = opened(path)
             rows: list[tuple] = []
             size = 0
             with files.open_input_stream(at, compression=None) as stream:
                 for r in read(stream):
-                    head, body = r.http()
-                    revisit = r.headers["warc-type"] == "revisit"
-                    ok = digest(r.block) == r.headers["warc-block-digest"] and (revisit or digest(body) == r.headers["warc-payload-digest"])
-                    full = base64.b32decode(r.headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-                    rows.append((path, r.position, _name(r.headers["warc-record-id"]), r.headers["warc-type"], r.headers.get("warc-target-uri"), _name(r.headers.get("warc-refers-to")), None if revisit else body, int(head["content-length"]), full, ok))
-                    size += len(body)
+                    rows.append((path, *fields(r)))
+                    size += len(rows[-1][6] or b"")
                     if size > 1 << 22 or len(rows) >= 1000:
                         yield _rows(rows, kinds, names)
                         rows, size = [], 0
@@ -170,14 +190,16 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     payloads of at least ``least`` bytes that of the largest id is the response and
     the others are revisits of it; shorter ones are responses all. A page whose id
     is null has the record id "None" and takes no part in revisits; repeated rows
-    of one id and payload are responses or revisits alike. Other columns play no
-    part. Equality is SHA-256's over narrow rows; html is shuffled once, by id.
+    of one id and payload are responses or revisits alike. Without pages there is
+    no archive. Other columns play no part, whatever their names. Equality is
+    SHA-256's over narrow rows, where payloads that very many pages have are spread
+    over salts; html is shuffled once, by id.
     """
     bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.col(html_col), F.lit(""))
     narrow = pages.select(F.col(id_col).alias("id"), F.sha2(payload, 256).alias("same"), F.octet_length(payload).alias("size")).filter((F.col("size") >= least) & F.col("id").isNotNull())
-    last = narrow.groupBy("same").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = narrow.join(last, "same").filter("id <> refers_to").select("id", "same", "refers_to").distinct()
+    last = saved(narrow.groupBy("same").agg(F.max("id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1"), "payloads")
+    again = hot_join(narrow, last, ["same"], "n", ["id"]).filter("id <> refers_to").select("id", "same", "refers_to").distinct()
     full = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("html"))
     joined = full.join(again.withColumnRenamed("id", "rid"), (F.col("id") == F.col("rid")) & (F.sha2("html", 256) == F.col("same")), "left")
     rows = joined.select(F.col("id").cast("string").alias("id"), "url", "html", F.col("refers_to").cast("string").alias("refers_to"))
@@ -188,6 +210,16 @@ def read_archives(spark: SparkSession, paths: DataFrame) -> DataFrame:
     """All records of the archives that the column ``path`` names; see COLUMNS.
 
     payload is null for revisits; payload_bytes and payload_digest (hex SHA-1) are
-    the full payload's; digest_ok says whether the stored digests hold.
+    the full payload's; digest_ok says whether the stored digests hold. paths
+    should be a written table: it is counted first, so that each archive has a
+    task of its own (a given number of partitions isn't coalesced). No paths give
+    no rows; a path that is named twice is read twice.
     """
-    return paths.select("path").repartition("path").mapInArrow(reader, COLUMNS)
+    bounded_batches(spark)
+    return paths.select("path").repartitionByRange(max(1, paths.count()), "path").mapInArrow(reader, COLUMNS)
+
+
+def checked(records: DataFrame) -> DataFrame:
+    """The records; one whose digests don't hold ends the job with its path and position."""
+    where = F.concat(F.lit("the record at "), F.col("position"), F.lit(" of "), F.col("path"), F.lit(" isn't what its digests say"))
+    return records.withColumn("record_id", F.when(F.col("digest_ok"), F.col("record_id")).otherwise(F.raise_error(where)))

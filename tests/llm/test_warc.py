@@ -5,6 +5,7 @@ import os
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,43 @@ def test_pages_come_back(spark):
 
 def test_no_pages(spark):
     assert rows(spark, spark.createDataFrame([], "page_id long, url string, html string")) == []
+
+
+def test_each_archive_has_its_own_task(spark):
+    folder, n = fresh_path(spark, "warc"), 5
+    some = [warc.writer(folder)(iter([pa.RecordBatch.from_pydict({"id": [str(i)], "url": ["u"], "html": ["x" * 9], "refers_to": [None]})])) for i in range(n)]
+    archives = spark.createDataFrame([(next(s)["path"][0].as_py(),) for s in some], "path string")
+    read = warc.read_archives(spark, archives)
+    assert read.rdd.getNumPartitions() == n
+    at = read.select("path", F.spark_partition_id().alias("part")).distinct().collect()
+    assert len(at) == len({r.path for r in at}) == len({r.part for r in at}) == n
+
+
+@pytest.mark.parametrize("what", ["payload", "length", "block"])
+def test_a_bent_record_is_reported(spark, tmp_path, what):
+    good = gzip.decompress(warc.record("1", "http://a", b"payload" * 100, None))
+    bent = {
+        "payload": good.replace(b"payloadpayload", b"PAYLOADpayload", 1),
+        "length": good.replace(b"utf-8\r\nContent-Length: 700", b"utf-8\r\nContent-Length: 701", 1),
+        "block": good.replace(b"HTTP/1.1 200 OK", b"HTTP/1.1 200 KO", 1),
+    }[what]
+    assert bent != good
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(bent) + warc.record("2", None, b"x", None))
+    records = warc.read_archives(spark, spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "path string"))
+    assert {r.record_id: r.digest_ok for r in records.collect()} == {"1": False, "2": True}
+    if what == "payload":
+        assert records.filter("record_id = '1'").first().payload_digest == hashlib.sha1(b"PAYLOAD" + b"payload" * 99).hexdigest()
+    with pytest.raises(Exception, match="isn't what its digests say"):
+        warc.checked(records).collect()
+
+
+def test_a_very_long_page(spark):
+    html = "<p>é</p>" * 500_000
+    got = rows(spark, spark.createDataFrame([(1, "u", html), (2, "u", html)], "page_id long, url string, html string"))
+    assert {r.record_id: (r.record_type, r.payload_bytes) for r in got} == {"1": ("revisit", 4_500_000), "2": ("response", 4_500_000)}
+    assert bytes(next(r.payload for r in got if r.payload is not None)) == html.encode()
+
+
+def test_object_store_names_open():
+    assert warc.opened("/a/b")[1] == "/a/b"
+    assert warc.opened("file:///a/b")[1] == "/a/b"
