@@ -64,7 +64,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     id and text, so reruns agree. copies is at most ``most``. A null or wordless text
     has size 0 and its source's rate; a source of no words has target 0 and copies
     0. Equal rows share their draw. docs' columns stay; those named like new ones
-    are replaced. The plan has a row for each source. It is written first, and
+    are replaced; an empty table stays empty. The plan has a row for each source. It is written first, and
     broadcast if it has at most ``broadcast_bytes``, so texts aren't shuffled; a
     larger one is joined with the rows of large sources spread over salts.
     """
@@ -85,5 +85,5 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """A row for each copy of each document, numbered by ``copy`` from 0."""
+    """A row for each copy of each document, numbered by ``copy`` from 0 (a column of that name is replaced); documents of no copies have none."""
     return mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))

@@ -15,9 +15,11 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a local folder of our own only where that is unset (tests)."""
+    """The session's spark.checkpoint.dir; a local folder of our own only where that is unset and the master is local (tests)."""
     if set_dir := spark.conf.get("spark.checkpoint.dir", None):
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = f"file://{tempfile.mkdtemp(prefix='evalquarry-')}"
     return _OWN["dir"]
@@ -28,7 +30,10 @@ BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Limit the session's Arrow batches to BATCH_BYTES: rows are whole texts, so a number of rows bounds no memory."""
+    """Limit the session's Arrow batches to BATCH_BYTES: rows are whole texts, so a number of rows bounds no memory.
+
+    The setting stays with the session, as the returned DataFrames read it when they run; a smaller one is left alone.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if not re.fullmatch(r"\d+b?", now := spark.conf.get(key)) or int(now.rstrip("b")) > BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
@@ -46,7 +51,20 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a written table: they are computed once and outlive lost executors."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing will read again: what followed from them is saved itself."""
+    for table in tables:
+        _, path = _PATHS.pop(id(table))
+        target = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def packed_rest(docs: DataFrame, *used: str) -> Column:
