@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .packed import ranges
+from .shared import bounded_batches, saved
 
 BITS = 64
 PARTS = 4
@@ -18,9 +19,11 @@ PARTS = 4
 RECALL = 0.97
 #: Vectors that the rotation is learned from, at most: those of least hash.
 SAMPLE = 10_000
-#: Vectors indexed by one task, and queries broadcast at a time.
+#: Vectors indexed by one task, or so, and queries that travel as one row.
 INDEX_BLOCK = 16_384
-QUERY_BLOCK = 65_536
+QUERY_BLOCK = 512
+#: Bytes of queries that a task answers before another one indexes the same vectors.
+QUERY_BYTES = 1 << 30
 
 
 @dataclass
@@ -76,61 +79,99 @@ def learn_radius(rotation: Rotation, x: np.ndarray, k: int, total: int, recall:
     return int(np.ceil(np.quantile(apart, recall)))
 
 
+def balls(width: int, reach: int) -> np.ndarray:
+    """All numbers of ``width`` bits with at most ``reach`` ones: XOR with a value gives the ball around it."""
+    every = np.arange(1 << width, dtype=np.uint32)
+    return every[np.bitwise_count(every) <= reach]
+
+
+def reaches(radius: int, parts: int) -> list[int]:
+    """The pigeonhole bound of each part: codes within ``radius`` bits agree so far in some part.
+
+    With radius = parts * s + a, the first a + 1 parts are searched to s bits and
+    the others to s - 1 (-1: not at all): differing by more in each part makes more
+    than radius bits in sum.
+    """
+    s, a = divmod(radius, parts)
+    return [s if p <= a else s - 1 for p in range(parts)]
+
+
 class MultiIndex:
     """Tables of code substrings of a block of vectors.
 
-    Of two codes within ``radius`` bits, some one of ``parts`` substrings differs
-    in radius // parts bits at most: the buckets of those values hold them all.
+    Each part's table has, for each of the substring's values, where its codes
+    begin in the part's order, so a value is looked up by its number.
     """
 
-    def __init__(self, codes: np.ndarray, parts: int = PARTS, radius: int = BITS) -> None:
-        self.codes, self.parts, self.radius, self.width = codes, parts, radius, BITS // parts
+    def __init__(self, codes: np.ndarray, parts: int = PARTS) -> None:
+        self.codes, self.parts, self.width = codes, parts, BITS // parts
+        self.touched = self.looked_up = 0
         self.tables = []
         for p in range(parts):
             sub = self.substring(codes, p)
-            order = np.argsort(sub, kind="stable")
-            values, start = np.unique(sub[order], return_index=True)
-            self.tables.append((values, np.append(start, len(codes)), order))
+            begin = np.zeros((1 << self.width) + 1, np.int64)
+            np.cumsum(np.bincount(sub, minlength=1 << self.width), out=begin[1:])
+            self.tables.append((np.flatnonzero(np.diff(begin)).astype(np.uint32), begin, np.argsort(sub, kind="stable")))
 
     def substring(self, codes: np.ndarray, p: int) -> np.ndarray:
         return ((codes >> np.uint64(p * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.uint32)
 
     def within(self, code: np.uint64, radius: int) -> np.ndarray:
-        """Places of all codes within ``radius`` bits."""
+        """Places of all codes within ``radius`` bits: the ball around each substring is looked up in its table.
+
+        A ball of more values than the table has is the worse way round: then the
+        table's values are looked up in the ball.
+        """
         near = np.zeros(len(self.codes), bool)
-        reach = radius // self.parts
-        for p, (values, start, order) in enumerate(self.tables):
-            own = self.substring(code, p)
-            # the ball's values are looked up, or if it is larger than the table, the table's in the ball
-            hit = np.flatnonzero(np.bitwise_count(values ^ own) <= reach)
-            count = start[hit + 1] - start[hit]
-            if not len(hit):
+        for p, ((values, begin, order), reach) in enumerate(zip(self.tables, reaches(radius, self.parts), strict=True)):
+            if reach < 0:
                 continue
-            ends = np.cumsum(count)
-            near[order[np.arange(ends[-1]) + np.repeat(start[hit] - ends + count, count)]] = True
+            own = self.substring(code, p)
+            ball = _BALLS.setdefault((self.width, reach), None)
+            if ball is None:
+                ball = _BALLS[self.width, reach] = balls(self.width, reach)
+            if len(ball) <= len(values):
+                hit = ball ^ own
+                self.looked_up += len(ball)
+            else:
+                hit = values[np.bitwise_count(values ^ own) <= reach]
+                self.looked_up += len(values)
+            near[order[ranges(begin[hit], begin[hit + 1] - begin[hit])]] = True
         at = np.flatnonzero(near)
+        self.touched += len(at)
         return at[np.bitwise_count(self.codes[at] ^ code) <= radius]
 
 
+_BALLS: dict[tuple[int, int], np.ndarray | None] = {}
+
+
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten()).astype(np.float64).reshape(-1, dim)
 
 
-def search(held: Callable, dim: int, k: int, parts: int, radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For each query the partition's nearest distinct vectors: (query, score, ids) lists."""
+def packed(dim: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Queries (id, vector) as rows of ``size`` of them or fewer: (ids, many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotation, names, queries = held()
-        table = pa.Table.from_batches(list(batches))  # INDEX_BLOCK vectors or so
-        if not table.num_rows:
-            return
-        x = matrix(table["vector"].combine_chunks(), dim)
-        ids = table["ids"].combine_chunks()
-        index = MultiIndex(rotation.codes(x), parts, radius)
-        wide = rotation.codes(queries, query=True)
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                part = batch.slice(at, size)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_pylist()], pa.list_(pa.int64())), pa.array([matrix(part.column("vector"), dim).tobytes()], pa.binary())], names=["ids", "many"])
+
+    return run
+
+
+def search(held: Callable, dim: int, k: int, parts: int, radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each query its block's nearest distinct vectors: (query_id, score, ids).
+
+    Rows come by block, its vectors ahead of its queries: the vectors are indexed,
+    and rows of queries pass one after the other, so only the block is held.
+    """
+
+    def answers(x: np.ndarray, ids: pa.Array, index: MultiIndex, rotation: Rotation, names: list[int], queries: np.ndarray) -> pa.RecordBatch:
         out_q, out_at, out_s = [], [], []
         need = min(k + 1, len(x))
-        for q, code in enumerate(wide):
+        for q, code in enumerate(rotation.codes(queries, query=True)):
             reach = radius
             at = index.within(code, reach)
             while len(at) < need and reach < BITS:  # too few within the radius: it grows until the block is through
@@ -141,8 +182,32 @@ def search(held: Callable, dim: int, k: int, parts: int, radius: int) -> Callabl
                 best = np.flatnonzero(score >= np.partition(score, -need)[-need])
                 at, score = at[best], score[best]
             out_q.append(np.full(len(at), names[q], np.int64)), out_at.append(at), out_s.append(score)
-        found = np.concatenate(out_at)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_s)), ids.take(pa.array(found))], names=["query_id", "score", "ids"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_s)), ids.take(pa.array(np.concatenate(out_at)))], names=["query_id", "score", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rotation = held()
+        block, rows, index = None, [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            key, asks = np.asarray(batch.column("block")), np.asarray(batch.column("asks"))
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(batch)]
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(at, to - at)
+                if key[at] != block:
+                    block, rows, index = key[at], [], None
+                if not asks[at]:
+                    rows.append(part)
+                    continue
+                if not rows:
+                    continue
+                if index is None:
+                    table = pa.Table.from_batches(rows)
+                    x, ids = matrix(table["vector"].combine_chunks(), dim), table["ids"].combine_chunks()
+                    index = MultiIndex(rotation.codes(x), parts)
+                for i in range(len(part)):
+                    names, many = part.column("ids")[i].as_py(), part.column("many")[i].as_buffer()
+                    yield answers(x, ids, index, rotation, names, np.frombuffer(many, np.float64).reshape(-1, dim))
 
     return run
 
@@ -153,7 +218,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda v: v != 0)
 
 
-def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, parts: int = PARTS, radius: int | None = None, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column | Callable[[Column], Column], id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, parts: int = PARTS, radius: int | None = None, index_block: int = INDEX_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest found of each query by inner product: query_id, rank, vec_id, score.
 
     queries: a condition on id_col that says which rows are queries; candidates are
@@ -163,9 +228,15 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     the most frequent one. Equal vectors are indexed once with their k + 1 least ids, which is all
     that a list of k can show, so copies form no hot bucket. Repeated rows of one id
     count once. With no usable vector the result is empty. The Hamming radius is
-    learned to hold RECALL of a sample's neighbours unless it is given.
+    learned to hold RECALL of a sample's neighbours unless it is given. Other
+    columns play no part, whatever their names.
+
+    Vectors are indexed in blocks of ``index_block`` or so; the stated queries
+    travel as rows of ``query_block`` in a shuffle, and no vector but the sample's
+    passes the driver.
     """
     spark = vectors.sparkSession
+    bounded_batches(spark)
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).filter(F.col("id").isNotNull())
     given = given.filter(usable(F.col("vector")))
     shape = given.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
@@ -184,21 +255,19 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     known = matrix(sample["vector"].combine_chunks(), dim)
     rotation = learn(known, norm)
     radius = learn_radius(rotation, known, k, size) if radius is None else radius
-    index = distinct.repartition(max(1, -(-size // index_block)))
-
-    asked = given.filter(queries(F.col("id")) if callable(queries) else queries)
-    count = asked.count()
-    blocks = max(1, -(-count // query_block))
-    found = None
-    for b in range(blocks):  # each broadcast has query_block queries or so
-        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).dropDuplicates(["id"]).toArrow()
-        if not part.num_rows:
-            continue
-        held = spark.sparkContext.broadcast((rotation, np.asarray(part["id"]), matrix(part["vector"].combine_chunks(), dim)))
-        near = index.mapInArrow(search(lambda held=held: held.value, dim, k, parts, radius), "query_id long, score double, ids array<long>")
-        found = near if found is None else found.unionByName(near)
-    if found is None:
-        return spark.createDataFrame([], empty)
+    blocks = max(1, -(-size // index_block))
+
+    asked = given.filter(queries(F.col("id")) if callable(queries) else queries).dropDuplicates(["id"])
+    asked = saved(asked.mapInArrow(packed(dim, query_block), "ids array<long>, many binary"), "queries")
+    slices = max(1, -(-asked.agg(F.coalesce(F.sum(F.octet_length("many")), F.lit(0))).first()[0] // QUERY_BYTES))
+    # every block of vectors meets every row of queries once, in the task of its block (and slice of the queries)
+    own = F.pmod(F.xxhash64("vector"), F.lit(blocks)).cast("int")
+    index = distinct.withColumn("block", F.explode(F.sequence(own * slices, own * slices + (slices - 1)))).select("block", F.lit(0).alias("asks"), "ids", "vector", F.lit(None).cast("binary").alias("many"))
+    slice_ = F.pmod(F.xxhash64("ids"), F.lit(slices)).cast("int")
+    asking = asked.withColumn("block", F.explode(F.sequence(slice_, slice_ + slices * (blocks - 1), F.lit(slices)))).select("block", F.lit(1).alias("asks"), "ids", F.lit(None).cast("array<double>").alias("vector"), "many")
+    held = spark.sparkContext.broadcast(rotation)  # BITS numbers for each dimension
+    dealt = index.unionByName(asking).repartitionById(blocks * slices, "block").sortWithinPartitions("block", "asks")
+    found = dealt.mapInArrow(search(lambda: held.value, dim, k, parts, radius), "query_id long, score double, ids array<long>")
     each = found.withColumn("ids", F.filter("ids", lambda i: i != F.col("query_id"))).select("query_id", "score", F.explode("ids").alias("vec_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
