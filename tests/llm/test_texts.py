@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evalquarry.llm import decontaminate as decontaminate_
 from evalquarry.llm import language, quality, toxicity, trees
 from evalquarry.llm.decontaminate import decontaminate
 from evalquarry.llm.labelled import held_out, sample
@@ -53,6 +54,27 @@ def test_decontamination_matches_brute_force(spark, broadcast_bytes):
     assert any(r.contaminated for r in out)
 
 
+def test_filter_passes_every_window_of_the_benchmark(spark):
+    rng = np.random.default_rng(5)
+    grams = rng.integers(-(2**63), 2**63, 5000)
+    bits = decontaminate_.bitmap(spark.createDataFrame([(int(g),) for g in grams], "gram long"))
+    assert decontaminate_.passes(bits, grams.view(np.uint64)).all()
+    assert decontaminate_.passes(bits, rng.integers(0, 2**64, 100_000, dtype=np.uint64)).mean() < 0.001
+
+
+def test_equal_hashes_of_different_windows_are_told_apart():
+    held = decontaminate_.Grams(np.array([7, 7, 7], np.uint64), {2: (0, 3)}, np.array([0, 3, 6, 9]), b"a ba ca b", np.array([0, 1, 2]), ["x", "y", "z"])
+    assert held.of(2, np.uint64(7), b"a b") == ["x", "z"] and held.of(2, np.uint64(8), b"a b") == [] and held.of(2, np.uint64(7), b"q q") == []
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 30, 0])
+def test_a_window_of_very_many_documents(spark, broadcast_bytes):
+    rows = [(i, f"d{i} one two three four five six seven eight nine ten e{i} " * 3, None, None, None) for i in range(300)] + [(1000 + i, f"other words {i}", None, None, None) for i in range(100)]
+    items = [(i, "one two three four five six seven eight nine ten") for i in range(5)]
+    out = decontaminate(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), broadcast_bytes=broadcast_bytes).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in out) == hits(rows, items)
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(documents(spark, []), none).count() == 0
