@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .bagminhash import REGISTERS, band_keys, signatures
 from .components import components
 from .packed import SPACED, U64, mix, pieces, prefix_sums, span_hashes, take, words
-from .shared import bounded_batches, saved
+from .shared import bounded_batches, forget, saved
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -66,15 +66,15 @@ def sign(size: int, bands: int, registers: int) -> Callable[[Iterator[pa.RecordB
 
 
 def contents(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Each document's multiset: the 32 high bits of its shingles in order, then their counts."""
+    """Each document's multiset: the hashes of its shingles in order, 48 bits in 64, then their counts in 32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch.column("text"), PIECE):
                 owner, element, count, n = bags(piece, size)
                 at = np.searchsorted(owner, np.arange(len(n) + 1))
-                high, low = (element >> U64(16)).astype(np.uint32), count.astype(np.uint32)
-                out = [high[a:b].tobytes() + low[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                often = count.astype(np.uint32)
+                out = [element[a:b].tobytes() + often[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*take(batch, ["node"], piece.rows), pa.array(out, pa.binary())], names=["node", "content"])
 
     return run
@@ -125,8 +125,8 @@ def verify(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         nodes = list(dict(rows))
         bags_ = []
         for content in dict(rows).values():
-            both = np.frombuffer(content, np.uint32)
-            bags_.append((both[: len(both) // 2], both[len(both) // 2 :].astype(np.int64)))
+            n = len(content) // 12
+            bags_.append((np.frombuffer(content, U64, n), np.frombuffer(content, np.uint32, n, 8 * n).astype(np.int64)))
         if len(nodes) > 1:
             for node, root in zip(nodes, connect(bags_, least), strict=True):
                 if node != nodes[root]:
@@ -159,7 +159,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked if they share a BagMinHash band and their weighted Jaccard index is at
     least ``similarity``; classes are the connected components, named by their
     least id. With 20 bands of 5 registers a pair at 0.8 is missed with a
-    probability of 0.0004. ``first`` marks one row of each class (repeated rows of
+    probability of 0.0004. The overlap is counted on 48-bit hashes of shingles.
+    An empty table has no classes. ``first`` marks one row of each class (repeated rows of
     equal id and text are all marked). Empty and null texts are classes of their
     own. A null id counts as the smallest. Other columns play no part.
     """
@@ -184,6 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     split = split.select("node", F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other")).alias("bucket"))
     met = split.join(content, "node").repartition("bucket").sortWithinPartitions("bucket", "node")
     star = components(met.mapInArrow(verify(similarity), "a binary, b binary"))
+    forget(members)
 
     rooted = nodes.select("node", "rep").join(star, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("lead"))
@@ -194,7 +196,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """docs with one document of each class: the one of least id. Rows of equal id and text count as one."""
-    kept = near_duplicates(docs, id_col, text_col, **options).filter("first").select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_h")).distinct()
-    joined = docs.withColumn("_th", F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_h")))
-    return joined.dropDuplicates(["_id", "_h"]).select(*docs.columns)
+    """docs with one document of each class: the one of least id, in docs' columns.
+
+    Rows of equal id and text are one document, of which one row stays (any one of
+    them: they may differ in other columns). Null and empty texts are classes of
+    their own. A row travels as a whole beside its key, so no name of docs' columns
+    is taken; an empty table stays empty. Texts are shuffled once, by (id, hash).
+    """
+    mark = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    kept = near_duplicates(docs, id_col, text_col, **options).filter("first").select(F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("h")).alias("mark"))
+    rows = docs.select(mark.alias("mark"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return rows.join(kept, "mark", "left_semi").dropDuplicates(["mark"]).select("row.*")
