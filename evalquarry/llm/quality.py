@@ -113,7 +113,8 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     at most ``rows`` labelled rows that the split doesn't hold out. Null and empty
     texts have all-zero statistics and are scored like others. Repeated documents
     each get their row; without labels of both kinds every score is the labels'
-    share (0.5 without any). Other columns play no part.
+    share (0.5 without any); without documents there are no rows. Other columns
+    play no part, whatever their names.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -124,21 +125,26 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without those whose score is below ``least``, in one pass once the forest is fitted."""
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = SAMPLE) -> DataFrame:
+    """docs without those whose score is below ``least``, in one pass once the forest is fitted.
+
+    Scores are those of ``score``: null and empty texts are scored like others and
+    stay or go alike; repeated rows each stay or go; a null id is no label's; without
+    labels of both kinds every score is the labels' share (0.5 without any: all stay).
+    docs' columns pass through whatever their names; an empty table stays empty.
+    """
     bounded_batches(docs.sparkSession)
-    chosen = sample(labels, "quality").select(F.col("id"), F.col("label"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = docs.select(F.col("doc_id").alias("id"), "text").join(chosen.select("id"), "id", "left_semi")
-    forest = docs.sparkSession.sparkContext.broadcast(fit(marked.mapInArrow(statistics, f"id {kind}, features array<double>"), labels))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    chosen = sample(labels, label_col, rows=rows).select("id")
+    kind = docs.schema[id_col].dataType.simpleString()
+    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id", "left_semi")
+    forest = docs.sparkSession.sparkContext.broadcast(fit(marked.mapInArrow(statistics, f"id {kind}, features array<double>"), labels, label_col, rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            plain = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text")], names=["id", "text"])
+            plain = pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text_col)], names=["id", "text"])
             scores = [forest.value.scores(matrix(s.column("features"))) for s in statistics(iter([plain]))]
             yield batch.filter(pa.array(np.concatenate(scores) >= least))
 
-    return docs.mapInArrow(run, fields)
+    return docs.mapInArrow(run, docs.schema)
