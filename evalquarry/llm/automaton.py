@@ -14,8 +14,8 @@ from collections.abc import Iterator, Sequence
 class SuffixAutomaton:
     """Built online, a sequence after the other, in the order of their positions.
 
-    ``limit`` bounds the runs that are looked for: matching statistics are cut
-    there, which keeps the state for a fixed window length in hand.
+    next, link, length: each state's edges, suffix link and longest run; first: the
+    number of the symbol with which its runs ended first.
     """
 
     def __init__(self) -> None:

@@ -17,46 +17,68 @@ from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
 from .packed import SPACED, covered, pieces, take, words
-from .repeats import content_values, once, repeated_spans, shards, with_spans
+from .repeats import borders, content_values, once, repeated_spans, shards, with_spans
 from .shared import packed_rest, schema_of, unpacked_rest
 
 LENGTH = 20
 ANCHOR = 6
 
 
-def _ends(anchors: np.ndarray) -> np.ndarray:
-    return np.append(np.flatnonzero(anchors[1:] != anchors[:-1]) + 1, len(anchors))
+class Runs:
+    """Spans of covered windows; windows of one row that follow or overlap one another are one span."""
+
+    def __init__(self) -> None:
+        self.row: list[int] = []
+        self.start: list[int] = []
+        self.end: list[int] = []
+
+    def add(self, row: int, start: int, end: int) -> None:
+        if self.row and self.row[-1] == row and start <= self.end[-1]:
+            self.end[-1] = end
+        else:
+            self.row.append(row), self.start.append(start), self.end.append(end)
 
 
 def stream(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Spans of windows that the shard holds at an earlier place."""
+    """Spans of windows that the shard holds at an earlier place.
+
+    Rows come in the order of places. An anchor's rows are both: each is streamed
+    through the automaton of those before it and then joins them. Where the anchor
+    has a reference (rows that don't stream come first), the automaton is that of
+    the reference alone, which has each repeated window where it stands first; a
+    window is later unless that place is its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in shards(batches):
             batch = once(table)
             values, bounds = content_values(batch.column("content"))
-            anchors, lo = np.asarray(batch.column("anchor")), np.asarray(batch.column("lo"))
-            row, starts, ends, at = [], [], [], 0
-            for to in _ends(anchors):
+            lo, streams = np.asarray(batch.column("lo")), np.asarray(batch.column("streams"))
+            ids, h = batch.column("id"), np.asarray(batch.column("h"))
+            runs, at = Runs(), 0
+            for to in borders(batch).tolist():
                 automaton = SuffixAutomaton()
-                for r in range(at, to):  # in the order of places: what the automaton holds is earlier
+                split = at + int(np.searchsorted(streams[at:to], 1))
+                for r in range(at, split):
+                    automaton.add(values[bounds[r] : bounds[r + 1]].tolist(), int(bounds[r]))
+                for r in range(split, to):
                     symbols = values[bounds[r] : bounds[r + 1]].tolist()
                     if r > at:
-                        run_start = run_end = -1
-                        for i, (matched, _) in enumerate(automaton.matches(symbols, length)):
-                            if matched == length:
-                                if i - length + 1 > run_end:
-                                    if run_end >= 0:
-                                        row.append(r), starts.append(run_start), ends.append(run_end)
-                                    run_start = i - length + 1
-                                run_end = i + 1
-                        if run_end >= 0:
-                            row.append(r), starts.append(run_start), ends.append(run_end)
-                    automaton.add(symbols, int(bounds[r]))
+                        for i, (matched, end) in enumerate(automaton.matches(symbols, length)):
+                            if matched < length:
+                                continue
+                            if split > at:
+                                begin = end - length + 1
+                                first = int(np.searchsorted(bounds, begin, "right")) - 1
+                                if h[first] == h[r] and lo[first] + begin - bounds[first] == lo[r] + i - length + 1 and ids[first] == ids[r]:
+                                    continue
+                            runs.add(r, i - length + 1, i + 1)
+                    if split == at:
+                        automaton.add(symbols, int(bounds[r]))
                 at = to
-            rows = np.array(row, np.int64)
+            rows = np.array(runs.row, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(rows)), batch.column("h").take(pa.array(rows)), pa.array(lo[rows] + np.array(starts, np.int64)), pa.array(lo[rows] + np.array(ends, np.int64))],
+                [ids.take(pa.array(rows)), batch.column("h").take(pa.array(rows)), pa.array(lo[rows] + np.array(runs.start, np.int64)), pa.array(lo[rows] + np.array(runs.end, np.int64))],
                 names=["id", "h", "lo", "hi"],
             )
 
@@ -99,7 +121,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have no words. A null id counts as the smallest. Rows
     that share an id are one place in the order if their texts are equal (so
     neither removes the other) and are ordered by a hash of the text otherwise.
-    Other columns of docs pass through, but for two named like the new ones.
+    Other columns of docs pass through, but for two named like the new ones. An
+    empty table stays empty.
     """
     own = (id_col, text_col, "n_words", "n_removed")
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"), packed_rest(docs, *own))

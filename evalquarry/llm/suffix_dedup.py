@@ -133,7 +133,7 @@ def repeated_starts(data: np.ndarray, suffixes: np.ndarray, length: int, shallow
 
 
 def sort_suffixes(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Spans of windows that the shard holds more than once."""
+    """Spans of windows that the shard holds more than once; rows of a reference (those that don't stream) are sorted with the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in shards(batches, SHARD_BYTES):
@@ -141,10 +141,11 @@ def sort_suffixes(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
             data, bounds = content_values(batch.column("content"))
             found = np.sort(repeated_starts(data, ranges(bounds[:-1], np.diff(bounds) - length + 1), length))
             row = np.searchsorted(bounds, found, "right") - 1
+            found, row = (x[np.asarray(batch.column("streams"))[row] == 1] for x in (found, row))
             new = np.ones(len(found), bool)
             new[1:] = (found[1:] != found[:-1] + 1) | (row[1:] != row[:-1])
             first = np.flatnonzero(new)
-            last = np.append(first[1:], len(found)) - 1
+            last = np.append(first[1:], len(found))[: len(first)] - 1
             rows = row[first]
             lo = np.asarray(batch.column("lo"))[rows] + found[first] - bounds[rows]
             yield pa.RecordBatch.from_arrays(
@@ -187,7 +188,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     every row is a document, so repeated rows remove one another. Returns id_col,
     n_bytes, n_removed, n_spans (maximal removed runs) and kept (the rest, binary:
     a cut may fall inside a character). Rows with equal id and text share their
-    spans; a null id is an id like others. Other columns of docs play no part.
+    spans; a null id is an id like others. Other columns of docs play no part,
+    whatever their names. An empty table stays empty.
     """
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     spans = repeated_spans(keyed, "bytes", length, anchor, False, sort_suffixes(length))

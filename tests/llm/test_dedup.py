@@ -49,8 +49,11 @@ def test_substrings_match_brute_force(spark):
     assert any(r.text is None for r in got)
 
 
-def test_substrings_beyond_the_hot_bound(spark, monkeypatch):
+@pytest.mark.parametrize("reference", [repeats.REFERENCE, 3, 0])
+def test_substrings_beyond_the_hot_bound(spark, monkeypatch, reference):
+    """References through the automaton; for some anchors (3) or all (0) beyond their bound."""
     monkeypatch.setattr(repeats, "HOT", 1)
+    monkeypatch.setattr(repeats, "REFERENCE", reference)
     check_substrings(spark, awkward())
 
 
@@ -71,17 +74,15 @@ def check_suffixes(spark, rows, length=200):
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
 
 
-def small(rows):
-    return [r for r in rows if len(r[1] or "") < 20000]
-
-
 def test_suffixes_match_brute_force(spark):
-    check_suffixes(spark, small(awkward()))
+    check_suffixes(spark, awkward())
 
 
-def test_suffixes_beyond_the_hot_bound(spark, monkeypatch):
+@pytest.mark.parametrize("reference", [repeats.REFERENCE, 3, 0])
+def test_suffixes_beyond_the_hot_bound(spark, monkeypatch, reference):
     monkeypatch.setattr(repeats, "HOT", 1)
-    check_suffixes(spark, small(awkward()))
+    monkeypatch.setattr(repeats, "REFERENCE", reference)
+    check_suffixes(spark, awkward())
 
 
 @pytest.fixture
@@ -103,12 +104,12 @@ def tiny_shards(spark, monkeypatch):
 def test_anchors_that_batches_cut_stay_whole(spark, tiny_shards, records):
     tiny_shards(records)
     check_substrings(spark, awkward())
-    check_suffixes(spark, small(awkward()))
+    check_suffixes(spark, awkward())
 
 
 @pytest.mark.parametrize("records", [1, 2, 3, 50])
 def test_shards_are_whole_anchors(records):
-    table = pa.table({"anchor": [1, 1, 1, 2, 3, 3, 3, 3, 4, 5, 5], "content": pa.array([b"xy"] * 11, pa.binary())})
+    table = pa.table({"anchor": [1, 1, 1, 2, 3, 3, 3, 3, 4, 5, 5], "salt": [0] * 11, "content": pa.array([b"xy"] * 11, pa.binary())})
     for size in (1, 3, 5, 100):
         got = [t["anchor"].to_pylist() for t in repeats.shards(iter(table.to_batches(max_chunksize=records)), size)]
         assert sum(got, []) == table["anchor"].to_pylist()
@@ -246,6 +247,34 @@ def test_keep_one_leaves_one_of_each_class(spark):
     assert None in ids and ids.count(3) == 1 and ids.count(4) == 2
 
 
+def test_keep_one_takes_no_column_name(spark):
+    taken = ("_id", "_h", "_th", "mark", "row", "text_hash", "class_id", "first", "n", "bands", "bucket", "content", "root", "lead")
+    docs = clashing(documents(spark), *taken)
+    out = near_dedup.keep_one(docs)
+    assert out.columns == docs.columns
+    kept = out.collect()
+    assert {r[c] for r in kept for c in taken} == {"taken"}
+    key = lambda r: str((r.doc_id, r.text, r.lang))
+    assert Counter(map(key, kept)) == Counter(map(key, near_dedup.keep_one(documents(spark)).collect()))
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    """Of many pairs from 0.8 on, hardly one shares no band: the formula's 0.0004 at 0.8."""
+    rng = np.random.default_rng(21)
+    n, missed, pairs = 90, 0, 0
+    for similar in (0.8, 0.81, 0.85, 0.9):
+        owner, element = [], []
+        for p in range(1500):
+            both = round(2 * n * similar / (1 + similar))
+            hashes = rng.integers(0, 2**63, 2 * n - both, dtype=np.uint64)
+            owner += [2 * p] * n + [2 * p + 1] * n
+            element += [hashes[:n], hashes[n - both :]]
+        keys = bagminhash.band_keys(bagminhash.signatures(np.array(owner), np.concatenate(element), np.ones(len(owner), int), 3000), near_dedup.BANDS)
+        missed += int((~(keys[::2] == keys[1::2]).any(axis=1)).sum())
+        pairs += 1500
+    assert missed <= 5
+
+
 def test_large_buckets_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
     words = [f"v{i}" for i in range(100)]
@@ -261,7 +290,9 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a binary, b binary")).count() == 0
 
 
-def test_random_corpora(spark):
+@pytest.mark.parametrize("hot", [repeats.HOT, 1, 7])
+def test_random_corpora(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     rng = np.random.default_rng(9)
     rows = []
     for i in range(60):
@@ -272,6 +303,18 @@ def test_random_corpora(spark):
     check_suffixes(spark, rows)
 
 
+def test_a_passage_of_many_documents(spark, monkeypatch):
+    """Each document has other words around it, so that its rims have one anchor and as many segments as documents."""
+    monkeypatch.setattr(repeats, "HOT", 10)
+    rng = np.random.default_rng(12)
+    word = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 10**6, n))
+    passage = word(45)
+    rows = [(i, f"{word(30)} {passage} {word(30)}", None, None, None) for i in range(120)]
+    got = check_substrings(spark, rows)
+    assert sorted(r.n_removed for r in got) == [0] + [45] * 119
+    check_suffixes(spark, rows)
+
+
 def test_digest_of_query_is_of_kept_words(spark):
     from pyspark.sql import functions as F
 
