@@ -135,3 +135,72 @@ def query_rule(color_query: Column, type_query: Column, color_flag: Column, type
     kind = color_flag.isNull() & type_flag.isNotNull() & match.eqNullSafe(type_flag)
     both = color_flag.isNotNull() & type_flag.isNotNull() & match.eqNullSafe(color_flag & type_flag)
     return F.when(color_query & ~type_query, colour).when(type_query & ~color_query, kind).when(color_query & type_query, both).otherwise(False)
+
+
+def last_of_key(items: Column, key: str) -> Column:
+    """An array's structs without those whose key comes again further on, and without null keys."""
+    return F.filter(items, lambda x, i: x[key].isNotNull() & ~F.exists(F.slice(items, i + 2, F.size(items)), lambda y: y[key].eqNullSafe(x[key])))
+
+
+def first_of_key(items: Column, key: str) -> Column:
+    """An array's structs without those whose key stood before, and without null keys."""
+    return F.filter(items, lambda x, i: x[key].isNotNull() & ~F.exists(F.slice(items, F.lit(1), i), lambda y: y[key].eqNullSafe(x[key])))
+
+
+def map_by(items: Column, key: str, value: str) -> Column:
+    """A map from an array's structs; of equal keys the last one counts."""
+    return F.map_from_entries(F.transform(last_of_key(items, key), lambda x: F.struct(x[key].alias("k"), x[value].alias("v"))))
+
+
+def others(items: Column, key: str, target: Column) -> Column:
+    """An array's structs but the target's: candidate rows, to be exploded."""
+    return F.filter(items, lambda x: ~x[key].eqNullSafe(target))
+
+
+def shown_ids(items: Column, ids: Column, by: str, name: str) -> Column:
+    """struct(order, complete): the structs whose name is in ids, as names in order of ``by``; complete if those are all of ids, each once."""
+    order = ids_by(F.filter(items, lambda s: F.array_contains(ids, s[name])), by, name)
+    return F.struct(order.alias("order"), (F.array_sort(order) == F.array_sort(ids)).alias("complete"))
+
+
+def restricted(ids: Column, visible: Column, reason: Column, none: str = "NONE") -> Column:
+    """struct(ids, holds): the visible ones in order, and whether the reason is "none" just if there are none."""
+    left = F.array_sort(F.array_intersect(ids, visible))
+    return F.struct(left.alias("ids"), ((reason == none) == (F.size(left) == 0)).alias("holds"))
+
+
+def pair_map(pairs: Column, ids: Column) -> Column:
+    """Pairs (structs id_a, id_b, front_id) that say of two ids which is in front, checked against all pairs of ids.
+
+    struct(fronts, errors, twice, complete): a map from "a-b" to the front id, of
+    equal pairs the first; how many pairs aren't in canonical order, are of other
+    ids, name a third one or hold a null; how many stand again; and whether each
+    pair of ids stands exactly once and nothing else does.
+    """
+    a, b, front = (lambda p: p["id_a"]), (lambda p: p["id_b"]), (lambda p: p["front_id"])
+    fine = lambda p: F.coalesce((a(p) < b(p)) & F.array_contains(ids, a(p)) & F.array_contains(ids, b(p)) & ((front(p) == a(p)) | (front(p) == b(p))), F.lit(False))
+    good = F.transform(F.filter(pairs, fine), lambda p: F.struct(F.concat_ws("-", a(p), b(p)).alias("k"), front(p).alias("v")))
+    once = first_of_key(good, "k")
+    n = F.size(ids)
+    complete = (F.size(pairs) == F.size(once)) & (F.size(once) == (n * (n - 1) / 2))
+    return F.struct(F.map_from_entries(once).alias("fronts"), (F.size(pairs) - F.size(good)).alias("errors"), (F.size(good) - F.size(once)).alias("twice"), complete.alias("complete"))
+
+
+def relations_from_pairs(fronts: Column, ids: Column, target: Column) -> Column:
+    """struct(front, behind) of a target from a map of pairs; an id whose pair is missing is on neither side."""
+    key = lambda x: F.concat_ws("-", F.least(x, target), F.greatest(x, target))
+    rest = F.filter(ids, lambda x: x != target)
+    side = lambda who: F.filter(rest, lambda x: F.coalesce(F.try_element_at(fronts, key(x)) == who(x), F.lit(False)))
+    return F.struct(side(lambda x: x).alias("front"), side(lambda x: target).alias("behind"))
+
+
+def mask_counts(mask: Column) -> Column:
+    """struct(allowed, first_half, second_half) of an array of Booleans: how many are true, and whether any is in either half."""
+    half = F.floor(F.size(mask) / 2).cast("int")
+    return F.struct(F.size(F.filter(mask, lambda m: m)).alias("allowed"), F.exists(F.slice(mask, F.lit(1), half), lambda m: m).alias("first_half"), F.exists(F.slice(mask, half + 1, F.size(mask)), lambda m: m).alias("second_half"))
+
+
+def mirrored_mask(mask: Column) -> Column:
+    """The mask of a mirrored scene: left and right halves change places. Twice is the mask itself."""
+    half = F.floor(F.size(mask) / 2).cast("int")
+    return F.concat(F.slice(mask, half + 1, F.size(mask)), F.slice(mask, F.lit(1), half))

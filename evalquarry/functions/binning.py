@@ -87,3 +87,16 @@ def violations(rules: dict[str, Column]) -> Column:
     """Messages of the rules that are broken, as an array; a rule that is null is broken."""
     each = [F.when(~F.coalesce(rule, F.lit(False)), F.lit(message)) for message, rule in rules.items()]
     return F.filter(F.array(*each), lambda m: m.isNotNull())
+
+
+def within(ranges: dict[str, tuple[float, float]]) -> Column:
+    """Whether each named column lies in its closed range; a null doesn't."""
+    out = F.lit(True)
+    for name, (low, high) in ranges.items():
+        out = out & F.coalesce(F.col(name).between(low, high), F.lit(False))
+    return out
+
+
+#: Which views of a scene are accepted, and which are visible enough to keep.
+ACCEPTED = {"visible_target_fraction": (0.50, 0.75), "blocker_occlusion_fraction": (0.25, 0.50)}
+VISIBLE_ENOUGH = {"visible_target_fraction": (0.40, 0.80), "blocker_occlusion_fraction": (0.20, 0.60), "other_occlusion_fraction": (float("-inf"), 0.10)}

@@ -43,7 +43,7 @@ def json_error(raw: Column, keys: Sequence[str]) -> Column:
     """What is wrong with a JSON object that must have exactly these keys: not_json, not_object, duplicate_key, keys, or null."""
     found = F.json_object_keys(raw)
     return (
-        F.when(raw.isNull() | F.expr("true").isNull(), "not_json")
+        F.when(raw.isNull(), "not_json")
         .when(F.try_parse_json(raw).isNull(), "not_json")
         .when(found.isNull(), "not_object")
         .when(F.size(found) != F.size(F.array_distinct(found)), "duplicate_key")
@@ -113,3 +113,14 @@ def leaks(payload: Column, terms: Sequence[str]) -> Column:
     """Terms that occur in the lower-cased payload."""
     low = F.lower(payload)
     return F.filter(F.array(*map(F.lit, terms)), lambda t: low.contains(F.lower(t)))
+
+
+def headed_records(text: Column, fields: int, header: str = "visible_ids") -> Column:
+    """Records below a line "header: [17, 42]": struct(ids, records, error). The header must be the first line that isn't blank."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    inner = F.regexp_extract(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), rf"^\s*{header}\s*:\s*\[([0-9,\s]*)\]\s*$", 1)
+    has = F.coalesce(F.get(lines, F.lit(0)).rlike(rf"^\s*{header}\s*:\s*\[[0-9,\s]*\]\s*$"), F.lit(False))
+    ids = F.when(F.trim(inner) == "", F.array().cast("array<bigint>")).otherwise(int_list(inner))
+    rest = pipe_records(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), "\n"), fields)
+    error = F.when(~has | ids.isNull(), F.lit("header")).otherwise(rest["error"])
+    return F.struct(F.when(error.isNull(), ids).alias("ids"), F.when(error.isNull(), rest["records"]).alias("records"), error.alias("error"))

@@ -74,3 +74,23 @@ def assert_empty(report: DataFrame, what: str) -> None:
     """Raise if a report of violations has rows; names the first three."""
     if rows := report.limit(3).collect():
         raise ValueError(f"{what}: {', '.join(map(str, rows))}")
+
+
+def pending_first(scheduled: DataFrame, done: DataFrame, keys: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
+    """The first ``most`` scheduled rows, in a stated order, that aren't done: what a run with a cap would do next."""
+    return pending(scheduled, done, keys).orderBy(*order).limit(most)
+
+
+def cross_metric(df: DataFrame, by: Sequence[str], pairs: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """Groups in which two aggregates that should agree don't: by, metric, one, other."""
+    each = F.array(*(F.struct(F.lit(name).alias("metric"), F.col(f"_a{i}").cast("double").alias("one"), F.col(f"_b{i}").cast("double").alias("other")) for i, name in enumerate(pairs)))
+    sums = df.groupBy(*by).agg(*(c.alias(f"_{side}{i}") for i, two in enumerate(pairs.values()) for side, c in zip("ab", two, strict=True)))
+    return sums.select(*by, F.explode(each).alias("e")).select(*by, "e.*").filter(~F.col("one").eqNullSafe(F.col("other")))
+
+
+def split_cover(universe: DataFrame, splits: DataFrame, key: str, split: str) -> DataFrame:
+    """Keys that aren't in exactly one split, or aren't the universe's: key, splits, fault (missing, unknown, overlap)."""
+    each = splits.groupBy(key).agg(F.array_sort(F.collect_set(split)).alias("splits"))
+    both = universe.select(key).distinct().withColumn("_u", F.lit(True)).join(each, key, "full_outer")
+    fault = F.when(F.col("splits").isNull(), "missing").when(F.col("_u").isNull(), "unknown").when(F.size("splits") > 1, "overlap")
+    return both.select(key, "splits", fault.alias("fault")).filter("fault IS NOT NULL")

@@ -103,3 +103,25 @@ def action_masks(limits: DataFrame, step: float, most: float, by: Sequence[str]
     n = round(most / step)
     grid = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: i * step <= F.col("limit") + 1e-9)
     return limits.withColumn("allowed", grid).withColumns({"n_allowed": F.size(F.filter("allowed", lambda a: a)), "any_allowed": F.exists("allowed", lambda a: a)})
+
+
+def ids_where(df: DataFrame, by: Sequence[str], name: str, queries: dict[str, Column]) -> DataFrame:
+    """For each group and query the ids of the rows that satisfy it, in order (none: an empty array)."""
+    return df.groupBy(*by).agg(*(F.array_sort(F.collect_list(F.when(rule, F.col(name)))).alias(q) for q, rule in queries.items()))
+
+
+def action_validity(retrieves: Column, graspable_before: Column, removed: Column, full_after: Column, clear_after: Column, collides: Column, leaves: Column) -> Column:
+    """Whether an executed action is valid: the target could be grasped and is gone, or another object moved and the target is whole and clear; without collision and within bounds."""
+    path = ~F.coalesce(collides, F.lit(True)) & ~F.coalesce(leaves, F.lit(True))
+    return path & F.coalesce(F.when(retrieves, graspable_before & removed).otherwise(full_after & clear_after), F.lit(False))
+
+
+def renamed_join(tables: dict[str, tuple[DataFrame, dict[str, str]]], keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows that all tables have, side by side, where each table has its own names for the keys and columns (its name -> ours)."""
+    ours = {name: df.withColumnsRenamed(names) for name, (df, names) in tables.items()}
+    return side_by_side(ours, keys, dict.fromkeys(ours, columns))
+
+
+def column_or_nested(df: DataFrame, name: str, nested: str) -> Column:
+    """df's column of that name, or the field of a nested struct where df has no such column."""
+    return F.col(f"`{name}`") if name in df.columns else F.col(f"`{nested}`").getField(name)

@@ -126,8 +126,10 @@ def describe(df: DataFrame, value: Column, by: Sequence[str] = (), sample: bool
 
 
 def percentiles(df: DataFrame, value: Column, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact percentiles with linear interpolation, a column p<percent> each."""
-    return df.groupBy(*by).agg(*(F.percentile(value, F.lit(p)).alias(f"p{p * 100:g}".replace(".", "_")) for p in at))
+    """Exact percentiles with linear interpolation, a column p<percent> each: equal values are counted first, then read once for all."""
+    counted = df.select(*by, value.alias("_value")).groupBy(*by, "_value").agg(F.count("*").alias("_n"))
+    out = counted.groupBy(*by).agg(F.percentile("_value", F.array(*(F.lit(float(p)) for p in at)), F.col("_n")).alias("_p"))
+    return out.select(*by, *(F.col("_p")[i].alias(f"p{p * 100:g}".replace(".", "_")) for i, p in enumerate(at)))
 
 
 def distribution(df: DataFrame, label: Column, domain: Sequence[str], by: Sequence[str] = (), positive: str | None = None) -> DataFrame:
@@ -189,3 +191,15 @@ def best_row(df: DataFrame, by: Sequence[str], score: Sequence[Column]) -> DataF
     """The row of each group with the greatest tuple of scores."""
     whole = F.struct(*(F.col(c) for c in df.columns))
     return df.groupBy(*by).agg(F.max_by(whole, F.struct(*(s.alias(f"s{i}") for i, s in enumerate(score)))).alias("_w")).select("_w.*")
+
+
+def flag_counts(df: DataFrame, flags: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """For each flag how many rows have it false; null (what can't be compared) is neither true nor false."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *(F.count_if(flag.eqNullSafe(F.lit(False))).alias(name) for name, flag in flags.items()))
+
+
+def rounded_delta(df: DataFrame, before: Column, after: Column, by: Sequence[str] = (), digits: int = 3) -> DataFrame:
+    """Both rates as rounded percentages, and the difference of these, rounded again: what a reader of the two would compute."""
+    out = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(before).alias("_b"), F.count_if(after).alias("_a"))
+    out = out.withColumns({"before_pct": percentage(F.col("_b"), F.col("n"), digits), "after_pct": percentage(F.col("_a"), F.col("n"), digits)})
+    return out.withColumn("delta_pp", F.bround(F.col("after_pct") - F.col("before_pct"), digits)).drop("_b", "_a")

@@ -21,7 +21,7 @@ def exact_binomial(a: Column, b: Column) -> Column:
     # with k = 0 sequence(1, 0) would run down
     at = F.when(k >= 1, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
     direct = F.aggregate(at, F.struct(F.pow(F.lit(2.0), -n).alias("t"), F.pow(F.lit(2.0), -n).alias("s")), lambda acc, i: F.struct((acc["t"] * (n - i + 1) / i).alias("t"), (acc["s"] + acc["t"] * (n - i + 1) / i).alias("s")), lambda acc: acc["s"])
-    # beyond 1000 pairs: sum downwards from the last term, relative to it, and take the last term from log-gamma-free sums
+    # beyond 1000 pairs: sum downwards from the last term, relative to it; the last term's logarithm is a sum over the factors
     logs = F.aggregate(at, F.lit(0.0), lambda acc, i: acc + F.log((n - i + 1) / i))
     down = F.aggregate(F.reverse(at), start, lambda acc, i: F.struct((acc["t"] * i / (n - i + 1)).alias("t"), (acc["s"] + acc["t"] * i / (n - i + 1)).alias("s")), lambda acc: acc["s"])
     large = F.exp(F.least(logs - n * F.log(F.lit(2.0)) + F.log(down), F.lit(0.0)))

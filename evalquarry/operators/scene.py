@@ -93,7 +93,7 @@ def clearance_limits(moves: DataFrame, obstacles: DataFrame, bounds: Column, key
     return out.select(scene, *(k for k in key if k != scene), F.greatest(F.least("_b", "_c"), F.lit(0.0)).alias("limit"))
 
 
-def escape_distance(r: Column, vx: Column, vy: Column, strip: Column, step: float, limit: Column, tolerance: float = 1e-10) -> Column:
+def escape_distance(r: Column, vx: Column, vy: Column, strip: Column, step: float, limit: Column) -> Column:
     """The least multiple of step, below limit, at which a sliding rectangle has left a strip; null if there is none.
 
     The area in common is 0 once either side has moved past, so the distance is the
@@ -104,7 +104,6 @@ def escape_distance(r: Column, vx: Column, vy: Column, strip: Column, step: floa
         F.when(vy > 0, (strip["ymax"] - r["ymin"]) / vy).when(vy < 0, (strip["ymin"] - r["ymax"]) / vy),
     ]
     n = F.greatest(F.ceil(F.least(*past) / step - 1e-9), F.lit(1))
-    del tolerance
     return F.when(n <= F.floor((limit - 1e-8) / step), n * step)
 
 
@@ -130,14 +129,18 @@ def translation_candidates(scenes: DataFrame, obstacles: DataFrame, bounds: Colu
 
 
 def near_objects(objects: DataFrame, within: float, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon") -> DataFrame:
-    """Pairs of a scene's objects at most ``within`` apart; boxes rule most pairs out before polygons are compared."""
+    """Pairs of a scene's objects at most ``within`` apart; boxes rule most pairs out before polygons are compared.
+
+    The join has the boxes' conditions alone: a filter on the distance itself would be
+    moved ahead of them, so it stands in what is exploded, where it is computed once.
+    """
     xs, ys = F.transform(polygon, lambda p: p["x"]), F.transform(polygon, lambda p: p["y"])
     boxed = objects.select(scene, key, polygon, F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
     a, b = boxed.alias("a"), boxed.alias("b")
     close = (F.col("a.x0") <= F.col("b.x1") + within) & (F.col("b.x0") <= F.col("a.x1") + within) & (F.col("a.y0") <= F.col("b.y1") + within) & (F.col("b.y0") <= F.col("a.y1") + within)
     pairs = a.join(b, (F.col(f"a.{scene}") == F.col(f"b.{scene}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & close)
-    out = pairs.select(F.col(f"a.{scene}").alias(scene), F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b"), G.distance(F.col(f"a.{polygon}"), F.col(f"b.{polygon}")).alias("distance"))
-    return out.filter(F.col("distance") <= within)
+    near = F.filter(F.array(G.distance(F.col(f"a.{polygon}"), F.col(f"b.{polygon}"))), lambda d: d <= within)
+    return pairs.select(F.col(f"a.{scene}").alias(scene), F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b"), F.explode(near).alias("distance"))
 
 
 def path_check(moves: DataFrame, obstacles: DataFrame, bounds: tuple[float, float, float, float], step: float, key: Sequence[str] = ("scene_id", "move_id")) -> DataFrame:
@@ -157,3 +160,26 @@ def path_check(moves: DataFrame, obstacles: DataFrame, bounds: tuple[float, floa
     bad = each.filter(F.col("outside") | (F.size("hits") > 0))
     first = bad.groupBy(*key).agg(F.min("i").alias("first_step"), F.min_by("outside", "i").alias("outside"), F.min_by("hits", "i").alias("hits"))
     return moves.select(*key).join(first, list(key), "left").withColumn("clear", F.col("first_step").isNull())
+
+
+def static_validity(moves: DataFrame, obstacles: DataFrame, bounds: Column, margin: float, gap: float = 0.002, most: float = 0.45) -> DataFrame:
+    """Whether a stated slide of each scene's blocker clears the target's corridor without meeting anything.
+
+    moves: scene_id, target and blocker (structs), vx, vy, distance; obstacles:
+    scene_id, o, without both. Returns corridor_overlap, corridor_clear,
+    clearance_limit, collision_free (short of the limit and within the bounds) and valid.
+    """
+    goal = G.moved(F.col("blocker"), F.col("vx") * F.col("distance"), F.col("vy") * F.col("distance"))
+    things = obstacles.select("scene_id", "o").unionByName(moves.select("scene_id", F.col("target").alias("o")))
+    limits = clearance_limits(moves.withColumnRenamed("blocker", "r"), things, bounds, ["scene_id"], gap=gap, most=most).withColumnRenamed("limit", "clearance_limit")
+    out = moves.join(limits, "scene_id").withColumn("corridor_overlap", G.overlap(goal, G.corridor(F.col("target"), bounds["ymin"], margin)))
+    clear, free = F.col("corridor_overlap") <= 1e-10, (F.col("distance") < F.col("clearance_limit")) & G.rect_inside(goal, bounds, gap)
+    return out.select("scene_id", "corridor_overlap", clear.alias("corridor_clear"), "clearance_limit", free.alias("collision_free"), (clear & free).alias("valid"))
+
+
+def finger_zones(objects: DataFrame, zones: DataFrame, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon", tolerance: float = 1e-7) -> DataFrame:
+    """Each object's finger zones (left and right, from ``zones``: scene, key, side, zone) and the other objects in them; free if there are none."""
+    other = objects.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col(polygon).alias("_p"))
+    met = zones.join(other, (F.col(scene) == F.col("_s")) & (F.col(key) != F.col("_k")), "left")
+    hit = F.when(G.distance(F.col("zone"), F.col("_p")) <= tolerance, F.col("_k"))
+    return met.groupBy(scene, key, "side").agg(F.array_sort(F.collect_set(hit)).alias("occupied_by")).withColumn("free", F.size("occupied_by") == 0)

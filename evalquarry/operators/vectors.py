@@ -253,3 +253,33 @@ def principal_axes(df: DataFrame, vector: str, k: int = 2) -> DataFrame:
     v = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(v)
     return model.transform(v).withColumn("pca", vector_to_array("_p")).drop("_v", "_p")
+
+
+def smooth_l1(error: Column, beta: float = 1.0) -> Column:
+    """Half the square below beta (over it), the absolute value less half of beta beyond."""
+    e = F.abs(error)
+    return F.when(e < beta, e * e / (2 * beta)).otherwise(e - beta / 2)
+
+
+def interval_loss(predicted: Column, low: Column, high: Column) -> Column:
+    """Smooth L1 of how far a prediction lies outside its safe interval; 0 within."""
+    return smooth_l1(F.greatest(low - predicted, predicted - high, F.lit(0.0)))
+
+
+def acceptable_nll(logits: Column, acceptable: Column) -> Column:
+    """Negative log of the probability of all acceptable entries together; null without any."""
+    kept = F.transform(F.filter(F.arrays_zip(logits.alias("l"), acceptable.alias("a")), lambda z: z["a"]), lambda z: z["l"])
+    return F.when(F.size(kept) > 0, logsumexp(logits) - logsumexp(kept))
+
+
+def ranking_loss(logits: Column, acceptable: Column, margin: float = 1.0) -> Column:
+    """How far the best entry that isn't acceptable comes within the margin of the best that is; 0 beyond, null unless there are both."""
+    zipped = F.arrays_zip(logits.alias("l"), acceptable.alias("a"))
+    best = lambda want: F.array_max(F.transform(F.filter(zipped, lambda z: z["a"] == want), lambda z: z["l"]))
+    return F.greatest(best(F.lit(False)) - best(F.lit(True)) + margin, F.when(best(F.lit(True)).isNotNull() & best(F.lit(False)).isNotNull(), 0.0))
+
+
+def smoothed_cross_entropy(logits: Column, label: Column, smoothing: float = 0.1) -> Column:
+    """Cross entropy against a label that has 1 - smoothing, the rest shared by all entries."""
+    mean = F.aggregate(logits, F.lit(0.0), lambda a, x: a + x) / F.size(logits)
+    return logsumexp(logits) - (1 - smoothing) * F.element_at(logits, (label + 1).cast("int")) - smoothing * mean

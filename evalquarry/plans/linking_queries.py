@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import linking, metrics, scene, vectors
-from .catalog import define, r6, table
+from .catalog import SQL, define, r6, table
 from .metric_queries import UNIT, labelled, scored
 from .value_queries import BOX, PAIRS, boxes, shelf
 
@@ -103,11 +103,11 @@ def post_move_check(spark: SparkSession, sf: str) -> DataFrame:
     return linking.post_move_check(li, F.col("l_returnflag") == "R", F.col("l_linestatus") == "F", ["l_orderkey"], 0.02)
 
 
-@define(f"WITH b AS ({BOX}), m AS (SELECT scene_id, min(x) AS x, min(w) AS w FROM b WHERE object_id = 1 GROUP BY scene_id HAVING count(*) = 1) SELECT scene_id, CAST(greatest(0, least(8, floor((least(0.45, 0.298 - x - w / 2) + 1e-9) / 0.05))) AS BIGINT) AS n_allowed FROM m")
+@define(f'WITH l AS ({SQL["swept_aabb_limit"]}) SELECT scene_id, CAST(least(8, floor(("limit" + 1e-9) / 0.05)) AS BIGINT) AS n_allowed FROM l')
 def action_masks(spark: SparkSession, sf: str) -> DataFrame:
     b = boxes(spark, sf).filter("object_id = 1").groupBy("scene_id").agg(F.min("o").alias("r"), F.count("*").alias("c")).filter("c = 1")
     moves = b.select("scene_id", "r", F.lit(1.0).alias("vx"), F.lit(0.0).alias("vy"))
-    limits = scene.clearance_limits(moves, boxes(spark, sf).filter("false"), shelf(), [])
+    limits = scene.clearance_limits(moves, boxes(spark, sf).filter("object_id > 1"), shelf(), [])
     return linking.action_masks(limits, 0.05, 0.4).select("scene_id", F.col("n_allowed").cast("bigint").alias("n_allowed"))
 
 
@@ -124,7 +124,7 @@ def micro_scores(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: r6(F.col(c)) for c in ("precision", "recall", "f1")})
 
 
-@define(f"SELECT i AS vec_id_i, j AS vec_id_j, round(c - d, 6) AS change FROM ({PAIRS}) JOIN (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) AS d FROM (SELECT vec_id, CAST(embedding[1:32] AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 60) a JOIN (SELECT vec_id, CAST(embedding[1:32] AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 60) b ON a.vec_id < b.vec_id) USING (i, j)")
+@define(f"SELECT i AS vec_id_i, j AS vec_id_j, round(c - d, 6) AS change FROM ({PAIRS}) JOIN (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) AS d FROM (SELECT vec_id, CAST(embedding[1:32] AS DOUBLE[]) AS v FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding[1:32] AS DOUBLE[]) AS v FROM embeddings) b ON a.vec_id < b.vec_id) USING (i, j) WHERE i < 60")
 def matrix_difference(spark: SparkSession, sf: str) -> DataFrame:
     """The stated first 60 vectors against all."""
     e, asked = table(spark, sf, "embeddings"), F.col("vec_id") < 60
@@ -132,7 +132,7 @@ def matrix_difference(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.cosine_pairs(e, "vec_id", "embedding", asked=asked).join(half, ["vec_id_i", "vec_id_j"]).select("vec_id_i", "vec_id_j", r6(F.col("cosine") - F.col("d")).alias("change"))
 
 
-@define(f"WITH p AS (SELECT 1 AS layer, li, lj, c FROM ({PAIRS}) WHERE i < 60 AND j < 60 UNION ALL SELECT 2, li, lj, c FROM ({PAIRS}) WHERE i >= 60 AND i < 120 AND j >= 60 AND j < 120) SELECT layer, round(avg(c) FILTER (li = lj) - avg(c) FILTER (li <> lj), 6) AS gap FROM p GROUP BY layer")
+@define(f"WITH p AS (SELECT CAST(i // 60 + 1 AS INT) AS layer, li, lj, c FROM ({PAIRS}) WHERE i // 60 = j // 60) SELECT layer, round(avg(c) FILTER (li = lj) - avg(c) FILTER (li <> lj), 6) AS gap FROM p GROUP BY layer")
 def layerwise_gap(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").withColumn("layer", (F.floor(F.col("vec_id") / 60) + 1).cast("int"))
     pairs = vectors.cosine_pairs(e, "vec_id", "embedding", ["label"], by=["layer"])

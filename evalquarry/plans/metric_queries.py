@@ -315,10 +315,12 @@ def running_best(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.running_best(table(spark, sf, "orders"), ["o_custkey"], [F.col("o_orderkey")], "o_totalprice").select("o_custkey", "o_orderkey", "best", "is_record", F.col("stale").cast("bigint").alias("stale"))
 
 
-@define("SELECT 'price' AS field, count(*) FILTER (l.l_extendedprice IS NOT DISTINCT FROM r.l_extendedprice) AS matches, count(*) FILTER (l.l_extendedprice IS DISTINCT FROM r.l_extendedprice) AS mismatches FROM lineitem l JOIN lineitem r ON l.l_orderkey = r.l_orderkey AND l.l_linenumber = r.l_linenumber")
+@define("SELECT 'price' AS field, count(*) FILTER (l.p IS NOT DISTINCT FROM r.p) AS matches, count(*) FILTER (l.p IS DISTINCT FROM r.p) AS mismatches FROM (SELECT l_orderkey, l_linenumber, l_extendedprice AS p FROM lineitem) l JOIN (SELECT l_orderkey, l_linenumber, CASE l_partkey % 7 WHEN 0 THEN l_extendedprice + 1 WHEN 1 THEN NULL ELSE l_extendedprice END AS p FROM lineitem) r USING (l_orderkey, l_linenumber)")
 def field_equality_audit(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("price"))
-    return audit.field_mismatches(li, li, ["l_orderkey", "l_linenumber"], ["price"])
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_extendedprice").alias("price"))
+    k = F.col("l_partkey") % 7
+    changed = li.withColumn("price", F.when(k == 0, F.col("price") + 1).when(k != 1, F.col("price")))
+    return audit.field_mismatches(li, changed, ["l_orderkey", "l_linenumber"], ["price"])
 
 
 @define("SELECT n_regionkey, n_mod, coalesce(n, 0) AS n FROM (SELECT DISTINCT n_regionkey FROM nation) CROSS JOIN (SELECT DISTINCT n_nationkey % 5 AS n_mod FROM nation) LEFT JOIN (SELECT n_regionkey, n_nationkey % 5 AS n_mod, count(*) AS n FROM nation GROUP BY ALL) USING (n_regionkey, n_mod) WHERE coalesce(n, 0) <> 1")
@@ -336,7 +338,7 @@ def exact_dup_hash(spark: SparkSession, sf: str) -> DataFrame:
     return audit.exact_duplicates(table(spark, sf, "documents"), F.coalesce("text", F.lit("")))
 
 
-@define("SELECT '{\"k0\":' || a || ',\"k1\":' || b || '}' AS key_json, count(*) AS n, list_sort(list(DISTINCT label)) AS splits FROM (SELECT CAST(floor(embedding[1] / 0.05) AS BIGINT) AS a, CAST(floor(embedding[2] / 0.05) AS BIGINT) AS b, label FROM embeddings) GROUP BY a, b HAVING count(DISTINCT label) > 1")
+@define("SELECT key_json, count(*) AS n, list_sort(list(DISTINCT label)) AS splits FROM (SELECT '{\"k0\":[' || array_to_string(list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) / 0.05) AS BIGINT)), ',') || ']}' AS key_json, label FROM embeddings) GROUP BY key_json HAVING count(DISTINCT label) > 1")
 def near_duplicate_quantized(spark: SparkSession, sf: str) -> DataFrame:
     cells = F.transform("embedding", lambda x: F.floor(x.cast("double") / 0.05))
     return audit.quantized_duplicates(table(spark, sf, "embeddings"), [cells], "label")

@@ -23,7 +23,7 @@ def ordered(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("l_orderkey", by("l_linenumber", "l_partkey", "l_extendedprice").alias("e"), by("l_extendedprice", "l_linenumber", "l_partkey").alias("p"))
 
 
-@define("SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', ' ', 'g')) AS normal FROM documents WHERE lang = 'en'")
+@define("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS normal FROM documents")
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", X.normalized(F.col("text")).alias("normal"))
 
@@ -39,7 +39,10 @@ def json_props_strict_parse(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", parsed["value"]["k"].alias("k"), parsed["error"].alias("error"))
 
 
-@define("SELECT CASE event_id % 5 WHEN 0 THEN 'not_json' WHEN 1 THEN 'keys' WHEN 2 THEN 'not_object' WHEN 3 THEN 'type' ELSE 'fine' END AS error, count(*) AS n FROM events GROUP BY 1")
+@define(
+    "WITH r AS (SELECT CASE event_id % 5 WHEN 0 THEN substr(props, 1, 3) WHEN 1 THEN replace(props, 'k', 'j') WHEN 2 THEN '[1]' WHEN 3 THEN '{\"k\": \"x\"}' ELSE props END AS raw FROM events) "
+    "SELECT CASE WHEN NOT json_valid(raw) THEN 'not_json' WHEN json_type(raw) <> 'OBJECT' THEN 'not_object' WHEN json_keys(raw) <> ['k'] THEN 'keys' WHEN try_cast(json_extract_string(raw, '$.k') AS BIGINT) IS NULL THEN 'type' ELSE 'fine' END AS error, count(*) AS n FROM r GROUP BY 1"
+)
 def json_error_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("event_id") % 5
     raw = F.when(i == 0, F.substring("props", 1, 3)).when(i == 1, F.replace("props", F.lit("k"), F.lit("j"))).when(i == 2, F.lit("[1]")).when(i == 3, F.lit('{"k": "x"}')).otherwise(F.col("props"))
@@ -47,12 +50,11 @@ def json_error_taxonomy(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(raw.alias("raw")).select(F.coalesce(error, F.lit("fine")).alias("error")).groupBy("error").agg(F.count("*").alias("n"))
 
 
-@define("SELECT p_partkey, [p_name, p_type] AS first_record, CASE WHEN p_size > 25 THEN 'line 2: expected 2 fields' END AS error FROM part")
+@define("SELECT p_partkey, CASE WHEN p_size <= 25 THEN [p_name, p_type] END AS first_record, CASE WHEN p_size > 25 THEN 'line 2: expected 2 fields' END AS error FROM part")
 def pipe_record_parse(spark: SparkSession, sf: str) -> DataFrame:
     text = F.concat_ws("\n", F.concat_ws(" | ", "p_name", "p_type"), F.lit(""), F.when(F.col("p_size") > 25, F.lit("odd")).otherwise(F.lit("a|b")))
     out = X.pipe_records(text, 2)
-    first = F.transform(F.slice(F.split(F.split(text, "\n")[0], r"\|"), 1, 2), lambda s: F.trim(s))
-    return table(spark, sf, "part").select("p_partkey", F.coalesce(out["records"][0], first).alias("first_record"), out["error"].alias("error"))
+    return table(spark, sf, "part").select("p_partkey", out["records"][0].alias("first_record"), out["error"].alias("error"))
 
 
 @define("SELECT o_orderkey, [o_orderkey, o_custkey] AS ids FROM orders")
@@ -139,11 +141,11 @@ def ordered_projection(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("n_regionkey", A.nearest_item(F.col("i"), "k", "n_name").alias("nearest"), A.ids_by(F.col("i"), "k", "n_name").alias("ids"))
 
 
-SMALL = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 200"
+SMALL = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
 PAIRS = f"SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) AS c FROM ({SMALL}) a JOIN ({SMALL}) b ON a.vec_id < b.vec_id"
 
 
-@define(f"SELECT i AS vec_id_i, j AS vec_id_j, round(c, 6) AS cosine FROM ({PAIRS})")
+@define(f"SELECT i AS vec_id_i, j AS vec_id_j, round(c, 6) AS cosine FROM ({PAIRS}) WHERE i < 200")
 def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """The stated first 200 vectors against all: a whole similarity matrix is quadratic, so its rows are a parameter of the report."""
     pairs = vectors.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", asked=F.col("vec_id") < 200)
@@ -161,23 +163,23 @@ def nn1_label_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.nearest_agreement(table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
 
 
-@define("WITH c AS (SELECT vec_id, list(x - m ORDER BY d) AS v FROM (SELECT vec_id, d, x, avg(x) OVER (PARTITION BY d) AS m FROM (SELECT vec_id, unnest(range(1, 65)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id < 100)) GROUP BY vec_id) SELECT a.vec_id AS vec_id_i, b.vec_id AS vec_id_j, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 6) AS cosine FROM c a JOIN c b ON a.vec_id < b.vec_id")
+@define("WITH c AS (SELECT vec_id, list(x - m ORDER BY d) AS v FROM (SELECT vec_id, d, x, avg(x) OVER (PARTITION BY d) AS m FROM (SELECT vec_id, unnest(range(1, 65)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)) GROUP BY vec_id) SELECT a.vec_id AS vec_id_i, b.vec_id AS vec_id_j, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 6) AS cosine FROM c a JOIN c b ON a.vec_id < b.vec_id WHERE a.vec_id < 100")
 def centered_cosine(spark: SparkSession, sf: str) -> DataFrame:
     """The stated first 100 vectors against all, all less the mean of all."""
     e = table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
     return vectors.cosine_pairs(vectors.centred(e, "embedding", 64), "vec_id", "embedding", asked=F.col("vec_id") < 100).withColumn("cosine", r6(F.col("cosine")))
 
 
-L8 = "SELECT vec_id, CAST(embedding[1:8] AS DOUBLE[]) AS l FROM embeddings"
+LOGITS = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS l FROM embeddings"
 
 
-@define(f"SELECT vec_id, list_position(l, list_max(l)) - 1 AS choice, round(exp(list_max(l)) / list_sum(list_transform(l, lambda x: exp(x))), 6) AS p, round(ln(list_sum(list_transform(l, lambda x: exp(x)))), 6) AS total, round(ln(list_sum(list_transform(l, lambda x: exp(x)))) - l[1], 6) AS ce FROM ({L8})")
+@define(f"SELECT vec_id, list_position(l, list_max(l)) - 1 AS choice, round(exp(list_max(l)) / list_sum(list_transform(l, lambda x: exp(x))), 6) AS p, round(ln(list_sum(list_transform(l, lambda x: exp(x)))), 6) AS total, round(ln(list_sum(list_transform(l, lambda x: exp(x)))) - l[1], 6) AS ce FROM ({LOGITS})")
 def softmax_decode(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("l"))
     return e.select("vec_id", vectors.argmax(F.col("l")).cast("bigint").alias("choice"), r6(F.array_max(vectors.softmax(F.col("l")))).alias("p"), r6(vectors.logsumexp(F.col("l"))).alias("total"), r6(vectors.cross_entropy(F.col("l"), F.lit(0))).alias("ce"))
 
 
-@define("WITH e AS (SELECT vec_id, CAST(embedding[1:16] AS DOUBLE[]) AS l FROM embeddings), s AS (SELECT vec_id, l, list_transform(range(0, 4), lambda d: ln(list_sum(list_transform(l[d * 4 + 1:d * 4 + 4], lambda x: exp(x))))) AS m FROM e), d AS (SELECT *, list_position(m, list_max(m)) - 1 AS direction FROM s) SELECT vec_id, direction, list_position(l[direction * 4 + 1:direction * 4 + 4], list_max(l[direction * 4 + 1:direction * 4 + 4])) - 1 AS distance, round(list_max(m), 6) AS marginal FROM d")
+@define("WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS l FROM embeddings), s AS (SELECT vec_id, l, list_transform(range(0, 8), lambda d: ln(list_sum(list_transform(l[d * 8 + 1:d * 8 + 8], lambda x: exp(x))))) AS m FROM e), d AS (SELECT *, list_position(m, list_max(m)) - 1 AS direction FROM s) SELECT vec_id, direction, list_position(l[direction * 8 + 1:direction * 8 + 8], list_max(l[direction * 8 + 1:direction * 8 + 8])) - 1 AS distance, round(list_max(m), 6) AS marginal FROM d")
 def logsumexp_marginal(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("l"))
     e = e.select("vec_id", vectors.direction_first(F.col("l"), 8, 8).alias("d"))
@@ -232,11 +234,12 @@ def translation_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return scene.translation_candidates(scenes, b.filter("object_id > 2").select("scene_id", "o"), shelf(), 0.01)
 
 
-def polygons(spark: SparkSession, sf: str) -> DataFrame:
-    """Triangles and hulls made from the orders' boxes, in centimetres."""
+def polygons(spark: SparkSession, sf: str, single: bool = False) -> DataFrame:
+    """The orders' boxes in centimetres, one for each object; single: objects of one box only."""
     o = F.col("o")
+    each = boxes(spark, sf).groupBy("scene_id", "object_id").agg(F.min("o").alias("o"), F.count("*").alias("c"))
     corner = F.array(G.point(o["xmin"] * 100, o["ymin"] * 100), G.point(o["xmax"] * 100, o["ymin"] * 100), G.point(o["xmax"] * 100, o["ymax"] * 100), G.point(o["xmin"] * 100, o["ymax"] * 100))
-    return boxes(spark, sf).dropDuplicates(["scene_id", "object_id"]).select("scene_id", "object_id", corner.alias("polygon"))
+    return (each.filter("c = 1") if single else each).select("scene_id", "object_id", corner.alias("polygon"))
 
 
 APART = "100 * sqrt(pow(greatest(0, abs(a.x - b.x) - (a.w + b.w) / 2), 2) + pow(greatest(0, abs(a.y - b.y) - (a.w + b.w) / 2), 2))"
@@ -244,8 +247,7 @@ APART = "100 * sqrt(pow(greatest(0, abs(a.x - b.x) - (a.w + b.w) / 2), 2) + pow(
 
 @define(f"WITH b AS (SELECT scene_id, object_id, min(x) AS x, min(y) AS y, min(w) AS w FROM ({BOX}) GROUP BY ALL HAVING count(*) = 1) SELECT a.scene_id, a.object_id AS object_id_a, b.object_id AS object_id_b, round({APART}, 4) AS distance FROM b a JOIN b ON a.scene_id = b.scene_id AND a.object_id < b.object_id AND {APART} <= 5.00001")
 def convex_polygon_distance(spark: SparkSession, sf: str) -> DataFrame:
-    single = boxes(spark, sf).groupBy("scene_id", "object_id").agg(F.count("*").alias("c")).filter("c = 1").drop("c")
-    return scene.near_objects(polygons(spark, sf).join(single, ["scene_id", "object_id"]), 5.00001).withColumn("distance", F.round("distance", 4))
+    return scene.near_objects(polygons(spark, sf, single=True), 5.00001).withColumn("distance", F.round("distance", 4))
 
 
 @define(None)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,16 +23,34 @@ def read_json_document(spark: SparkSession, path: str, schema: T.StructType | st
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, strict: bool = True, missing_ok: bool = False) -> DataFrame:
     """A log of one record per line; blank lines are skipped.
 
-    strict: a malformed line is an error. Otherwise such lines come back with their
+    strict: a malformed line is an error that names its file and line. Otherwise such lines come back with their
     text in _corrupt_record. missing_ok: a path that isn't there is an empty table.
     """
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     if missing_ok and not exists(spark, path):
         return spark.createDataFrame([], schema)
-    if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     wide = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    return spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    if not strict:
+        return spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "")
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    bad = F.raise_error(F.concat(F.lit("malformed JSON at "), F.col("file"), F.lit(":"), F.col("line").cast("string")))
+    checked = lines.withColumn("p", parsed).withColumn("p", F.when(F.col("p._corrupt_record").isNull(), F.col("p")).otherwise(bad.cast(wide)))
+    return checked.select(*(F.col(f"p.`{f.name}`") for f in schema.fields))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of text files with their file and number (from 1): file, line, value.
+
+    Spark reads a file in blocks, each in order within one task: a line's number is
+    its place in the block plus the lines of the file's earlier blocks, a table of
+    one row for each block.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = blocks.withColumn("before", before).select("file", "block", "first", "before")
+    return lines.join(offsets, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "value")
 
 
 def quarantined(log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -61,7 +79,7 @@ def read_images(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def read_arrays(spark: SparkSession, glob: str) -> DataFrame:
-    """Vectors of .npy files (rows of a 2-D array): path, row, values. Files are decoded inside tasks."""
+    """Vectors of .npy and .npz files (rows of 2-D arrays): path, name (of an archive's array, else null), row, values. Files are decoded inside tasks."""
     import io
 
     import numpy as np
@@ -70,10 +88,12 @@ def read_arrays(spark: SparkSession, glob: str) -> DataFrame:
     def decode(parts):
         for part in parts:
             for path, content in zip(part["path"], part["content"], strict=True):
-                table = np.atleast_2d(np.load(io.BytesIO(content), allow_pickle=False)).astype(float)
-                yield pd.DataFrame({"path": path, "row": range(len(table)), "values": list(table)})
+                got = np.load(io.BytesIO(content), allow_pickle=False)
+                for name in getattr(got, "files", [None]):
+                    table = np.atleast_2d(got if name is None else got[name]).astype(float)
+                    yield pd.DataFrame({"path": path, "name": name, "row": range(len(table)), "values": list(table)})
 
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(decode, "path string, row long, values array<double>")
+    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(decode, "path string, name string, row long, values array<double>")
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
@@ -123,3 +143,15 @@ def content_cached(df: DataFrame, key: Column, compute) -> DataFrame:
     once = compute(keyed.dropDuplicates(["_key"]))
     new = [c for c in once.columns if c not in keyed.columns]
     return keyed.join(once.select("_key", *new), "_key").drop("_key")
+
+
+def write_document(df: DataFrame, path: str, sort_keys: bool = False, most: int = 100_000) -> None:
+    """A report of at most ``most`` rows as one JSON document, an array of objects laid out for reading; more rows are an error.
+
+    One row holds the document, so it is for reports; a table goes to write_jsonl.
+    """
+    if (n := df.limit(most + 1).count()) > most:
+        raise ValueError(f"more than {most} rows are no report")
+    names = sorted(df.columns) if sort_keys else df.columns
+    whole = df.agg(F.to_json(F.collect_list(F.struct(*(F.col(f"`{c}`") for c in names))), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")) if n else df.sparkSession.createDataFrame([("[]",)], "value string")
+    whole.coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(path)
