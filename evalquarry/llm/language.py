@@ -116,9 +116,9 @@ def level_sums(rows: DataFrame, level: str, n: int, name: str) -> DataFrame:
     return rows.filter(F.col(level).isNotNull()).groupBy(level).agg(F.array(*(F.sum(F.col("soft")[i]) for i in range(n))).alias(name), F.count("*").alias("_n"))
 
 
-def smoothed(rows: DataFrame, level: str, n: int, above: Column, lean: float) -> DataFrame:
-    """rows with the prior of a level: its counts of the other pages leaning on the level above."""
-    joined = hot_join(rows, level_sums(rows, level, n, "_sums"), [level], "_n", ["id", "url"], "left")
+def smoothed(rows: DataFrame, pages: DataFrame, level: str, n: int, above: Column, lean: float) -> DataFrame:
+    """rows with the prior of a level: the level's counts of the other pages leaning on the level above."""
+    joined = hot_join(rows, saved(level_sums(pages, level, n, "_sums"), level), [level], "_n", ["id", "url"], "left")
     zero = F.array(*(F.lit(0.0) for _ in range(n)))
     others = F.zip_with(F.coalesce("_sums", zero), F.when(F.col(level).isNotNull(), F.col("soft")).otherwise(zero), lambda s, own: F.greatest(s - own, F.lit(0.0)))
     total = F.aggregate(others, F.lit(0.0), lambda a, x: a + x)
@@ -136,7 +136,10 @@ def identify(pages: DataFrame, texts: DataFrame, id_col: str = "page_id", url_co
     text, no declaration, no address; null or empty) says nothing; a page without
     any evidence has the overall prior. Ties go to the language first in order.
     Repeated rows each count and get their row. Without any labelled text, language
-    and probability are null. Other columns play no part.
+    and probability are null; without pages there are no rows. Other columns play
+    no part, whatever their names. The model has 2 ** BITS numbers for each
+    different language of the texts, which passes the driver: lang_col is meant to
+    hold languages, of which there are few.
     """
     bounded_batches(pages.sparkSession)
     model = fit(texts, text_col, lang_col)
@@ -159,12 +162,12 @@ def identify(pages: DataFrame, texts: DataFrame, id_col: str = "page_id", url_co
     prior = F.array(*(F.lit(x / sum(weight)) for x in weight))
     out = rows.withColumn("prior", prior)
     for level in ("suffix", "domain", "host"):
-        out = smoothed(out, level, n, F.col("prior"), lean)
+        out = smoothed(out, rows, level, n, F.col("prior"), lean)
     logs = [F.col("text_log"), F.transform("prior", lambda p: F.log(p))]
     for what in ("declared", "segment"):
         every = rows.filter(F.col(what).isNotNull()).agg(F.array(*(F.sum(F.col("soft")[i]) for i in range(n))).alias("s"), F.count_distinct(what).alias("k")).first()
         norm, kinds = [x or 0.0 for x in every["s"] or [0.0] * n], every["k"]
-        out = hot_join(out, level_sums(rows, what, n, f"_{what}"), [what], "_n", ["id", "url"], "left")
+        out = hot_join(out, saved(level_sums(rows, what, n, f"_{what}"), what), [what], "_n", ["id", "url"], "left")
         # P(value | language), with the page's own share left out
         value = F.array(*(F.log((F.greatest(F.col(f"_{what}")[i] - F.col("soft")[i], F.lit(0.0)) + SMOOTH) / F.lit(norm[i] + SMOOTH * (kinds + 1))) for i in range(n)))
         logs.append(F.when(F.col(what).isNotNull(), value).otherwise(F.array(*(F.lit(0.0) for _ in range(n)))))
