@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .labelled import held_out, sample
 from .packed import LOWER, SPACED, U64, lists, pieces, ranges, scramble, take
-from .shared import bounded_batches
+from .shared import bounded_batches, forget, saved
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 10_000
@@ -106,7 +106,7 @@ def logistic(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarra
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int = SAMPLE, features: int = FEATURES) -> Model:
     """The model from (id, text) and labels; see score."""
-    labelled = docs.join(sample(labels, label_col, rows=rows), "id").select("label", "text")
+    labelled = saved(docs.join(sample(labels, label_col, rows=rows), "id").select("label", "text"), "labelled")
     counts = labelled.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     table = counts.toArrow()  # 2 ** BUCKET_BITS rows at most
     bucket, clean, toxic = (np.asarray(table[c]) for c in ("bucket", "clean", "toxic"))
@@ -122,6 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", rows: int
     best = np.lexsort((bucket, -evidence))[:features]
     used, ratio = bucket[best], ratio[best]
     got = labelled.mapInArrow(chosen(used), "label int, has array<int>").toArrow()  # ``rows`` lists of ``features`` numbers at most
+    forget(labelled)
     has = got["has"].combine_chunks()
     row = np.repeat(np.arange(len(has)), np.asarray(has.value_lengths()))
     w, b = logistic(row, np.asarray(has.flatten()).astype(np.int64), ratio, np.asarray(got["label"]).astype(float))
@@ -152,7 +153,9 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     logistic regression weighs the FEATURES strongest. Both learn from at most
     ``rows`` labelled rows that the split doesn't hold out. Whole texts are scored;
     null and empty ones have the score of no n-grams. Repeated documents each get
-    their row; without labels of both kinds every score is the labels' share.
+    their row and, if labelled, each teach; without labels of both kinds every score
+    is the labels' share (0.5 without any); without documents there are no rows.
+    Other columns play no part, whatever their names.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
