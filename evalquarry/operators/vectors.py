@@ -216,11 +216,6 @@ def cross_entropy(logits: Column, target: Column, smoothing: float = 0.0) -> Col
     return -(1 - smoothing) * F.element_at(logs, target + 1) - smoothing * mean
 
 
-def smooth_l1(error: Column, beta: float = 1.0) -> Column:
-    e = F.abs(error)
-    return F.when(e < beta, e * e / (2 * beta)).otherwise(e - beta / 2)
-
-
 def set_nll(logits: Column, acceptable: Column) -> Column:
     """Negative log probability of the acceptable set; null if the set is empty."""
     inside = F.filter(F.zip_with(logits, acceptable, lambda x, a: F.when(a, x)), lambda x: x.isNotNull())

@@ -231,7 +231,8 @@ def translation_candidates(spark: SparkSession, sf: str) -> DataFrame:
     b = boxes(spark, sf)
     pick = lambda i, name: b.filter(F.col("object_id") == i).groupBy("scene_id").agg(F.min("o").alias(name))
     scenes = pick(1, "target").join(pick(2, "blocker"), "scene_id")
-    return scene.translation_candidates(scenes, b.filter("object_id > 2").select("scene_id", "o"), shelf(), 0.01)
+    out = scene.translation_candidates(scenes, b.filter("object_id > 2").select("scene_id", "o"), shelf(), 0.01)
+    return out.withColumns({c: r6(F.col(c)) for c in ("distance", "limit")})
 
 
 def polygons(spark: SparkSession, sf: str, single: bool = False) -> DataFrame:
