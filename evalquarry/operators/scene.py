@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import binning as B
 from ..functions import geometry as G
 
 
@@ -143,23 +144,50 @@ def near_objects(objects: DataFrame, within: float, scene: str = "scene_id", key
     return pairs.select(F.col(f"a.{scene}").alias(scene), F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b"), F.explode(near).alias("distance"))
 
 
-def path_check(moves: DataFrame, obstacles: DataFrame, bounds: tuple[float, float, float, float], step: float, key: Sequence[str] = ("scene_id", "move_id")) -> DataFrame:
+def path_check(moves: DataFrame, obstacles: DataFrame, bounds: tuple[float, float, float, float], step: float = 0.25, key: Sequence[str] = ("scene_id", "move_id"), turn_step: float = 5.0, action: Column | None = None, mover: Column | None = None) -> DataFrame:
     """Each move's path in substeps: the first step that leaves the bounds or meets an obstacle, and which.
 
-    moves: scene_id, move_id, polygon, degrees, distance; obstacles: scene_id,
-    object_id, polygon. Steps are exploded and joined with the scene's obstacles.
+    moves: scene_id, the key, polygon, degrees, distance; obstacles: scene_id,
+    object_id, polygon. ``action`` is TRANSLATE (without it, all moves slide: distance
+    along degrees), ROTATE (distance is the angle, degrees its sign; a path repeats
+    after 360) or anything else, which has no path. ``mover`` is the moving object's
+    id, if obstacles has it too. Returns steps, executed, first_step, outside, hits
+    (ids met at that step), clear, fraction (of the distance, where it ends) and footprint.
+
+    Each pair of move and obstacle finds its own first step, so steps are no rows.
     """
-    n = F.greatest(F.ceil(F.col("distance") / step).cast("int"), F.lit(1))
-    d = G.direction_vector(F.col("degrees"))
-    part = F.col("distance") * F.col("i") / F.col("n")
-    steps = moves.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("at", G.translated(F.col("polygon"), d["x"] * part, d["y"] * part))
-    met = steps.join(obstacles.select("scene_id", F.col("object_id").alias("hit"), F.col("polygon").alias("op")), "scene_id", "left")
-    out_of = ~G.inside(F.col("at"), bounds)
-    hit = F.col("op").isNotNull() & G.intersects(F.col("at"), F.col("op"))
-    each = met.groupBy(*key, "i").agg(F.bool_or(out_of).alias("outside"), F.array_sort(F.collect_set(F.when(hit, F.col("hit")))).alias("hits"))
-    bad = each.filter(F.col("outside") | (F.size("hits") > 0))
-    first = bad.groupBy(*key).agg(F.min("i").alias("first_step"), F.min_by("outside", "i").alias("outside"), F.min_by("hits", "i").alias("hits"))
-    return moves.select(*key).join(first, list(key), "left").withColumn("clear", F.col("first_step").isNull())
+    action = F.lit("TRANSLATE") if action is None else action
+    whole = F.when(action == "ROTATE", F.least("distance", F.lit(360.0))).otherwise(F.col("distance")).cast("double")
+    each = F.when(action == "ROTATE", F.lit(float(turn_step))).when(action == "TRANSLATE", F.lit(float(step)))
+    m = moves.withColumns({"_action": action, "_whole": whole, "_each": each, "_mover": F.lit(None) if mover is None else mover})
+    m = m.withColumn("_n", F.greatest(F.ceil(F.col("_whole") / F.col("_each")), F.lit(1)).cast("int"))
+
+    def at(i: Column) -> Column:
+        """The polygon after i steps."""
+        d, p = F.least(i * F.col("_each"), F.col("_whole")), F.col("polygon")
+        along = G.direction_vector(F.col("degrees"))
+        return F.when(F.col("_action") == "ROTATE", G.rotated(p, F.col("degrees") * d)).otherwise(G.let(F.struct((along["x"] * d).alias("x"), (along["y"] * d).alias("y")), lambda v: G.translated(p, v["x"], v["y"])))
+
+    def first(fails: Callable[[Column], Column]) -> Column:
+        path = F.when(F.col("_each").isNotNull(), F.sequence(F.lit(1), F.col("_n")))
+        return F.array_min(F.filter(path, lambda i: G.let(at(i), fails)))
+
+    other = obstacles.select("scene_id", F.col("object_id").alias("_hit"), F.col("polygon").alias("_op"))
+    met = m.join(other, "scene_id").filter(~F.col("_hit").eqNullSafe(F.col("_mover"))).withColumn("_at", first(lambda p: G.intersects(p, F.col("_op")))).filter("_at IS NOT NULL")
+    hits = met.groupBy(*key).agg(F.min("_at").alias("_met"), F.collect_list(F.struct("_at", "_hit")).alias("_hits"))
+    out = m.join(hits, list(key), "left").withColumn("_out", first(lambda p: ~G.inside(p, bounds)))
+    out = out.withColumn("first_step", F.least("_met", "_out")).withColumn("steps", F.coalesce("_n", F.lit(1)))
+    out = out.withColumn("executed", F.coalesce("first_step", "steps"))
+    now = F.transform(F.filter("_hits", lambda h: h["_at"] == F.col("first_step")), lambda h: h["_hit"])
+    share = F.coalesce(F.try_divide(F.least(F.col("executed") * F.col("_each"), F.col("_whole")), F.col("distance")), F.lit(1.0))
+    results = {
+        "outside": F.coalesce(F.col("_out") == F.col("first_step"), F.lit(False)),
+        "hits": F.coalesce(F.array_sort(now), F.array().cast(f"array<{obstacles.schema['object_id'].dataType.simpleString()}>")),
+        "clear": F.col("first_step").isNull(),
+        "fraction": share,
+        "footprint": F.when(F.col("_each").isNull(), F.col("polygon")).otherwise(at(F.col("executed"))),
+    }
+    return out.select(*key, "steps", "executed", "first_step", *(c.alias(n) for n, c in results.items()))
 
 
 def static_validity(moves: DataFrame, obstacles: DataFrame, bounds: Column, margin: float, gap: float = 0.002, most: float = 0.45) -> DataFrame:
@@ -179,7 +207,58 @@ def static_validity(moves: DataFrame, obstacles: DataFrame, bounds: Column, marg
 
 def finger_zones(objects: DataFrame, zones: DataFrame, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon", tolerance: float = 1e-7) -> DataFrame:
     """Each object's finger zones (left and right, from ``zones``: scene, key, side, zone) and the other objects in them; free if there are none."""
-    other = objects.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col(polygon).alias("_p"))
-    met = zones.join(other, (F.col(scene) == F.col("_s")) & (F.col(key) != F.col("_k")), "left")
-    hit = F.when(G.distance(F.col("zone"), F.col("_p")) <= tolerance, F.col("_k"))
+
+    def box(p: str) -> Column:
+        xs, ys = F.transform(p, lambda q: q["x"]), F.transform(p, lambda q: q["y"])
+        return G.rect(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+
+    other = objects.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col(polygon).alias("_p"), box(polygon).alias("_b"))
+    met = zones.withColumn("_z", box("zone")).join(other, (F.col(scene) == F.col("_s")) & (F.col(key) != F.col("_k")), "left")
+    boxed = [(F.col("_z")[f"{n}min"] <= F.col("_b")[f"{n}max"] + tolerance) & (F.col("_b")[f"{n}min"] <= F.col("_z")[f"{n}max"] + tolerance) for n in "xy"]
+    hit = F.when(boxed[0] & boxed[1], F.when(G.distance(F.col("zone"), F.col("_p")) <= tolerance, F.col("_k")))
     return met.groupBy(scene, key, "side").agg(F.array_sort(F.collect_set(hit)).alias("occupied_by")).withColumn("free", F.size("occupied_by") == 0)
+
+
+def relation_payloads(objects: DataFrame, targets: DataFrame, near: float = 5.0, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon", centre: str = "centre") -> DataFrame:
+    """What each scene's target has around it, in numbers and in words: scene, target_id, R_NUMERIC, R_QUALITATIVE_D4, R_QUALITATIVE_D8.
+
+    objects: scene, key, polygon and centre (a point) in centimetres; targets: scene,
+    target_id. Each payload is an array of structs in the order of the ids: gap,
+    bearing and arcs, or direction, sides and whether the gap is at most ``near``.
+    """
+    ids = targets.select(F.col(scene).alias("_s"), "target_id")
+    target = ids.join(objects, (F.col("_s") == F.col(scene)) & (F.col("target_id") == F.col(key))).select("_s", "target_id", F.col(polygon).alias("_tp"), F.col(centre).alias("_tc"))
+    met = objects.join(target, (F.col(scene) == F.col("_s")) & (F.col(key) != F.col("target_id")))
+    away = {n: F.col(centre)[n] - F.col("_tc")[n] for n in "xy"}
+    seen = F.struct(G.distance(F.col("_tp"), F.col(polygon)).alias("gap"), G.bearing(away["x"], away["y"]).alias("bearing"), G.occupied_arc(F.col("_tc"), F.col(polygon)).alias("arcs"))
+    numeric = lambda r: F.struct(F.col(key), F.round(r["gap"], 1).alias("surface_gap_cm"), F.round(r["bearing"], 1).alias("center_bearing_deg"), r["arcs"].alias("occupied_angular_sectors_deg"))
+    zone = lambda r: F.when(r["gap"] <= near, "CLEARANCE_ZONE_OVERLAP").otherwise("CLEARANCE_ZONE_CLEAR")
+    words = lambda r, names: F.struct(F.col(key), G.nearest_direction(r["bearing"], names).alias("center_direction"), G.occupied_directions(r["arcs"], names).alias("occupied_target_sides"), zone(r).alias("clearance_zone"))
+    kinds = {"R_NUMERIC": numeric, "R_QUALITATIVE_D4": lambda r: words(r, G.D4), "R_QUALITATIVE_D8": lambda r: words(r, G.D8)}
+    each = met.select(scene, "target_id", F.inline(F.array(G.let(seen, lambda r: F.struct(*(use(r).alias(n) for n, use in kinds.items()))))))
+    return each.groupBy(scene, "target_id").agg(*(F.sort_array(F.collect_list(n)).alias(n) for n in kinds))
+
+
+def motion_payloads(objects: DataFrame, bounds: tuple[float, float, float, float], directions: dict[str, float], step: float = 0.25, most: float = 100.0, only: Column | None = None, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon") -> DataFrame:
+    """Room and motion of each object among the others of its scene: scene, key, F_NUMERIC, F_QUALITATIVE, M_NUMERIC, M_QUALITATIVE.
+
+    The four payloads are maps by direction (free space in centimetres or as a level;
+    whole centimetres or the level of the longest slide); turn_deg and turn_level are
+    maps by CW and CCW. ``only`` picks the objects that get a row.
+    """
+    other = objects.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col(polygon).alias("_p"))
+    mine = objects if only is None else objects.filter(only)
+    met = mine.join(other, (F.col(scene) == F.col("_s")) & (F.col(key) != F.col("_k")), "left")
+    met = met.groupBy(scene, key).agg(F.any_value(polygon).alias("p"), F.collect_list("_p").alias("o"))
+    by = lambda use, names: F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(use(v) for v in names.values())))
+    free = by(lambda a: G.free_space(F.col("p"), F.col("o"), F.lit(a), bounds), directions)
+    slide = by(lambda a: G.translation_capacity(F.col("p"), F.col("o"), F.lit(a), bounds, step, most), directions)
+    turn = by(lambda sign: G.rotation_capacity(F.col("p"), F.col("o"), F.lit(sign), bounds), {"CW": -1.0, "CCW": 1.0})
+    measured = met.select(scene, key, F.inline(F.array(F.struct(free.alias("free"), slide.alias("slide"), turn.alias("turn_deg")))))
+    values = lambda c, use: F.transform_values(c, lambda _, v: use(v))
+    return measured.select(
+        scene, key,
+        values("free", lambda v: F.round(v, 1)).alias("F_NUMERIC"), values("free", B.free_space_level).alias("F_QUALITATIVE"),
+        values("slide", lambda v: F.floor(v + 1e-9)).alias("M_NUMERIC"), values("slide", B.translation_level).alias("M_QUALITATIVE"),
+        "turn_deg", values("turn_deg", B.rotation_level).alias("turn_level"),
+    )

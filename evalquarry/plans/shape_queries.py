@@ -143,7 +143,7 @@ def polygon_measures(spark: SparkSession, sf: str) -> DataFrame:
         numbers = {"cx": c["x"], "cy": c["y"], "area": G.area(p), "ux": d["x"], "uy": d["y"], "corner_x": corner["x"], "corner_y": corner["y"], "bearing": G.bearing(x, y)}
         return F.struct(F.size(G.hull(F.concat(p, F.array(c)))).alias("hull_size"), G.inside(p, (-20.0, 20.0, -20.0, 20.0)).alias("inside"), *(near_zero(v).alias(n) for n, v in numbers.items()))
 
-    centred = G.let(G.rotated(square, degrees), lambda p: F.struct(p.alias("p"), G.centroid(p).alias("c")))
+    centred = G.let(G.let(square, lambda q: G.rotated(q, degrees)), lambda p: F.struct(p.alias("p"), G.centroid(p).alias("c")))
     out = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.array(G.let(centred, measures)).alias("m"))
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.inline("m"))
 

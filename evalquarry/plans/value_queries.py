@@ -253,7 +253,11 @@ def convex_polygon_distance(spark: SparkSession, sf: str) -> DataFrame:
 
 @define(None)
 def motion_capacity(spark: SparkSession, sf: str) -> DataFrame:
-    """Free space and motion capacity of each scene's first object in four directions."""
+    """Free space and motion capacity of each scene's first object in four directions.
+
+    No SQL: sides can run through another square's centre here, where rounding decides what
+    a ray meets first. ``motion_payloads`` has the same operators on squares where none do.
+    """
     p = polygons(spark, sf)
     others = p.filter("object_id > 1").groupBy("scene_id").agg(F.collect_list("polygon").alias("others"))
     first = p.filter("object_id = 1").join(others, "scene_id")

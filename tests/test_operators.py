@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evalquarry.functions import geometry as G
 from evalquarry.operators import audit, metrics, paired, ranking, scene, vectors
-from evalquarry.plans import catalog, evaluation, linking_queries, metric_queries, value_queries  # noqa: F401
+from evalquarry.plans import catalog, evaluation, linking_queries, metric_queries, motion_queries, value_queries  # noqa: F401
 from evalquarry.sources import io
 from evalquarry.streaming import log
 
@@ -243,6 +244,44 @@ def test_path_check(spark):
     assert got[3].outside and got[3].hits == []
 
 
+def square(x, y, h=1.0):
+    return [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)]
+
+
+def test_path_check_turns(spark):
+    kind = "array<struct<x:double,y:double>>"
+    moves = [(1, 1, "ROTATE", square(0, 0), -1.0, 90.0), (1, 2, "ROTATE", square(0, 10), 1.0, 725.0), (1, 3, "LIFT", square(0, 0), 0.0, 5.0), (1, 4, "TRANSLATE", square(0, 0), 180.0, 0.6), (2, 5, "TRANSLATE", square(0, 0), 0.0, 0.0)]
+    moves = spark.createDataFrame(moves, f"scene_id int, move_id int, action string, polygon {kind}, degrees double, distance double")
+    objects = spark.createDataFrame([(1, 1, square(0, 0)), (1, 8, square(2.2, 0)), (1, 9, square(0, 2.2))], f"scene_id int, object_id int, polygon {kind}")
+    got = {r.move_id: r for r in scene.path_check(moves, objects, (-20, 20, -20, 20), action=F.col("action"), mover=F.lit(1)).collect()}
+    # Half a side of 1 reaches 1.2 once cos + sin is 1.2, which is between 10 and 15 degrees.
+    assert (got[1].steps, got[1].first_step, got[1].executed, got[1].hits, got[1].outside) == (18, 3, 3, [8, 9], False)
+    assert math.isclose(got[1].fraction, 15 / 90) and not got[1].clear
+    assert (got[2].steps, got[2].executed, got[2].clear) == (72, 72, True) and math.isclose(got[2].fraction, 360 / 725)
+    assert (got[3].steps, got[3].executed, got[3].hits, got[3].fraction) == (1, 1, [], 1.0) and got[3].footprint[0].x == -1
+    # The last substep is the rest of the way, no third of it.
+    assert (got[4].steps, got[4].clear, got[4].fraction) == (3, True, 1.0) and math.isclose(got[4].footprint[0].x, -1.6)
+    assert (got[5].steps, got[5].clear, got[5].fraction) == (1, True, 1.0)
+
+
+def test_payloads(spark):
+    kind = "array<struct<x:double,y:double>>"
+    objects = [(1, 1, square(0, 0)), (1, 2, square(4, 0)), (1, 3, square(0, -9)), (2, 1, square(0, 0))]
+    objects = spark.createDataFrame(objects, f"scene_id int, object_id int, polygon {kind}").withColumn("centre", G.centroid(F.col("polygon")))
+    targets = objects.filter("object_id = 1").select("scene_id", F.lit(1).alias("target_id"))
+    (r,) = scene.relation_payloads(objects, targets).collect()
+    assert [(n.object_id, n.surface_gap_cm, n.center_bearing_deg) for n in r.R_NUMERIC] == [(2, 2.0, 0.0), (3, 7.0, 270.0)]
+    assert [len(n.occupied_angular_sectors_deg) for n in r.R_NUMERIC] == [2, 1]
+    assert [(w.center_direction, w.occupied_target_sides, w.clearance_zone) for w in r.R_QUALITATIVE_D4] == [("RIGHT", ["RIGHT"], "CLEARANCE_ZONE_OVERLAP"), ("FRONT", ["FRONT"], "CLEARANCE_ZONE_CLEAR")]
+    assert [w.center_direction for w in r.R_QUALITATIVE_D8] == ["RIGHT", "FRONT"]
+    got = {(m.scene_id, m.object_id): m for m in scene.motion_payloads(objects, (-20, 20, -20, 20), G.D4).collect()}
+    assert got[1, 1].F_NUMERIC == {"RIGHT": 2.0, "BACK": 19.0, "LEFT": 19.0, "FRONT": 7.0}
+    assert got[1, 1].F_QUALITATIVE == {"RIGHT": "TIGHT", "BACK": "OPEN", "LEFT": "OPEN", "FRONT": "LIMITED"}
+    assert got[1, 1].M_NUMERIC == {"RIGHT": 1, "BACK": 19, "LEFT": 19, "FRONT": 6}
+    assert got[1, 1].M_QUALITATIVE["RIGHT"] == "SHORT" and got[1, 1].turn_deg == {"CW": 180, "CCW": 180} and got[1, 1].turn_level["CW"] == "LARGE"
+    assert len(got) == 4 and got[2, 1].F_NUMERIC["RIGHT"] == 19.0
+
+
 def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"k": 1}\n\n{"k": 2}\n')
     (tmp_path / "bad.jsonl").write_text('{"k": 1}\n{"k": \n')
