@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,11 +126,42 @@ def describe(df: DataFrame, value: Column, by: Sequence[str] = (), sample: bool
     return df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"), sd.alias("sd"))
 
 
-def percentiles(df: DataFrame, value: Column, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact percentiles with linear interpolation, a column p<percent> each: equal values are counted first, then read once for all."""
-    counted = df.select(*by, value.alias("_value")).groupBy(*by, "_value").agg(F.count("*").alias("_n"))
-    out = counted.groupBy(*by).agg(F.percentile("_value", F.array(*(F.lit(float(p)) for p in at)), F.col("_n")).alias("_p"))
-    return out.select(*by, *(F.col("_p")[i].alias(f"p{p * 100:g}".replace(".", "_")) for i, p in enumerate(at)))
+#: Ranges of values that percentiles tells apart; a group's task holds at most about so large a part of all different values.
+RANGES = 64
+
+
+def percentiles(df: DataFrame, value: Column, at: Sequence[float], by: Sequence[str] = (), ranges: int = RANGES) -> DataFrame:
+    """Exact percentiles with linear interpolation, a column p<percent> each, of groups of any size.
+
+    Equal values are counted first. Splitters, near the quantiles of all different
+    values, cut them into ranges; the counts by group and range (at most ``ranges``
+    rows a group) say in which range a wanted rank lies. Only those ranges are sorted,
+    each by itself. Nulls take no part; a group of nulls alone has null percentiles.
+    """
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    names = [f"_k{i}" for i in range(len(by))] or ["_all"]
+    counted = df.select(*(keys or [F.lit(0).alias("_all")]), value.alias("_value")).groupBy(*names, "_value").agg(F.count("*").alias("_n"))
+    counted = counted.withColumn("_n", F.when(F.col("_value").isNotNull(), F.col("_n")).otherwise(0))
+    splits = counted.agg(F.percentile_approx("_value", [i / ranges for i in range(1, ranges)], 100 * ranges).alias("_splits"))  # one row
+    dealt = counted.filter("_n > 0").crossJoin(F.broadcast(splits)).withColumn("_range", F.size(F.filter("_splits", lambda s: s < F.col("_value")))).drop("_splits")
+    sizes = dealt.groupBy(*names, "_range").agg(F.sum("_n").alias("_size"))
+    so_far = Window.partitionBy(*names).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumns({"_before": F.coalesce(F.sum("_size").over(so_far), F.lit(0)), "_total": F.sum("_size").over(Window.partitionBy(*names))})
+    spots = [(F.col("_total") - 1) * F.lit(float(p)) for p in at]
+    ranks = [f(spot).cast("long") for spot in spots for f in (F.floor, F.ceil)]
+    within = lambda rank, start, n: (rank >= start) & (rank < start + n)
+    wanted = sizes.filter(reduce(Column.__or__, (within(r, F.col("_before"), F.col("_size")) for r in ranks)))
+    same = reduce(Column.__and__, (F.col(f"d.{c}").eqNullSafe(F.col(f"w.{c}")) for c in [*names, "_range"]))
+    rows = dealt.alias("d").join(wanted.alias("w"), same).select(*(F.col(f"d.{c}") for c in [*names, "_range", "_value", "_n"]), "_before", "_total")
+    sooner = Window.partitionBy(*names, "_range").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(sooner), F.lit(0)))
+    found = placed.groupBy(*names).agg(F.first("_total").alias("_total"), F.array(*(F.max(F.when(within(r, F.col("_start"), F.col("_n")), F.col("_value"))) for r in ranks)).alias("_v"))
+    low, high = (lambda i: F.col("_v")[2 * i].cast("double")), (lambda i: F.col("_v")[2 * i + 1].cast("double"))
+    share = lambda i: spots[i] - F.floor(spots[i])
+    out = found.select(*names, *(F.when(share(i) == 0, low(i)).otherwise(low(i) * (1 - share(i)) + high(i) * share(i)).alias(f"p{p * 100:g}".replace(".", "_")) for i, p in enumerate(at)))
+    groups = counted.groupBy(*names).agg(F.lit(1).alias("_one")) if by else df.sparkSession.range(1).select(F.lit(0).alias("_all"))
+    same = reduce(Column.__and__, (F.col(f"g.{c}").eqNullSafe(F.col(f"o.{c}")) for c in names))
+    return groups.alias("g").join(out.alias("o"), same, "left").select(*(F.col(f"g._k{i}").alias(c) for i, c in enumerate(by)), *(F.col(f"o.{c}") for c in out.columns if c not in names))
 
 
 def distribution(df: DataFrame, label: Column, domain: Sequence[str], by: Sequence[str] = (), positive: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
@@ -9,23 +10,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Below so many, the lesser count's terms are added one by one.
+FEW = 16
+#: Nodes of the integral beyond: its integrand falls by a factor of e^45 at most between 0 and the last one.
+NODES = 64
+
+
+def _stirling(n: Column) -> Column:
+    """log n! less the logarithm of sqrt(2 pi n) (n / e)^n, for n of FEW or more: the first terms of its series."""
+    return (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / (n * n)) / (n * n)) / (n * n)) / (n * n)) / n
+
+
 def exact_binomial(a: Column, b: Column) -> Column:
-    """Two-sided exact sign test of a against b discordant pairs; 1 without any.
+    """Two-sided exact sign test of a against b discordant pairs; 1 without any, null if a count is null.
 
-    The terms follow from one another (C(n, k) = C(n, k - 1) (n - k + 1) / k), so
-    the sum is one fold over 1..min(a, b). The first term is held as a logarithm
-    where 2**-n would vanish.
+    Twice the tail of the binomial distribution up to the lesser count k of n. Up to
+    FEW terms are added. Beyond, the tail is (n - k) times its last term times
+
+        integral over x from 0 to 1 of (1 - x)^(n - k - 1) (1 + x)^k,
+
+    whose integrand falls from 1 without a turn, so Gauss-Legendre nodes up to where
+    it vanishes give it to the last digits. The last term comes from Stirling's
+    series. Both are written so that nothing large cancels. The work is the same for
+    any counts: there is no array of terms and no loop over them.
     """
-    n, k = (a + b).cast("double"), F.least(a, b)
+    from numpy.polynomial.legendre import leggauss
+
+    n, k = (a + b).cast("double"), F.least(a, b).cast("double")
+    terms = F.sequence(F.lit(1), F.greatest(F.least(k, F.lit(FEW - 1)).cast("int"), F.lit(1)))
     start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
-    # with k = 0 sequence(1, 0) would run down
-    at = F.when(k >= 1, F.sequence(F.lit(1), k.cast("int"))).otherwise(F.array().cast("array<int>"))
-    direct = F.aggregate(at, F.struct(F.pow(F.lit(2.0), -n).alias("t"), F.pow(F.lit(2.0), -n).alias("s")), lambda acc, i: F.struct((acc["t"] * (n - i + 1) / i).alias("t"), (acc["s"] + acc["t"] * (n - i + 1) / i).alias("s")), lambda acc: acc["s"])
-    # beyond 1000 pairs: sum downwards from the last term, relative to it; the last term's logarithm is a sum over the factors
-    logs = F.aggregate(at, F.lit(0.0), lambda acc, i: acc + F.log((n - i + 1) / i))
-    down = F.aggregate(F.reverse(at), start, lambda acc, i: F.struct((acc["t"] * i / (n - i + 1)).alias("t"), (acc["s"] + acc["t"] * i / (n - i + 1)).alias("s")), lambda acc: acc["s"])
-    large = F.exp(F.least(logs - n * F.log(F.lit(2.0)) + F.log(down), F.lit(0.0)))
-    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.when(n <= 1000, direct).otherwise(large)))
+    step = lambda acc, i: F.struct((acc["t"] * (n - i + 1) / i).alias("t"), (acc["s"] + F.when(k >= i, acc["t"] * (n - i + 1) / i).otherwise(0.0)).alias("s"))
+    sum_of_few = F.aggregate(terms, start, step, lambda acc: acc["s"])
+    few = F.when(n <= 1000, sum_of_few * F.pow(F.lit(2.0), 1 - n)).otherwise(F.exp(F.log(sum_of_few) - (n - 1) * math.log(2)))
+
+    excess = n - 2 * k - 1  # the integrand is exp(k log(1 - x^2) + excess log(1 - x))
+    reach = F.least(F.lit(1.0), 90 / (excess + F.sqrt(excess * excess + 180 * k)))
+    nodes = F.array(*(F.struct(F.lit(float((x + 1) / 2)).alias("x"), F.lit(float(w / 2)).alias("w")) for x, w in zip(*leggauss(NODES), strict=True)))
+    at = lambda z: z["w"] * F.exp(k * F.log1p(-(z["x"] * reach) * (z["x"] * reach)) + excess * F.log1p(-z["x"] * reach))
+    integral = reach * F.aggregate(nodes, F.lit(0.0), lambda s, z: s + at(z))
+    off = (n - 2 * k) / n
+    spread = n / 2 * (F.log1p(-off * off) + off * F.log1p(2 * off / (1 - off)))  # n times the divergence of k / n from a half
+    last = F.exp(_stirling(n) - _stirling(k) - _stirling(n - k) - spread) * F.sqrt(n / (2 * math.pi * k * (n - k)))
+    many = 2 * (n - k) * last * integral
+    return F.when(n.isNotNull(), F.when(n - 2 * k <= 1, 1.0).otherwise(F.least(F.lit(1.0), F.when(k < FEW, few).otherwise(many))))
 
 
 def with_baseline(df: DataFrame, unit: Sequence[str], condition: str, baseline: str, value: str, name: str = "baseline") -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_rank
+from .stable import checkpointed
 
 
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -38,9 +40,33 @@ def shuffled(df: DataFrame, seed: str, *keys: Column) -> DataFrame:
     return df.withColumn("shuffle_key", stable_rank(F.lit(seed), *keys))
 
 
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "number") -> DataFrame:
+    """df with a number from 1 for each row, in one order of all rows, without a task that holds them all.
+
+    The rows are dealt to tasks by ranges of the order and sorted there; each then has
+    its place in its range. The ranges' sizes, one row for each, give the numbers at
+    which they begin. Ranges are drawn from a sample, so the sorted rows are kept by a
+    checkpoint before anything is counted. Rows that are equal in the order are
+    numbered in any way: give it a key that tells them apart.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()  # the partition, and the row's place in its 33 lower bits
+    kept = checkpointed(dealt.select("*", F.shiftright(place, 33).alias("_range"), place.bitwiseAND((1 << 33) - 1).alias("_place")))
+    sizes = sorted((r["_range"], r["n"]) for r in kept.groupBy("_range").agg(F.count("*").alias("n")).collect())  # a row for each range, not for each row
+    starts = list(zip((k for k, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
+    starts = df.sparkSession.createDataFrame(starts, "_range long, _before long")
+    out = kept.join(F.broadcast(starts), "_range").withColumn(name, F.col("_before") + F.col("_place") + 1)
+    return out.select(*(F.col(f"`{c}`") for c in df.columns if c != name), name)
+
+
 def sequence_ids(df: DataFrame, prefix: str, by: Sequence[str], order: Sequence[Column], width: int = 4) -> DataFrame:
+    """df with sequence_id, the prefix and a number of at least ``width`` digits: within each group, or of all rows without ``by``."""
+    digits = lambda n: F.when(F.length(n) < width, F.lpad(n, width, "0")).otherwise(n)
+    if not by:
+        out = numbered(df, order, "_number")
+        return out.withColumn("sequence_id", F.concat(F.lit(prefix), digits(F.col("_number").cast("string")))).drop("_number")
     number = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("sequence_id", F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0")))
+    return df.withColumn("sequence_id", F.concat(F.lit(prefix), digits(number.cast("string"))))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:

@@ -181,6 +181,13 @@ def percentiles_linear(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("l_returnflag", *(r6(F.col(c)).alias(c) for c in out.columns if c != "l_returnflag"))
 
 
+@define("SELECT round(quantile_cont(l_extendedprice, 0.1), 6) AS p10, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.999), 6) AS p99_9 FROM lineitem")
+def percentiles_overall(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows are one group."""
+    out = metrics.percentiles(table(spark, sf, "lineitem"), F.col("l_extendedprice"), [0.1, 0.5, 0.999])
+    return out.select(*(r6(F.col(c)).alias(c) for c in out.columns))
+
+
 @define("SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS pearson FROM lineitem GROUP BY l_returnflag")
 def pearson(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(r6(F.corr("l_quantity", "l_extendedprice")).alias("pearson"))
@@ -297,6 +304,13 @@ def sequence_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.sequence_ids(table(spark, sf, "nation"), "region_", ["n_regionkey"], [F.col("n_name")]).select("n_nationkey", "sequence_id")
 
 
+@define("SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS number FROM lineitem")
+def numbered_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows in one order, numbered without a task that holds them all."""
+    out = ranking.numbered(table(spark, sf, "lineitem"), [F.col("l_extendedprice").desc(), *map(F.col, ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))])
+    return out.select("l_orderkey", "l_linenumber", "number")
+
+
 @define("SELECT s_nationkey, round(m, 4) AS mean_score, dense_rank() OVER (ORDER BY m DESC) AS rank FROM (SELECT s_nationkey, avg(s_acctbal) AS m FROM supplier GROUP BY 1)")
 def ranking_by_mean(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.mean_ranking(table(spark, sf, "supplier"), "s_nationkey", "s_acctbal").withColumn("mean_score", F.round("mean_score", 4))

@@ -1,9 +1,12 @@
 """DataFrame operators against known answers and plain Python."""
 
 import math
+import random
 import re
+import time
 from collections import Counter
 from datetime import datetime
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -18,12 +21,90 @@ from evalquarry.streaming import log
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize(("a", "b"), [(0, 0), (0, 1), (5, 5), (12, 127), (3, 9), (700, 600), (0, 1100), (4000, 4200)])
-def test_exact_binomial(spark, a, b):
-    got = spark.range(1).select(paired.exact_binomial(F.lit(a), F.lit(b))).first()[0]
-    n, k = a + b, min(a, b)
-    want = 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
-    assert got == pytest.approx(want, rel=1e-9)
+def tail_of_half(n, k):
+    """Twice the chance of at most k of n, in 60 digits: from the middle term outwards, so that the sum is short for k near n / 2."""
+    from decimal import Decimal, localcontext
+
+    with localcontext() as c:
+        c.prec = 60
+        i = n // 2
+        middle = math.comb(n, i)
+        low = max(0, middle.bit_length() - 220)  # 220 bits are more than 60 digits
+        term = Decimal(middle >> low) * Decimal(2) ** (low - n)
+        inner = Decimal(0) if n % 2 else term
+        lower = i - 1 if n % 2 == 0 else i
+        term = term * i / (n - i + 1) if n % 2 == 0 else term
+        while lower > k:
+            inner += 2 * term
+            term = term * lower / (n - lower + 1)
+            lower -= 1
+        return float(min(Decimal(1), 1 - inner))
+
+
+def test_exact_binomial(spark):
+    counts = [(0, 0), (0, 1), (5, 5), (12, 127), (3, 9), (700, 600), (0, 1100), (4000, 4200), (15, 15), (15, 17), (16, 18), (16, 2000), (17, 1200), (1, 5000), (999, 1000), (900, 1100), (30, 70), (None, 3)]
+    rng = random.Random(2)
+    counts += [(x := rng.randrange(1000), rng.randrange(2000 - x)) for _ in range(60)]
+    df = spark.createDataFrame(counts, "a long, b long")
+    for a, b, got in df.select("a", "b", paired.exact_binomial(F.col("a"), F.col("b"))).collect():
+        if a is None:
+            assert got is None
+            continue
+        n, k = a + b, min(a, b)
+        want = 1.0 if n == 0 else float(min(Fraction(1), Fraction(2 * sum(math.comb(n, i) for i in range(k + 1)), 2**n)))
+        assert got == pytest.approx(want, rel=1e-12), (a, b)
+
+
+def test_exact_binomial_of_many_pairs(spark):
+    for n, k in [(10**6, 499_000), (10**5, 49_500), (10**5 + 1, 50_000), (10**5 + 1, 49_321)]:
+        got = spark.range(1).select(paired.exact_binomial(F.lit(k), F.lit(n - k))).first()[0]
+        assert got == pytest.approx(tail_of_half(n, k), rel=1e-12)
+    # a billion and far beyond: the normal distribution's tail with a correction for whole numbers is near
+    n = 10**9
+    rows = spark.range(2000).select((F.lit(n // 2) - 10 * F.col("id")).alias("k")).withColumn("p", paired.exact_binomial(F.col("k"), n - F.col("k")))
+    began = time.time()
+    for k, p in rows.collect():
+        assert p == pytest.approx(min(1.0, math.erfc((n / 2 - k - 0.5) / math.sqrt(n / 2))), rel=1e-6)
+    assert time.time() - began < 20  # 2,000 rows: milliseconds each
+    assert spark.range(1).select(paired.exact_binomial(F.lit(4 * 10**17), F.lit(4 * 10**17 + 10**9))).first()[0] == pytest.approx(math.erfc(10**9 / math.sqrt(2 * 8 * 10**17)), rel=1e-6)
+    assert spark.range(1).select(paired.exact_binomial(F.lit(3), F.lit(10**12))).first()[0] == 0
+
+
+def test_percentiles_match_numpy_with_a_hot_group_nulls_and_ties(spark):
+    rng = random.Random(6)
+    rows = [("hot", float(rng.randrange(3000))) for _ in range(6000)] + [(rng.choice(["a", "b", None]), rng.choice([0.0, 1.5, 7.25, None])) for _ in range(60)] + [("nulls", None), ("one", 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    at = [0, 0.1, 0.25, 0.5, 0.75, 0.99, 1]
+    for ranges in (4, 64):
+        got = {r.g: list(r)[1:] for r in metrics.percentiles(df, F.col("x"), at, ["g"], ranges).collect()}
+        for g in {g for g, _ in rows}:
+            values = [x for k, x in rows if k == g and x is not None]
+            assert got.pop(g) == (pytest.approx([np.quantile(values, p) for p in at]) if values else [None] * len(at))
+        assert not got
+    whole = metrics.percentiles(df, F.col("x"), [0.5]).collect()
+    assert [r.p50 for r in whole] == [np.quantile([x for _, x in rows if x is not None], 0.5)]
+    assert [tuple(r) for r in metrics.percentiles(df.limit(0), F.col("x"), [0.5]).collect()] == [(None,)]
+
+
+def test_percentiles_sort_only_the_ranges_that_hold_a_rank(spark):
+    df = spark.range(100_000).select(F.lit("hot").alias("g"), F.xxhash64("id").cast("double").alias("x"))
+    out = metrics.percentiles(df, F.col("x"), [0.5], ["g"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan.replace("percentile_approx(", "") and "_range" in plan
+    values = np.array([r.x for r in df.collect()])
+    assert out.first().p50 == pytest.approx(np.quantile(values, 0.5))
+
+
+def test_numbers_of_all_rows(spark):
+    df = spark.range(5000).select((F.pmod(F.xxhash64("id"), F.lit(700))).alias("x"), "id").repartition(7)
+    out = ranking.numbered(df, [F.col("x").desc(), F.col("id")])
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.number, r.x, r.id) for r in out.collect())
+    assert [n for n, *_ in got] == list(range(1, 5001))
+    assert [(x, i) for _, x, i in got] == sorted(((x, i) for _, x, i in got), key=lambda t: (-t[0], t[1]))
+    assert ranking.numbered(df.limit(0), [F.col("id")]).count() == 0
+    ids = ranking.sequence_ids(df.limit(3).select("id"), "run_", [], [F.col("id")], 2).orderBy("id").collect()
+    assert [r.sequence_id for r in ids] == ["run_01", "run_02", "run_03"]
 
 
 @pytest.mark.parametrize("rule", metrics.EMPTY_RULES)
