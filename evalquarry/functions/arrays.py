@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,31 +80,6 @@ def relation_agreement(expected: Column, predicted: Column, anchor: Column) -> C
     return F.struct(F.size(F.filter(others, same)).alias("agree"), F.size(others).alias("total"))
 
 
-def best_orders(ids: Column, front_of: Column, most: int = 5) -> Column:
-    """Kemeny orders of up to ``most`` ids from votes (structs a, b: a before b): all orders that agree with most votes.
-
-    The orders are index permutations written out as literals, so the search is one
-    column expression; with more ids the result is null.
-    """
-    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)  # noqa: E731  computes value once
-
-    def best(of: Column, n: int) -> Column:
-        orders = F.array(*(F.array(*map(F.lit, p)) if p else F.array().cast("array<int>") for p in permutations(range(1, n + 1))))
-        ranked = F.transform(orders, lambda o: F.transform(o, lambda i: F.element_at(of, i)))
-        score = lambda o: F.size(F.filter(front_of, lambda v: (F.array_position(o, v["a"]) > 0) & (F.array_position(o, v["a"]) < F.array_position(o, v["b"]))))
-        scored = F.transform(ranked, lambda o: F.struct(score(o).alias("score"), o.alias("order")))
-        tops = lambda s: let(F.array_max(F.transform(s, lambda x: x["score"])), lambda top: F.transform(F.filter(s, lambda x: x["score"] == top), lambda x: x["order"]))
-        return let(scored, tops)
-
-    def by_size(of: Column) -> Column:
-        out = F.when(F.size(of) == 0, best(of, 0))
-        for n in range(1, most + 1):
-            out = out.when(F.size(of) == n, best(of, n))
-        return out
-
-    return let(F.array_sort(ids), by_size)
-
-
 def map_agreement(a: Column, b: Column) -> Column:
     """struct(agree, total): keys of a for which b has an equal value."""
     keys = F.map_keys(a)

@@ -35,10 +35,10 @@ def centred(df: DataFrame, vector: str, dim: int, by: Sequence[str] = ()) -> Dat
     return joined.withColumn(vector, F.zip_with(vector, "_mean", lambda x, m: x - m)).drop("_mean")
 
 
-def cosine_pairs(df: DataFrame, key: str, vector: str, extra: Sequence[str] = (), clip: bool = True, by: Sequence[str] = (), asked: Column | None = None) -> DataFrame:
-    """All pairs i < j of vectors within each group, with their cosine in double precision; with ``asked``, those whose i meets it."""
+def cosine_pairs(df: DataFrame, key: str, vector: str, extra: Sequence[str] = (), clip: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """All pairs i < j of vectors within each of many small groups, with their cosine in double precision; asked_cosines is for one large group."""
     u = df.select(*by, F.col(key), *extra, unit(F.col(vector)).alias("_u"))
-    a = (u if asked is None else u.filter(asked)).select(*by, *(F.col(c).alias(f"{c}_i") for c in (key, *extra)), F.col("_u").alias("_a"))
+    a = u.select(*by, *(F.col(c).alias(f"{c}_i") for c in (key, *extra)), F.col("_u").alias("_a"))
     b = u.select(*(F.col(c).alias(f"_{c}") for c in by), *(F.col(c).alias(f"{c}_j") for c in (key, *extra)), F.col("_u").alias("_b"))
     on = F.col(f"{key}_i") < F.col(f"{key}_j")
     for c in by:
@@ -47,6 +47,81 @@ def cosine_pairs(df: DataFrame, key: str, vector: str, extra: Sequence[str] = ()
     return a.join(b, on).withColumn("cosine", F.greatest(F.least(cos, F.lit(1.0)), F.lit(-1.0)) if clip else cos).drop("_a", "_b", *(f"_{c}" for c in by))
 
 
+#: Bytes of asked vectors that are broadcast as one matrix; more are compared block by block.
+ASKED_BYTES = 32 << 20
+#: Cosines that a task gives out at once.
+OUT_ROWS = 1 << 18
+
+
+def asked_cosines(df: DataFrame, key: str, vector: str, asked: Column, parts: dict[str, slice] | None = None, broadcast_bytes: int = ASKED_BYTES) -> DataFrame:
+    """A row for each asked vector i with every other row's j: <key>_i, <key>_j and the cosine of each part of the vectors.
+
+    ``parts`` names slices of the components (by default all, as cosine); all parts
+    come from one pass. The asked vectors are one broadcast matrix if they have at
+    most ``broadcast_bytes``, by count and length; beyond, blocks of asked rows meet
+    blocks of rows, each pair of blocks once. Products are those of whole Arrow
+    batches. Null vectors take no part; a zero vector (in any part) is an error. Rows
+    of one key don't meet. Cosines lie between -1 and 1.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    parts = parts or {"cosine": slice(None)}
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).alias("_k"), F.col(vector).cast("array<double>").alias("_v"), F.coalesce(asked, F.lit(False)).alias("_asked"))
+    kind = df.schema[key].dataType.simpleString()
+    schema = f"`{key}_i` {kind}, `{key}_j` {kind}, {', '.join(f'`{n}` double' for n in parts)}"
+
+    def matrix(vectors: pa.Array | pa.ChunkedArray, n: int) -> list:
+        whole = np.asarray((vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors).flatten(), np.float64).reshape(n, -1 if n else 0)
+        out = []
+        for part in parts.values():
+            lengths = np.sqrt((whole[:, part] ** 2).sum(axis=1, keepdims=True))
+            if n and not lengths.all():
+                raise ValueError("zero vector")
+            out.append(whole[:, part] / lengths)
+        return out
+
+    def products(keys_i: pa.Array, one: list, keys_j: pa.Array, two: list):
+        """Batches of all pairs of different keys; j in pieces, so that a batch has about OUT_ROWS."""
+        piece = max(1, OUT_ROWS // max(1, len(keys_i)))
+        for at in range(0, len(keys_j), piece):
+            here = keys_j[at : at + piece]
+            i, j = np.repeat(np.arange(len(keys_i)), len(here)), np.tile(np.arange(len(here)), len(keys_i))
+            cosines = [np.clip(x @ y[at : at + piece].T, -1, 1).ravel() for x, y in zip(one, two)]
+            batch = pa.RecordBatch.from_arrays([keys_i.take(pa.array(i)), here.take(pa.array(j)), *map(pa.array, cosines)], names=[f"{key}_i", f"{key}_j", *parts])
+            yield batch.filter(pc.fill_null(pc.not_equal(batch.column(0), batch.column(1)), True))
+
+    held = rows.filter("_asked")
+    n, width = held.agg(F.count("*"), F.coalesce(F.max(F.size("_v")), F.lit(0))).first()
+    if n * (width * 8 * len(parts) + 64) <= broadcast_bytes:
+        table = held.select("_k", "_v").toArrow()
+        sent = df.sparkSession.sparkContext.broadcast((table["_k"].combine_chunks(), matrix(table["_v"], table.num_rows)))
+
+        def meet(batches):
+            keys, asked_rows = sent.value
+            for batch in batches:
+                if len(batch) and len(keys):
+                    yield from products(keys, asked_rows, batch.column("_k"), matrix(batch.column("_v"), len(batch)))
+
+        return rows.select("_k", "_v").mapInArrow(meet, schema)
+    total = rows.count()
+    across, down = -(-n * width * 8 // (8 << 20)), max(1, -(-total * width * 8 // (32 << 20)))  # blocks of 8 and 32 MB
+    block = lambda count: F.pmod(F.xxhash64("_k", F.xxhash64("_v")), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    left = held.select("_k", "_v", block(across).alias("_a")).withColumn("_b", every(down))
+    right = rows.select("_k", "_v", block(down).alias("_b")).withColumn("_a", every(across))
+
+    def blocks(one: pa.Table, two: pa.Table) -> pa.Table:
+        found = products(one["_k"].combine_chunks(), matrix(one["_v"], one.num_rows), two["_k"].combine_chunks(), matrix(two["_v"], two.num_rows)) if one.num_rows and two.num_rows else ()
+        return pa.Table.from_batches(found, names_of(one, two))
+
+    def names_of(one: pa.Table, two: pa.Table) -> pa.Schema:
+        return pa.schema([(f"{key}_i", one.schema.field("_k").type), (f"{key}_j", two.schema.field("_k").type), *((n, pa.float64()) for n in parts)])
+
+    return left.groupBy("_a", "_b").cogroup(right.groupBy("_a", "_b")).applyInArrow(blocks, schema)
+
+
 def pair_gap(pairs: DataFrame, same: Column, value: str = "cosine", by: Sequence[str] = ()) -> DataFrame:
     """Mean and population sd within and between groups, and the gap of the means."""
     out = pairs.groupBy(*by).agg(
@@ -56,19 +131,8 @@ def pair_gap(pairs: DataFrame, same: Column, value: str = "cosine", by: Sequence
     return out.withColumn("gap", F.col("within") - F.col("between"))
 
 
-def neighbour_agreement(pairs: DataFrame, key: str, label: str) -> DataFrame:
-    """Share of vectors whose nearest other one (ties: least key) has their label, by label."""
-    sides = F.array(
-        F.struct(F.col(f"{key}_i").alias("k"), F.col(f"{label}_i").alias("l"), F.col(f"{key}_j").alias("ok"), F.col(f"{label}_j").alias("ol"), "cosine"),
-        F.struct(F.col(f"{key}_j").alias("k"), F.col(f"{label}_j").alias("l"), F.col(f"{key}_i").alias("ok"), F.col(f"{label}_i").alias("ol"), "cosine"),
-    )
-    each = pairs.select(F.explode(sides).alias("e")).select("e.*")
-    top = each.groupBy("k", "l").agg(F.max_by("ol", F.struct("cosine", (-F.col("ok")).alias("o"))).alias("nearest"))
-    return top.groupBy(F.col("l").alias(label)).agg(F.count("*").alias("n"), F.count_if(F.col("nearest") == F.col("l")).alias("agree"))
-
-
-def group_sums(df: DataFrame, vector: str, label: str, dim: int, squares: bool = True) -> DataFrame:
-    """Sums of unit vectors by label, from which means and sds of all pair cosines follow without pairs: label, kind, pos, v.
+def group_sums(df: DataFrame, vector: str, label: str, dim: int, squares: bool = True, units: bool = True) -> DataFrame:
+    """Sums of unit vectors (without ``units``: of the vectors as they are) by label, from which means and sds of all pair cosines follow without pairs: label, kind, pos, v.
 
     Kinds: n (the count), s (the sum of the vectors) and, with squares, m (that of their outer
     products, row by row). Null vectors take no part. A task adds up its rows, holding MOST labels.
@@ -101,8 +165,8 @@ def group_sums(df: DataFrame, vector: str, label: str, dim: int, squares: bool =
                 yield from flushed()
         yield from flushed()
 
-    units = df.filter(F.col(vector).isNotNull()).select(label, unit(F.col(vector)).alias("_u"))
-    parts = units.mapInArrow(run, f"`{label}` {df.schema[label].dataType.simpleString()}, kind string, pos int, v double")
+    rows = df.filter(F.col(vector).isNotNull()).select(label, (unit(F.col(vector)) if units else F.col(vector).cast("array<double>")).alias("_u"))
+    parts = rows.mapInArrow(run, f"`{label}` {df.schema[label].dataType.simpleString()}, kind string, pos int, v double")
     return parts.groupBy(label, "kind", "pos").agg(F.sum("v").alias("v"))
 
 
@@ -141,7 +205,7 @@ def group_means(df: DataFrame, vector: str, label: str, dim: int) -> DataFrame:
 
 
 def nearest_agreement(df: DataFrame, key: str, vector: str, label: str, block: int = NEAR_BLOCK) -> DataFrame:
-    """What neighbour_agreement gives over all pairs of df, compared block by block: every row against every other one.
+    """By label: n and agree, the vectors whose nearest other one (ties: least key) has their label; every row is compared with every other one, block by block.
 
     Time is quadratic, memory a block's. Cosines are equal if they are to 12 digits. Null vectors take no part.
     """
@@ -211,15 +275,9 @@ def direction_first(logits: Column, directions: int, distances: int) -> Column:
 
 
 def cross_entropy(logits: Column, target: Column, smoothing: float = 0.0) -> Column:
-    logs = F.transform(logits, lambda x: x - logsumexp(logits))
-    mean = F.aggregate(logs, F.lit(0.0), lambda s, x: s + x) / F.size(logs)
-    return -(1 - smoothing) * F.element_at(logs, target + 1) - smoothing * mean
-
-
-def set_nll(logits: Column, acceptable: Column) -> Column:
-    """Negative log probability of the acceptable set; null if the set is empty."""
-    inside = F.filter(F.zip_with(logits, acceptable, lambda x, a: F.when(a, x)), lambda x: x.isNotNull())
-    return F.when(F.size(inside) > 0, logsumexp(logits) - logsumexp(inside))
+    """Against a target that has 1 - smoothing, the rest shared by all entries."""
+    mean = F.aggregate(logits, F.lit(0.0), lambda a, x: a + x) / F.size(logits)
+    return logsumexp(logits) - (1 - smoothing) * F.element_at(logits, (target + 1).cast("int")) - smoothing * mean
 
 
 def safe_bounds(low: Column, high: Column, cap: float) -> Column:
@@ -228,26 +286,41 @@ def safe_bounds(low: Column, high: Column, cap: float) -> Column:
     return F.struct((low + margin).alias("low"), (high - margin).alias("high"))
 
 
-def mirror(vector: Column) -> Column:
-    """The halves of an array swapped: left for right; doing it twice changes nothing."""
-    half = (F.size(vector) / 2).cast("int")
-    return F.concat(F.slice(vector, half + 1, half), F.slice(vector, F.lit(1), half))
-
-
 def preferred(df: DataFrame, by: Sequence[str], direction: str, distance: str, robust: Column) -> DataFrame:
     """The robust actions of least distance in each direction, ties kept."""
     rank = F.rank().over(Window.partitionBy(*by, direction).orderBy(distance))
     return df.filter(robust).withColumn("_r", rank).filter("_r = 1").drop("_r")
 
 
-def principal_axes(df: DataFrame, vector: str, k: int = 2) -> DataFrame:
-    """df with ``pca``: projections on the first k principal axes of the centred vectors (signs are arbitrary)."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+def principal_axes(df: DataFrame, vector: str, dim: int, k: int = 2) -> tuple[list[float], list[list[float]], list[float]]:
+    """The vectors' mean, their first k principal axes and the variance along each.
+
+    Tasks add up their vectors and outer products; what meets on the driver is one
+    matrix of dim by dim, whatever the number of rows. An axis points to where its
+    component of greatest size (to 9 places; ties: the first) is positive, so reruns agree.
+    """
+    import numpy as np
+
+    rows = group_sums(df.withColumn("_all", F.lit(0)), vector, "_all", dim, units=False).collect()  # 1 + dim + dim * dim rows
+    n, total, square = 0.0, np.zeros(dim), np.zeros(dim * dim)
+    for r in rows:
+        if r["kind"] == "n":
+            n = r["v"]
+        else:
+            (total if r["kind"] == "s" else square)[r["pos"]] = r["v"]
+    mean = total / max(n, 1)
+    values, axes = np.linalg.eigh(square.reshape(dim, dim) / max(n, 1) - np.outer(mean, mean))
+    axes = axes.T[::-1][:k]
+    signs = [np.sign(a[np.argmax(np.round(np.abs(a), 9))]) for a in axes]
+    return mean.tolist(), [(a * s).tolist() for a, s in zip(axes, signs)], np.maximum(values[::-1][:k], 0).tolist()
+
 
-    v = df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    model = PCA(k=k, inputCol="_v", outputCol="_p").fit(v)
-    return model.transform(v).withColumn("pca", vector_to_array("_p")).drop("_v", "_p")
+def projected(df: DataFrame, vector: str, dim: int, k: int = 2) -> DataFrame:
+    """df with ``pca``: each vector less the mean, along the first k principal axes of all; null for a null vector."""
+    mean, axes, _ = principal_axes(df, vector, dim, k)
+    literal = lambda values: F.array(*map(F.lit, values))
+    along = [dot(F.col(vector), literal(a)) - sum(x * y for x, y in zip(mean, a)) for a in axes]
+    return df.withColumn("pca", F.when(F.col(vector).isNotNull(), F.array(*along)))
 
 
 def smooth_l1(error: Column, beta: float = 1.0) -> Column:
@@ -272,9 +345,3 @@ def ranking_loss(logits: Column, acceptable: Column, margin: float = 1.0) -> Col
     zipped = F.arrays_zip(logits.alias("l"), acceptable.alias("a"))
     best = lambda want: F.array_max(F.transform(F.filter(zipped, lambda z: z["a"] == want), lambda z: z["l"]))
     return F.greatest(best(F.lit(False)) - best(F.lit(True)) + margin, F.when(best(F.lit(True)).isNotNull() & best(F.lit(False)).isNotNull(), 0.0))
-
-
-def smoothed_cross_entropy(logits: Column, label: Column, smoothing: float = 0.1) -> Column:
-    """Cross entropy against a label that has 1 - smoothing, the rest shared by all entries."""
-    mean = F.aggregate(logits, F.lit(0.0), lambda a, x: a + x) / F.size(logits)
-    return logsumexp(logits) - (1 - smoothing) * F.element_at(logits, (label + 1).cast("int")) - smoothing * mean

@@ -9,7 +9,7 @@ from ..functions import arrays as A
 from ..operators import linking, metrics, scene, vectors
 from .catalog import SQL, define, r6, table
 from .metric_queries import UNIT, labelled, scored
-from .value_queries import BOX, PAIRS, boxes, shelf
+from .value_queries import ASKED, BOX, PAIRS, SMALL, asked_sql, boxes, shelf
 
 
 @define("SELECT c_custkey, o_orderkey FROM customer JOIN orders ON replace(c_name, 'Customer#', 'v2_') = 'v2_' || lpad(CAST(o_custkey AS VARCHAR), 9, '0')")
@@ -124,12 +124,11 @@ def micro_scores(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: r6(F.col(c)) for c in ("precision", "recall", "f1")})
 
 
-@define(f"SELECT i AS vec_id_i, j AS vec_id_j, round(c - d, 6) AS change FROM ({PAIRS}) JOIN (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) AS d FROM (SELECT vec_id, CAST(embedding[1:32] AS DOUBLE[]) AS v FROM embeddings) a JOIN (SELECT vec_id, CAST(embedding[1:32] AS DOUBLE[]) AS v FROM embeddings) b ON a.vec_id < b.vec_id) USING (i, j) WHERE i < 60")
+@define(f"SELECT vec_id_i, vec_id_j, round(x.c - y.c, 6) AS change FROM ({asked_sql(SMALL)}) x JOIN ({asked_sql('SELECT vec_id, CAST(embedding[1:32] AS DOUBLE[]) AS v FROM embeddings')}) y USING (vec_id_i, vec_id_j)")
 def matrix_difference(spark: SparkSession, sf: str) -> DataFrame:
-    """The stated first 60 vectors against all."""
-    e, asked = table(spark, sf, "embeddings"), F.col("vec_id") < 60
-    half = vectors.cosine_pairs(e.withColumn("embedding", F.slice("embedding", 1, 32)), "vec_id", "embedding", asked=asked).withColumnRenamed("cosine", "d")
-    return vectors.cosine_pairs(e, "vec_id", "embedding", asked=asked).join(half, ["vec_id_i", "vec_id_j"]).select("vec_id_i", "vec_id_j", r6(F.col("cosine") - F.col("d")).alias("change"))
+    """Every 50th vector against all others, by all components and by the first half of them in one pass."""
+    both = vectors.asked_cosines(table(spark, sf, "embeddings"), "vec_id", "embedding", F.expr(ASKED), {"c": slice(None), "d": slice(0, 32)})
+    return both.select("vec_id_i", "vec_id_j", r6(F.col("c") - F.col("d")).alias("change"))
 
 
 @define(f"WITH p AS (SELECT CAST(i // 60 + 1 AS INT) AS layer, li, lj, c FROM ({PAIRS}) WHERE i // 60 = j // 60) SELECT layer, round(avg(c) FILTER (li = lj) - avg(c) FILTER (li <> lj), 6) AS gap FROM p GROUP BY layer")

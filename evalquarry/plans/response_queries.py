@@ -282,7 +282,7 @@ def decision_losses(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("vec_id")
     e = table(spark, sf, "embeddings").select(k, F.col("embedding").cast("array<double>").alias("l"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (k + i) % 5 == 0).alias("a"))
     l, a = F.col("l"), F.col("a")  # noqa: E741
-    return e.select("vec_id", r6(vectors.acceptable_nll(l, a)).alias("nll"), r6(vectors.ranking_loss(l, a, 0.5)).alias("ranking"), r6(vectors.smoothed_cross_entropy(l, F.lit(0))).alias("smoothed"), r6(vectors.smooth_l1(l[1], 0.1)).alias("smooth_l1"), r6(vectors.interval_loss(l[2], F.lit(0.0), F.lit(0.05))).alias("interval"))
+    return e.select("vec_id", r6(vectors.acceptable_nll(l, a)).alias("nll"), r6(vectors.ranking_loss(l, a, 0.5)).alias("ranking"), r6(vectors.cross_entropy(l, F.lit(0), 0.1)).alias("smoothed"), r6(vectors.smooth_l1(l[1], 0.1)).alias("smooth_l1"), r6(vectors.interval_loss(l[2], F.lit(0.0), F.lit(0.05))).alias("interval"))
 
 
 SEGMENT_SQL = "SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 40 AS x, l_suppkey % 30 AS y, l_quantity / 5 AS d FROM lineitem"

@@ -9,7 +9,7 @@ from ..functions import arrays as A
 from ..functions import binning as B
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import audit, metrics, ranking, scene, vectors
+from ..operators import audit, metrics, orders, ranking, scene, vectors
 from ..sources import io
 from .catalog import SQL, define, r6, table
 from .response_queries import LINE_SQL
@@ -94,22 +94,30 @@ def anchor_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("l_orderkey", F.col("r.total").cast("bigint").alias("total"), F.col("r.agree").cast("bigint").alias("agree"))
 
 
-#: Votes on a scene's pairs that needn't be transitive, and all orders of up to five ids with the number of votes they keep.
-VOTES = f"WITH RECURSIVE d AS (SELECT l_orderkey, l_linenumber AS i, l_partkey AS p FROM ({LINE_SQL})), n AS (SELECT l_orderkey, count(*) AS n FROM d GROUP BY 1 HAVING count(*) <= 5), v AS (SELECT a.l_orderkey, CASE WHEN (a.p + b.p) % 3 > 0 THEN a.i ELSE b.i END AS a, CASE WHEN (a.p + b.p) % 3 > 0 THEN b.i ELSE a.i END AS b FROM d a JOIN d b ON a.l_orderkey = b.l_orderkey AND a.i < b.i), g AS (SELECT l_orderkey, list({{'a': a, 'b': b}}) AS votes FROM v GROUP BY 1), r AS (SELECT n.l_orderkey, CAST([] AS INTEGER[]) AS o, n.n FROM n UNION ALL SELECT r.l_orderkey, list_append(r.o, d.i), r.n FROM r JOIN d ON d.l_orderkey = r.l_orderkey AND NOT list_contains(r.o, d.i) WHERE len(r.o) < r.n), s AS (SELECT r.l_orderkey, r.o, len(list_filter(coalesce(g.votes, []), lambda w: list_position(r.o, w.a) < list_position(r.o, w.b))) AS kept FROM r LEFT JOIN g ON g.l_orderkey = r.l_orderkey WHERE len(r.o) = r.n), t AS (SELECT *, max(kept) OVER (PARTITION BY l_orderkey) AS most FROM s) "
+#: Votes on a scene's pairs that needn't be transitive. Subsets of a scene's objects in turn, as bits of their rank: the most votes that an order keeps, how many orders do, and the least of those, from the subsets with one object less.
+VOTES = f"""WITH RECURSIVE d AS (SELECT l_orderkey AS k, l_linenumber AS i, l_partkey AS p, CAST(1 << (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1) AS INT) AS bit FROM ({LINE_SQL})),
+v AS (SELECT a.k, CASE WHEN (a.p + b.p) % 3 > 0 THEN a.bit ELSE b.bit END AS a, CASE WHEN (a.p + b.p) % 3 > 0 THEN b.bit ELSE a.bit END AS b FROM d a JOIN d b ON a.k = b.k AND a.i < b.i),
+o AS (SELECT d.k, d.i, d.bit, CAST(coalesce(bit_or(v.b), 0) AS INT) AS beats FROM d LEFT JOIN v ON v.k = d.k AND v.a = d.bit GROUP BY ALL),
+r AS (SELECT DISTINCT k, 0 AS s, CAST(0 AS BIGINT) AS kept, CAST(1 AS BIGINT) AS ways, CAST([] AS INTEGER[]) AS first FROM d
+  UNION ALL
+  SELECT k, s, kept, CAST(sum(ways) AS BIGINT) AS ways, min(first) AS first FROM (
+    SELECT *, max(kept) OVER (PARTITION BY k, s) AS most FROM (SELECT r.k, r.s | o.bit AS s, r.kept + bit_count(o.beats & r.s) AS kept, r.ways, list_prepend(o.i, r.first) AS first FROM r JOIN o ON o.k = r.k AND r.s & o.bit = 0))
+  WHERE kept = most GROUP BY k, s, kept)
+"""
 
 
-@define(VOTES + "SELECT l_orderkey, count(*) AS n_best, min(o) AS first_best FROM t WHERE kept = most GROUP BY l_orderkey")
+@define(VOTES + "SELECT r.k AS l_orderkey, ways AS n_best, kept, first AS first_best FROM r JOIN (SELECT k, sum(bit) AS every FROM d GROUP BY k) e ON e.k = r.k AND e.every = r.s")
 def kemeny_orders(spark: SparkSession, sf: str) -> DataFrame:
-    """The orders of up to five objects that agree with most votes on their pairs: how many, and the least of them."""
+    """The orders of all of a scene's objects that agree with most votes on their pairs: how many, and the least of them."""
 
     def vote(p: Column) -> Column:
         first = (p["a"]["part"] + p["b"]["part"]) % 3 > 0
         a, b = p["a"]["id"], p["b"]["id"]
         return F.struct(F.when(first, a).otherwise(b).alias("a"), F.when(first, b).otherwise(a).alias("b"))
 
-    out = lines(spark, sf).filter(F.size("s") <= 5).select("l_orderkey", F.transform("s", lambda x: x["id"]).alias("ids"), F.transform(A.pairs_in_order(F.col("s")), vote).alias("votes"))
-    out = out.withColumn("best", A.best_orders(F.col("ids"), F.col("votes")))
-    return out.select("l_orderkey", F.size("best").cast("bigint").alias("n_best"), F.array_min("best").alias("first_best"))
+    out = lines(spark, sf).select("l_orderkey", F.transform("s", lambda x: x["id"]).alias("ids"), F.transform(A.pairs_in_order(F.col("s")), vote).alias("votes"))
+    out = orders.kemeny(out, F.col("ids"), F.col("votes"))
+    return out.select("l_orderkey", "best.n_best", F.col("best.kept").cast("bigint").alias("kept"), F.col("best.first").alias("first_best"))
 
 
 FLAGS = "SELECT l_orderkey, l_linenumber, l_partkey, l_partkey % 3 <> 1 AS cq, l_partkey % 3 <> 0 AS tq, CASE WHEN l_suppkey % 4 > 0 THEN l_quantity > 25 END AS cf, CASE WHEN l_suppkey % 5 > 1 THEN l_discount > 0.05 END AS tf, l_tax > 0.04 AS m FROM lineitem"
@@ -245,7 +253,7 @@ def action_decode(spark: SparkSession, sf: str) -> DataFrame:
     """A joint action's direction and distance, the mirrored scene's vector, and narrowed safe bounds."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("l"))
     out = e.withColumns({"j": vectors.joint_decode(F.col("l"), 8), "b": vectors.safe_bounds(F.col("l")[0], F.col("l")[0] + F.abs(F.col("l")[1]), 0.01)})
-    return out.select("vec_id", vectors.mirror(F.col("l")).alias("mirrored"), F.col("j.direction").cast("bigint").alias("direction"), F.col("j.distance").cast("bigint").alias("distance"), r6(F.col("b.low")).alias("low"), r6(F.col("b.high")).alias("high"))
+    return out.select("vec_id", A.mirrored_mask(F.col("l")).alias("mirrored"), F.col("j.direction").cast("bigint").alias("direction"), F.col("j.distance").cast("bigint").alias("distance"), r6(F.col("b.low")).alias("low"), r6(F.col("b.high")).alias("high"))
 
 
 @define("SELECT o_custkey, list(o_orderkey ORDER BY coalesce(list_position(['2-HIGH', '1-URGENT', '5-LOW'], o_orderpriority), 4), o_orderkey) AS in_order FROM orders GROUP BY o_custkey")

@@ -145,11 +145,19 @@ SMALL = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
 PAIRS = f"SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) AS c FROM ({SMALL}) a JOIN ({SMALL}) b ON a.vec_id < b.vec_id"
 
 
-@define(f"SELECT i AS vec_id_i, j AS vec_id_j, round(c, 6) AS cosine FROM ({PAIRS}) WHERE i < 200")
+#: The stated set of asked vectors, with every other vector.
+ASKED = "vec_id % 50 = 0"
+
+
+def asked_sql(v: str) -> str:
+    """vec_id_i, vec_id_j and c, the cosine of the asked vectors with every other one of a table of vectors."""
+    return f"SELECT a.vec_id AS vec_id_i, b.vec_id AS vec_id_j, list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) AS c FROM ({v}) a JOIN ({v}) b ON a.vec_id <> b.vec_id WHERE a.{ASKED}"
+
+
+@define(f"SELECT vec_id_i, vec_id_j, round(c, 6) AS cosine FROM ({asked_sql(SMALL)})")
 def cosine_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """The stated first 200 vectors against all: a whole similarity matrix is quadratic, so its rows are a parameter of the report."""
-    pairs = vectors.cosine_pairs(table(spark, sf, "embeddings"), "vec_id", "embedding", asked=F.col("vec_id") < 200)
-    return pairs.select("vec_id_i", "vec_id_j", r6(F.col("cosine")).alias("cosine"))
+    """Every 50th vector against all others: a whole similarity matrix is quadratic, so its rows are a stated set."""
+    return vectors.asked_cosines(table(spark, sf, "embeddings"), "vec_id", "embedding", F.expr(ASKED)).withColumn("cosine", r6(F.col("cosine")))
 
 
 @define(f"SELECT count(*) FILTER (li = lj) AS within_n, count(*) FILTER (li <> lj) AS between_n, round(avg(c) FILTER (li = lj), 6) AS within, round(avg(c) FILTER (li <> lj), 6) AS between, round(stddev_pop(c) FILTER (li = lj), 6) AS within_sd, round(stddev_pop(c) FILTER (li <> lj), 6) AS between_sd, round(avg(c) FILTER (li = lj) - avg(c) FILTER (li <> lj), 6) AS gap FROM ({PAIRS})")
@@ -163,11 +171,22 @@ def nn1_label_agreement(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.nearest_agreement(table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
 
 
-@define("WITH c AS (SELECT vec_id, list(x - m ORDER BY d) AS v FROM (SELECT vec_id, d, x, avg(x) OVER (PARTITION BY d) AS m FROM (SELECT vec_id, unnest(range(1, 65)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)) GROUP BY vec_id) SELECT a.vec_id AS vec_id_i, b.vec_id AS vec_id_j, round(list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)), 6) AS cosine FROM c a JOIN c b ON a.vec_id < b.vec_id WHERE a.vec_id < 100")
+CENTRED = "SELECT vec_id, list(x - m ORDER BY d) AS v FROM (SELECT vec_id, d, x, avg(x) OVER (PARTITION BY d) AS m FROM (SELECT vec_id, unnest(range(1, 65)) AS d, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)) GROUP BY vec_id"
+
+
+@define(f"WITH c AS ({CENTRED}) SELECT vec_id_i, vec_id_j, round(c, 6) AS cosine FROM ({asked_sql('SELECT * FROM c')})")
 def centered_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    """The stated first 100 vectors against all, all less the mean of all."""
+    """Every 50th vector against all others, all less the mean of all."""
     e = table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    return vectors.cosine_pairs(vectors.centred(e, "embedding", 64), "vec_id", "embedding", asked=F.col("vec_id") < 100).withColumn("cosine", r6(F.col("cosine")))
+    return vectors.asked_cosines(vectors.centred(e, "embedding", 64), "vec_id", "embedding", F.expr(ASKED)).withColumn("cosine", r6(F.col("cosine")))
+
+
+@define(None)
+def principal_axes(spark: SparkSession, sf: str) -> DataFrame:
+    """Unit vectors along the first two principal axes of all; eigenvectors are beyond SQL, a test has numpy's."""
+    e = table(spark, sf, "embeddings").select("vec_id", vectors.unit(F.col("embedding")).alias("u"))
+    out = vectors.projected(e, "u", 64)
+    return out.select("vec_id", r6(F.col("pca")[0]).alias("x"), r6(F.col("pca")[1]).alias("y"))
 
 
 LOGITS = "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS l FROM embeddings"

@@ -4,12 +4,14 @@ import hashlib
 import itertools
 import json
 import math
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from evalquarry.functions import arrays as A
+from evalquarry.operators import orders
 from evalquarry.functions import binning as B
 from evalquarry.functions import geometry as G
 from evalquarry.functions import text as X
@@ -93,12 +95,40 @@ def test_orders(spark):
 
 
 def test_best_orders(spark):
-    votes = [(1, 2), (2, 3), (3, 1), (1, 4), (2, 4), (3, 4)]
-    got = one(spark, A.best_orders(lit([3, 1, 2, 4]), F.array(*(F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in votes))))
-    score = lambda o: sum(o.index(a) < o.index(b) for a, b in votes)
-    orders = list(itertools.permutations([1, 2, 3, 4]))
-    top = max(map(score, orders))
-    assert [tuple(o) for o in got] == [o for o in orders if score(o) == top]
+    rng = random.Random(9)
+    cases = [([3, 1, 2, 4], [(1, 2), (2, 3), (3, 1), (1, 4), (2, 4), (3, 4)]), ([], [(1, 2)]), ([7], []), ([2, 1, 3], []), ([5, 9], [(9, 5), (9, 5), (5, 9), (9, 77)]), (None, []), ([1, 2], None)]
+    for n in (5, 6, 7):
+        ids = rng.sample(range(50), n)
+        cases.append((ids, [tuple(rng.sample(ids, 2)) for _ in range(3 * n)]))
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, ids array<bigint>, votes array<struct<a: bigint, b: bigint>>")
+    got = orders.kemeny(df, F.col("ids"), F.col("votes"), "k", every=True).collect()
+    assert {r.i: r.k and r.k[:3] for r in got} == {r.i: r.k and tuple(r.k) for r in orders.kemeny(df, F.col("ids"), F.col("votes"), "k").collect()}
+    for r in got:
+        ids, votes = cases[r.i]
+        if ids is None:
+            assert r.k is None
+            continue
+        score = lambda o: sum(a in o and b in o and o.index(a) < o.index(b) for a, b in votes or [])  # noqa: E731, B023
+        tried = list(itertools.permutations(sorted(ids)))
+        top = max(map(score, tried))
+        best = [o for o in tried if score(o) == top]
+        assert [tuple(o) for o in r.k.orders] == best
+        assert (r.k.kept, r.k.n_best, tuple(r.k.first)) == (top, len(best), best[0])
+
+
+def test_best_orders_of_twelve_ids_and_of_more(spark):
+    planted = [3, 11, 0, 7, 5, 1, 10, 2, 9, 8, 4, 6]
+    votes = [(a, b) for a, b in itertools.combinations(planted, 2)] * 2 + [(b, a) for a, b in itertools.combinations(planted, 2)]
+    one_row = lambda ids, pairs: spark.createDataFrame([(ids, pairs)], "ids array<int>, votes array<struct<a: int, b: int>>")
+    best = lambda df, every=False: orders.kemeny(df, F.col("ids"), F.col("votes"), every=every).first().best
+    r = best(one_row(list(range(12)), votes))
+    assert (r.kept, r.n_best, r.first) == (132, 1, planted)
+    free = best(one_row(list(range(12)), []))
+    assert (free.n_best, free.first) == (math.factorial(12), list(range(12)))
+    with pytest.raises(Exception, match="13 ids are more than 12"):
+        best(one_row(list(range(13)), []))
+    with pytest.raises(Exception, match="best orders are more"):
+        best(one_row(list(range(9)), []), every=True)
 
 
 def test_query_rule(spark):

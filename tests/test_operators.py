@@ -166,13 +166,54 @@ def test_vectors(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0], "a"), (2, [4.0, 3.0], "a"), (3, [-3.0, -4.0], "b")], "k long, v array<double>, l string")
     pairs = {(r.k_i, r.k_j): r.cosine for r in vectors.cosine_pairs(df, "k", "v", ["l"]).collect()}
     assert pairs == pytest.approx({(1, 2): 0.96, (1, 3): -1.0, (2, 3): -0.96})
-    m = df.select(vectors.mirror(vectors.mirror(F.col("v"))).alias("m"), "v").collect()
-    assert all(r.m == r.v for r in m)
     p = df.select(vectors.softmax(F.col("v")).alias("p")).first().p
     assert sum(p) == pytest.approx(1)
     with pytest.raises(Exception, match="zero vector"):
         df.select(vectors.unit(F.array(F.lit(0.0)))).collect()
-    assert vectors.principal_axes(df, "v").count() == 3
+
+
+def test_principal_axes_match_numpy(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 6)) @ np.diag([5, 3, 1, 0.5, 0.2, 0.1]) @ rng.normal(size=(6, 6)) + 7
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)] + [(400, None)], "k long, v array<double>").repartition(5)
+    mean, axes, variances = vectors.principal_axes(df, "v", 6, 3)
+    values, want = np.linalg.eigh(np.cov(x.T, bias=True))
+    assert mean == pytest.approx(x.mean(axis=0).tolist()) and variances == pytest.approx(values[::-1][:3].tolist())
+    for got, w in zip(axes, want.T[::-1]):
+        assert got == pytest.approx((w * np.sign(w[np.abs(w).argmax()])).tolist(), abs=1e-9)
+    out = {r.k: r.pca for r in vectors.projected(df, "v", 6).collect()}
+    assert out.pop(400) is None and all(out[i] == pytest.approx(((x[i] - x.mean(axis=0)) @ np.array(axes[:2]).T).tolist(), abs=1e-8) for i in out)
+    assert np.allclose(np.ravel(vectors.principal_axes(df, "v", 6, 3)[1]), np.ravel(axes))
+
+
+def test_principal_axes_query_matches_numpy(spark):
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    _, axes = np.linalg.eigh(np.cov(x.T, bias=True))
+    axes = [w * np.sign(w[np.abs(w).argmax()]) for w in axes.T[::-1][:2]]
+    got = {r.vec_id: (r.x, r.y) for r in catalog.QUERIES["principal_axes"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    for r, v in zip(rows, x):
+        assert got[r.vec_id] == pytest.approx([(v - x.mean(axis=0)) @ a for a in axes], abs=2e-6)
+
+
+@pytest.mark.parametrize("limit", [vectors.ASKED_BYTES, 0])
+def test_asked_cosines(spark, limit):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(90)] + [(90, None), (7, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "k int, v array<double>").repartition(3)
+    out = vectors.asked_cosines(df, "k", "v", F.col("k") % 10 == 0, {"whole": slice(None), "half": slice(0, 3)}, limit)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    got = sorted((r.k_i, r.k_j, r.whole, r.half) for r in out.collect())
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    want = sorted((i, j, cos(a, b), cos(a[:3], b[:3])) for i, a in rows if i % 10 == 0 and a for j, b in rows if j != i and b)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2:] for g in got], [w[2:] for w in want])
+    with pytest.raises(Exception, match="zero vector"):
+        vectors.asked_cosines(df.union(spark.createDataFrame([(10, [0.0] * 6)], df.schema)), "k", "v", F.col("k") % 10 == 0, broadcast_bytes=limit).collect()
+    assert vectors.asked_cosines(df, "k", "v", F.col("k") > 1000, broadcast_bytes=limit).count() == 0
 
 
 def all_cosines(spark):
@@ -183,8 +224,9 @@ def all_cosines(spark):
     return [r.vec_id for r in rows], np.array([r.label for r in rows]), x, u @ u.T
 
 
-def pairs_of(cos, ids, most):
-    return {(ids[i], ids[j]): cos[i, j] for i in range(len(ids)) for j in range(i + 1, len(ids)) if ids[i] < most}
+def pairs_of(c, ids):
+    """What a matrix holds of every 50th vector with every other one."""
+    return {(ids[i], ids[j]): c[i, j] for i in range(len(ids)) if ids[i] % 50 == 0 for j in range(len(ids)) if j != i}
 
 
 def test_gaps_and_families_are_of_all_vectors(spark):
@@ -217,8 +259,8 @@ def test_neighbours_and_matrices_reach_all_vectors(spark):
     assert {r.label: (r.n, r.agree) for r in vectors.nearest_agreement(e, "vec_id", "embedding", "label", block=100).collect()} == want
     unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
     middle, half = unit(x - x.mean(axis=0)), unit(x[:, :32])
-    for query, most, c, name in ((value_queries.cosine_pairs, 200, cos, "cosine"), (value_queries.centered_cosine, 100, middle @ middle.T, "cosine"), (linking_queries.matrix_difference, 60, cos - half @ half.T, "change")):
-        assert {(r.vec_id_i, r.vec_id_j): r[name] for r in query(spark, SF).collect()} == pytest.approx(pairs_of(c, ids, most), abs=2e-6)
+    for query, c, name in ((value_queries.cosine_pairs, cos, "cosine"), (value_queries.centered_cosine, middle @ middle.T, "cosine"), (linking_queries.matrix_difference, cos - half @ half.T, "change")):
+        assert {(r.vec_id_i, r.vec_id_j): r[name] for r in query(spark, SF).collect()} == pytest.approx(pairs_of(c, ids), abs=2e-6)
 
 
 def test_gaps_without_pairs(spark):
@@ -268,7 +310,7 @@ def test_decoders_take_all_components(spark):
 def test_losses(spark):
     logits = F.array(*map(F.lit, (1.0, 2.0, 0.5)))
     ok = F.array(F.lit(False), F.lit(True), F.lit(True))
-    r = spark.range(1).select(vectors.set_nll(logits, ok), vectors.cross_entropy(logits, F.lit(1)), vectors.smooth_l1(F.lit(0.5)), vectors.smooth_l1(F.lit(-3.0)), vectors.safe_bounds(F.lit(0.0), F.lit(1.0), 0.1)).first()
+    r = spark.range(1).select(vectors.acceptable_nll(logits, ok), vectors.cross_entropy(logits, F.lit(1)), vectors.smooth_l1(F.lit(0.5)), vectors.smooth_l1(F.lit(-3.0)), vectors.safe_bounds(F.lit(0.0), F.lit(1.0), 0.1)).first()
     z = sum(map(math.exp, (1.0, 2.0, 0.5)))
     assert list(r)[:4] == pytest.approx([math.log(z / (math.exp(2) + math.exp(0.5))), math.log(z) - 2, 0.125, 2.5])
     assert tuple(r[4]) == (0.1, 0.9)
