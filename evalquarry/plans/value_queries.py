@@ -9,7 +9,7 @@ from ..functions import arrays as A
 from ..functions import binning as B
 from ..functions import geometry as G
 from ..functions import text as X
-from ..operators import metrics, scene, vectors
+from ..operators import masks, metrics, scene, vectors
 from .catalog import define, r6, table
 
 ORDERED = "SELECT l_orderkey, list(l_partkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS e, list(l_partkey ORDER BY l_extendedprice, l_linenumber, l_partkey) AS p FROM lineitem GROUP BY l_orderkey"
@@ -305,6 +305,29 @@ def visibility_states(spark: SparkSession, sf: str) -> DataFrame:
     return scene.visibility(p.filter("u < 20 OR scene_id % 2 = 0"), p).withColumn("visible_share", r6(F.col("visible_share")))
 
 
+COARSE = f"p AS (SELECT DISTINCT scene_id, object_id, CAST(u // 4 AS BIGINT) AS u, CAST(v // 4 AS BIGINT) AS v FROM ({PIX}))"
+#: Each pixel with the first pixels (by row, then column) that it reaches over neighbours, corners too.
+REACHED = f"WITH RECURSIVE {COARSE}, r AS (SELECT *, v AS cv, u AS cu FROM p UNION SELECT p.*, r.cv, r.cu FROM r JOIN p ON p.scene_id = r.scene_id AND p.object_id = r.object_id AND abs(p.u - r.u) <= 1 AND abs(p.v - r.v) <= 1 AND (p.v, p.u) > (r.cv, r.cu)), l AS (SELECT scene_id, object_id, u, v, min({{'v': cv, 'u': cu}}) AS c FROM r GROUP BY ALL), a AS (SELECT scene_id, object_id, c, count(*) AS area, min(u) AS \"left\", min(v) AS top, max(u) - min(u) + 1 AS width, max(v) - min(v) + 1 AS height, round(avg(u), 6) AS u_mean, round(avg(v), 6) AS v_mean FROM l GROUP BY ALL), b AS (SELECT *, count(*) OVER m AS components, CAST(sum(area) OVER m AS BIGINT) AS visible_area, row_number() OVER (PARTITION BY scene_id, object_id ORDER BY area DESC, c) AS r FROM a WINDOW m AS (PARTITION BY scene_id, object_id))"
+
+
+def coarse_pixels(spark: SparkSession, sf: str) -> DataFrame:
+    """Masks of pixels of four by four, which touch."""
+    return pixels(spark, sf).select("scene_id", "object_id", F.floor(F.col("u") / 4).alias("u"), F.floor(F.col("v") / 4).alias("v"))
+
+
+@define(REACHED + ' SELECT scene_id, object_id, components, visible_area, area, u_mean, v_mean, "left", top, width, height FROM b WHERE r = 1')
+def largest_components(spark: SparkSession, sf: str) -> DataFrame:
+    """How many connected parts a mask has, and the largest of them."""
+    out = masks.largest_components(masks.labelled_runs(coarse_pixels(spark, sf)))
+    return out.select("scene_id", "object_id", "components", "visible_area", "area", r6(F.col("u_mean")).alias("u_mean"), r6(F.col("v_mean")).alias("v_mean"), "left", "top", "width", "height")
+
+
+@define(REACHED + ", k AS (SELECT l.* FROM l JOIN b ON b.r = 1 AND l.scene_id = b.scene_id AND l.object_id = b.object_id AND l.c = b.c), g AS (SELECT x.u, y.v FROM range(-1, 12) x(u), range(-1, 9) y(v)), m AS (SELECT DISTINCT scene_id, object_id FROM k), e AS (SELECT m.*, g.* FROM m, g ANTI JOIN k ON k.scene_id = m.scene_id AND k.object_id = m.object_id AND k.u = g.u AND k.v = g.v), d AS (SELECT k.scene_id, k.object_id, k.u, k.v, min((k.u - e.u) * (k.u - e.u) + (k.v - e.v) * (k.v - e.v)) AS s FROM k JOIN e ON k.scene_id = e.scene_id AND k.object_id = e.object_id GROUP BY ALL) SELECT scene_id, object_id, best.u AS u, best.v AS v, round(sqrt(best.s), 6) AS clearance FROM (SELECT scene_id, object_id, first({'u': u, 'v': v, 's': s} ORDER BY s DESC, v, u) AS best FROM d GROUP BY ALL)")
+def deepest_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Where a label has most room: the point of a mask's largest part that is farthest from its border."""
+    return masks.deepest_points(coarse_pixels(spark, sf)).withColumn("clearance", r6(F.col("clearance")))
+
+
 @define(f"WITH p AS (SELECT DISTINCT scene_id, object_id, u // 4 AS u, v // 4 AS v FROM ({PIX})), h AS (SELECT scene_id, u, v FROM p WHERE object_id = 0), s AS (SELECT scene_id, count(*) AS target_area FROM h GROUP BY 1), m AS (SELECT scene_id, object_id, count(*) AS overlap FROM h JOIN (SELECT * FROM p WHERE object_id > 0) USING (scene_id, u, v) GROUP BY ALL), r AS (SELECT scene_id, object_id, overlap, target_area, overlap / target_area AS share FROM m JOIN s USING (scene_id) WHERE overlap / target_area >= 0.05) SELECT scene_id, object_id, overlap, target_area, round(share, 6) AS share, row_number() OVER (PARTITION BY scene_id ORDER BY share DESC, object_id) = 1 AS is_primary FROM r")
 def occluder_ranking(spark: SparkSession, sf: str) -> DataFrame:
     p = pixels(spark, sf).select("scene_id", "object_id", F.floor(F.col("u") / 4).alias("u"), F.floor(F.col("v") / 4).alias("v")).distinct()
