@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import binning as B
 from ..functions import geometry as G
+from .stable import checkpointed
 
 
 def mask_summary(pixels: DataFrame, by: Sequence[str] = ("scene_id", "object_id")) -> DataFrame:
@@ -129,19 +130,67 @@ def translation_candidates(scenes: DataFrame, obstacles: DataFrame, bounds: Colu
     return out.filter("distance IS NOT NULL").select("scene_id", "direction", "distance", "limit").withColumn("rank", rank)
 
 
+def box_of(polygon: str) -> Column:
+    xs, ys = F.transform(polygon, lambda p: p["x"]), F.transform(polygon, lambda p: p["y"])
+    return G.rect(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+
+
+def meeting_boxes(left: DataFrame, right: DataFrame, scene: str = "scene_id", box: str = "box", within: float = 0.0, suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
+    """Pairs of a left and a right row of one scene whose boxes are at most ``within`` apart in x and in y: all columns, with suffixes but for the scene's.
+
+    There is a grid for each power of two. A box lies in the cells of the grid whose
+    cells are as large as itself, four at most; a row looks for others in its own grid
+    and in those of all larger sizes that occur. A pair meets in the cell of the lower corner
+    of what their boxes share, and nowhere else. So a scene with any number of objects
+    is dealt to many tasks by its cells. Rows without a whole box meet nothing.
+    """
+
+    def sized(df: DataFrame) -> DataFrame:
+        r = F.col(box)
+        size = F.greatest(r["xmax"] - r["xmin"], r["ymax"] - r["ymin"], F.lit(float(within)), F.lit(2.0**-40))
+        return df.filter(r["xmin"].isNotNull() & r["ymin"].isNotNull() & r["xmax"].isNotNull() & r["ymax"].isNotNull()).select(scene, F.struct("*").alias("_row"), box, F.ceil(F.log2(size)).cast("int").alias("_level"))
+
+    def dealt(df: DataFrame, by: float, suffix: str, level: Column) -> DataFrame:
+        """A row for each cell that the box, widened by ``by``, touches on its level's grid."""
+        r, cell = F.col(box), F.pow(F.lit(2.0), level)
+        span = lambda n: F.sequence(F.floor((r[f"{n}min"] - by) / cell), F.floor((r[f"{n}max"] + by) / cell))
+        named = df.select(F.col(scene).alias(f"_scene{suffix}"), F.col("_row").alias(f"_row{suffix}"), r.alias(f"_box{suffix}"), level.alias("_l"), F.explode(span("x")).alias("_x"), span("y").alias("_ys"))
+        return named.withColumn("_y", F.explode("_ys")).drop("_ys")
+
+    a, b = checkpointed(sized(left)), checkpointed(sized(right))
+    levels = sorted({r[0] for df in (a, b) for r in df.select("_level").distinct().collect()})  # powers of two that occur: few, whatever the rows
+    above = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda n: n > F.col("_level"))
+    one, two = suffixes
+
+    def searched(asking: DataFrame, held: DataFrame, higher: bool, x: str, y: str) -> DataFrame:
+        """Asking rows against the rows held in their own grid, or in higher ones."""
+        probes = asking.withColumn("_at", F.explode(above)) if higher else asking.withColumn("_at", F.col("_level"))
+        p, h = dealt(probes, within, x, F.col("_at")), dealt(held, 0.0, y, F.col("_level"))
+        met = p.join(h.withColumnRenamed("_l", "_hl").withColumnRenamed("_x", "_hx").withColumnRenamed("_y", "_hy"), (F.col(f"_scene{x}") == F.col(f"_scene{y}")) & (F.col("_l") == F.col("_hl")) & (F.col("_x") == F.col("_hx")) & (F.col("_y") == F.col("_hy")))
+        s, t, cell = F.col(f"_box{x}"), F.col(f"_box{y}"), F.pow(F.lit(2.0), F.col("_l"))
+        for n in "xy":
+            low = F.greatest(s[f"{n}min"] - within, t[f"{n}min"])
+            met = met.filter((low <= s[f"{n}max"] + within) & (low <= t[f"{n}max"]) & (F.floor(low / cell) == F.col(f"_{n}")))
+        return met.select(F.col(f"_scene{x}").alias(scene), f"_row{one}", f"_row{two}")
+
+    # a pair of different sizes meets in the larger one's grid
+    pairs = searched(a, b, False, one, two)
+    if len(levels) > 1:
+        pairs = pairs.unionByName(searched(a, b, True, one, two)).unionByName(searched(b, a, True, two, one))
+    columns = [F.col(f"_row{x}.`{c}`").alias(f"{c}{x}") for x, df in ((one, left), (two, right)) for c in df.columns if c != scene]
+    return pairs.select(scene, *columns)
+
+
 def near_objects(objects: DataFrame, within: float, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon") -> DataFrame:
-    """Pairs of a scene's objects at most ``within`` apart; boxes rule most pairs out before polygons are compared.
+    """Pairs of a scene's objects at most ``within`` apart, found by meeting_boxes: a scene may have any number of objects.
 
-    The join has the boxes' conditions alone: a filter on the distance itself would be
-    moved ahead of them, so it stands in what is exploded, where it is computed once.
+    The distance of the polygons stands in what is exploded, where it is computed once,
+    and not in a filter, which would be moved ahead of the boxes.
     """
-    xs, ys = F.transform(polygon, lambda p: p["x"]), F.transform(polygon, lambda p: p["y"])
-    boxed = objects.select(scene, key, polygon, F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), F.array_min(ys).alias("y0"), F.array_max(ys).alias("y1"))
-    a, b = boxed.alias("a"), boxed.alias("b")
-    close = (F.col("a.x0") <= F.col("b.x1") + within) & (F.col("b.x0") <= F.col("a.x1") + within) & (F.col("a.y0") <= F.col("b.y1") + within) & (F.col("b.y0") <= F.col("a.y1") + within)
-    pairs = a.join(b, (F.col(f"a.{scene}") == F.col(f"b.{scene}")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & close)
-    near = F.filter(F.array(G.distance(F.col(f"a.{polygon}"), F.col(f"b.{polygon}"))), lambda d: d <= within)
-    return pairs.select(F.col(f"a.{scene}").alias(scene), F.col(f"a.{key}").alias(f"{key}_a"), F.col(f"b.{key}").alias(f"{key}_b"), F.explode(near).alias("distance"))
+    boxed = objects.select(scene, key, polygon, box_of(polygon).alias("box"))
+    pairs = meeting_boxes(boxed, boxed, scene, within=within).filter(F.col(f"{key}_a") < F.col(f"{key}_b"))
+    near = F.filter(F.array(G.distance(F.col(f"{polygon}_a"), F.col(f"{polygon}_b"))), lambda d: d <= within)
+    return pairs.select(scene, f"{key}_a", f"{key}_b", F.explode(near).alias("distance"))
 
 
 def path_check(moves: DataFrame, obstacles: DataFrame, bounds: tuple[float, float, float, float], step: float = 0.25, key: Sequence[str] = ("scene_id", "move_id"), turn_step: float = 5.0, action: Column | None = None, mover: Column | None = None) -> DataFrame:
@@ -206,17 +255,32 @@ def static_validity(moves: DataFrame, obstacles: DataFrame, bounds: Column, marg
 
 
 def finger_zones(objects: DataFrame, zones: DataFrame, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon", tolerance: float = 1e-7) -> DataFrame:
-    """Each object's finger zones (left and right, from ``zones``: scene, key, side, zone) and the other objects in them; free if there are none."""
+    """Each object's finger zones (left and right, from ``zones``: scene, key, side, zone) and the other objects in them; free if there are none.
+
+    meeting_boxes finds the objects whose boxes meet a zone's; only their polygons are compared.
+    """
+    boxed = objects.select(scene, F.col(key).alias("_other"), F.col(polygon).alias("_p"), box_of(polygon).alias("box"))
+    asked = zones.select(scene, key, "side", "zone", box_of("zone").alias("box"))
+    met = meeting_boxes(asked, boxed, scene, within=tolerance, suffixes=("", "_o")).filter(F.col(key) != F.col("_other_o"))
+    hits = met.select(scene, key, "side", F.explode(F.filter(F.array(F.when(G.distance(F.col("zone"), F.col("_p_o")) <= tolerance, F.col("_other_o"))), lambda o: o.isNotNull())).alias("_hit"))
+    found = hits.groupBy(scene, key, "side").agg(F.array_sort(F.collect_set("_hit")).alias("_by"))
+    none = F.array().cast(f"array<{objects.schema[key].dataType.simpleString()}>")
+    out = zones.select(scene, key, "side").distinct().join(found, [scene, key, "side"], "left").withColumn("occupied_by", F.coalesce("_by", none)).drop("_by")
+    return out.withColumn("free", F.size("occupied_by") == 0)
+
+
+def gripper_zones(targets: DataFrame, width: float, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon") -> DataFrame:
+    """Where a gripper's two fingers would go: the strips of a width at the left and right side of each target's box, as deep as the box.
+
+    Returns scene, key, side (LEFT, RIGHT) and zone, for finger_zones.
+    """
+    r = box_of(polygon)
 
-    def box(p: str) -> Column:
-        xs, ys = F.transform(p, lambda q: q["x"]), F.transform(p, lambda q: q["y"])
-        return G.rect(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
+    def zone(low: Column, high: Column) -> Column:
+        return F.array(G.point(low, r["ymin"]), G.point(high, r["ymin"]), G.point(high, r["ymax"]), G.point(low, r["ymax"]))
 
-    other = objects.select(F.col(scene).alias("_s"), F.col(key).alias("_k"), F.col(polygon).alias("_p"), box(polygon).alias("_b"))
-    met = zones.withColumn("_z", box("zone")).join(other, (F.col(scene) == F.col("_s")) & (F.col(key) != F.col("_k")), "left")
-    boxed = [(F.col("_z")[f"{n}min"] <= F.col("_b")[f"{n}max"] + tolerance) & (F.col("_b")[f"{n}min"] <= F.col("_z")[f"{n}max"] + tolerance) for n in "xy"]
-    hit = F.when(boxed[0] & boxed[1], F.when(G.distance(F.col("zone"), F.col("_p")) <= tolerance, F.col("_k")))
-    return met.groupBy(scene, key, "side").agg(F.array_sort(F.collect_set(hit)).alias("occupied_by")).withColumn("free", F.size("occupied_by") == 0)
+    sides = {"LEFT": zone(r["xmin"] - width, r["xmin"]), "RIGHT": zone(r["xmax"], r["xmax"] + width)}
+    return targets.select(scene, key, F.inline(F.array(*(F.struct(F.lit(n).alias("side"), z.alias("zone")) for n, z in sides.items()))))
 
 
 def relation_payloads(objects: DataFrame, targets: DataFrame, near: float = 5.0, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon", centre: str = "centre") -> DataFrame:

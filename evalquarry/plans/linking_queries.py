@@ -105,7 +105,7 @@ def post_move_check(spark: SparkSession, sf: str) -> DataFrame:
 
 @define(f'WITH l AS ({SQL["swept_aabb_limit"]}) SELECT scene_id, CAST(least(8, floor(("limit" + 1e-9) / 0.05)) AS BIGINT) AS n_allowed FROM l')
 def action_masks(spark: SparkSession, sf: str) -> DataFrame:
-    b = boxes(spark, sf).filter("object_id = 1").groupBy("scene_id").agg(F.min("o").alias("r"), F.count("*").alias("c")).filter("c = 1")
+    b = boxes(spark, sf).filter("object_id = 1").groupBy("scene_id").agg(F.min("o").alias("r"))
     moves = b.select("scene_id", "r", F.lit(1.0).alias("vx"), F.lit(0.0).alias("vy"))
     limits = scene.clearance_limits(moves, boxes(spark, sf).filter("object_id > 1"), shelf(), [])
     return linking.action_masks(limits, 0.05, 0.4).select("scene_id", F.col("n_allowed").cast("bigint").alias("n_allowed"))

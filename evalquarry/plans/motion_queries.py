@@ -14,7 +14,7 @@ from .value_queries import BOX, polygons
 SHELF = (-30.0, 30.0, -30.0, 30.0)
 
 #: Squares in centimetres: centre and half a side.
-SINGLE = f"SELECT scene_id, object_id, 100 * min(x) AS x, 100 * min(y) AS y, 50 * min(w) AS h FROM ({BOX}) GROUP BY ALL HAVING count(*) = 1"
+SINGLE = f"SELECT scene_id, object_id, 100 * min(x) AS x, 100 * min(y) AS y, 50 * min(w) AS h FROM ({BOX}) GROUP BY ALL"
 
 #: How far the ray from the centre (m) goes to the near side of a square (o), or to its far side from within; u is along the ray.
 AHEAD = {0: ("o.x - m.x", "o.y - m.y"), 90: ("o.y - m.y", "o.x - m.x"), 180: ("m.x - o.x", "o.y - m.y"), 270: ("m.y - o.y", "o.x - m.x")}
@@ -47,7 +47,7 @@ PATHS = (
 )
 def motion_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Slides and turns of each scene's first object among the others, in substeps, up to the first that fails."""
-    p = polygons(spark, sf, single=True)
+    p = polygons(spark, sf)
     k = F.col("scene_id")
     asked = F.when(k % 3 == 0, k % 7 * 1.3).otherwise(k % 11 * 37.5)
     degrees = F.when(k % 3 == 0, (k % 4 * 90).cast("double")).otherwise(F.when(k % 2 == 0, 1.0).otherwise(-1.0))
@@ -115,12 +115,11 @@ def motion_payloads(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@define(f"WITH b AS ({ODD}), z AS (SELECT scene_id, object_id, unnest(['LEFT', 'RIGHT']) AS side, unnest([x - h - 1.5, x + h + 1.5]) AS x, y, 1.4 AS h FROM b) SELECT m.scene_id, m.object_id, m.side, coalesce(list(o.object_id ORDER BY o.object_id) FILTER (o.h > 0 AND {GAP} <= 1e-7), []) AS occupied_by, count(*) FILTER (o.h > 0 AND {GAP} <= 1e-7) = 0 AS free FROM z m LEFT JOIN b o ON o.scene_id = m.scene_id AND o.object_id <> m.object_id GROUP BY ALL")
+IN_ZONE = "o.h > 0 AND sqrt(pow(greatest(0, abs(o.x - m.x) - o.h - 1.4), 2) + pow(greatest(0, abs(o.y - m.y) - o.h - m.h), 2)) <= 1e-7"
+
+
+@define(f"WITH b AS ({ODD}), z AS (SELECT scene_id, object_id, unnest(['LEFT', 'RIGHT']) AS side, unnest([x - h - 1.4, x + h + 1.4]) AS x, y, h FROM b) SELECT m.scene_id, m.object_id, m.side, coalesce(list(o.object_id ORDER BY o.object_id) FILTER ({IN_ZONE}), []) AS occupied_by, count(*) FILTER ({IN_ZONE}) = 0 AS free FROM z m LEFT JOIN b o ON o.scene_id = m.scene_id AND o.object_id <> m.object_id GROUP BY ALL")
 def finger_zones(spark: SparkSession, sf: str) -> DataFrame:
-    """Which objects stand where a gripper's fingers would go, on both sides of each object."""
+    """Which objects stand where a gripper's fingers would go, 2.8 cm on both sides of each object."""
     o = odd_squares(spark, sf)
-    sides = F.inline(F.array(*(F.struct(F.lit(n).alias("side"), F.lit(s).alias("s")) for n, s in (("LEFT", -1.0), ("RIGHT", 1.0)))))
-    z = o.select("*", sides).withColumn("at", F.col("centre.x") + F.col("s") * (F.col("polygon")[1]["x"] - F.col("centre.x") + 1.5))
-    x, y = F.col("at"), F.col("centre.y")
-    zone = F.array(G.point(x - 1.4, y - 1.4), G.point(x + 1.4, y - 1.4), G.point(x + 1.4, y + 1.4), G.point(x - 1.4, y + 1.4))
-    return scene.finger_zones(o, z.select("scene_id", "object_id", "side", zone.alias("zone"))).select("scene_id", "object_id", "side", "occupied_by", "free")
+    return scene.finger_zones(o, scene.gripper_zones(o, 2.8)).select("scene_id", "object_id", "side", "occupied_by", "free")

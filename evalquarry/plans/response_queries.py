@@ -260,14 +260,14 @@ def column_or_nested(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", linking.column_or_nested(e, "kind", "factors").alias("kind"), linking.column_or_nested(e, "k", "factors").alias("k"))
 
 
-STATIC_SQL = f"WITH l AS ({SQL['swept_aabb_limit']}), b AS ({BOX}), m AS (SELECT scene_id, min(x) AS x, min(y) AS y, min(w) AS w FROM b WHERE object_id = 1 GROUP BY scene_id HAVING count(*) = 1), t AS (SELECT scene_id, min(x) AS tx, min(y) AS ty, min(w) AS tw FROM b WHERE object_id = 2 GROUP BY scene_id HAVING count(*) = 1), g AS (SELECT *, greatest(0, least(m.x + 0.05 + m.w / 2, tx + tw / 2 + 0.01) - greatest(m.x + 0.05 - m.w / 2, tx - tw / 2 - 0.01)) * greatest(0, least(m.y + m.w / 2, ty - tw / 2) - greatest(m.y - m.w / 2, -0.3)) AS area FROM m JOIN t USING (scene_id) JOIN l USING (scene_id)) "
+STATIC_SQL = f"WITH l AS ({SQL['swept_aabb_limit']}), b AS ({BOX}), m AS (SELECT scene_id, min(x) AS x, min(y) AS y, min(w) AS w FROM b WHERE object_id = 1 GROUP BY scene_id), t AS (SELECT scene_id, min(x) AS tx, min(y) AS ty, min(w) AS tw FROM b WHERE object_id = 2 GROUP BY scene_id), g AS (SELECT *, greatest(0, least(m.x + 0.05 + m.w / 2, tx + tw / 2 + 0.01) - greatest(m.x + 0.05 - m.w / 2, tx - tw / 2 - 0.01)) * greatest(0, least(m.y + m.w / 2, ty - tw / 2) - greatest(m.y - m.w / 2, -0.3)) AS area FROM m JOIN t USING (scene_id) JOIN l USING (scene_id)) "
 
 
 @define(STATIC_SQL + 'SELECT scene_id, round(area, 9) AS corridor_overlap, area <= 1e-10 AS corridor_clear, "limit" AS clearance_limit, 0.05 < "limit" AND x + 0.05 + w / 2 <= 0.298 AND x + 0.05 - w / 2 >= -0.298 AND y - w / 2 >= -0.298 AND y + w / 2 <= 0.298 AS collision_free FROM g')
 def static_validity(spark: SparkSession, sf: str) -> DataFrame:
     """Whether sliding each scene's first object 5 cm to the right would clear the second one's way out."""
     b = boxes(spark, sf)
-    pick = lambda i, name: b.filter(F.col("object_id") == i).groupBy("scene_id").agg(F.min("o").alias(name), F.count("*").alias("c")).filter("c = 1").drop("c")
+    pick = lambda i, name: b.filter(F.col("object_id") == i).groupBy("scene_id").agg(F.min("o").alias(name))
     moves = pick(1, "blocker").join(pick(2, "target"), "scene_id").select("scene_id", "target", "blocker", F.lit(1.0).alias("vx"), F.lit(0.0).alias("vy"), F.lit(0.05).alias("distance"))
     out = scene.static_validity(moves, b.filter("object_id > 2"), shelf(), 0.01)
     return out.select("scene_id", F.round("corridor_overlap", 9).alias("corridor_overlap"), "corridor_clear", r6(F.col("clearance_limit")).alias("clearance_limit"), "collision_free")

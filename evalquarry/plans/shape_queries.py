@@ -184,10 +184,10 @@ def occupied_sectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select("s_suppkey", G.occupied_directions(arc, G.D4).alias("directions"))
 
 
-@define("WITH b AS (SELECT scene_id, object_id, x * 100 AS x, y * 100 AS y, w * 50 AS h FROM (SELECT scene_id, object_id, min(x) AS x, min(y) AS y, min(w) AS w FROM (" + BOX + ") GROUP BY ALL HAVING count(*) = 1)) SELECT a.scene_id, count(*) AS pairs, count(*) FILTER (abs(a.x - b.x) <= a.h + b.h + 1e-6 AND abs(a.y - b.y) <= a.h + b.h + 1e-6) AS meeting FROM b a JOIN b ON a.scene_id = b.scene_id AND a.object_id < b.object_id GROUP BY a.scene_id")
+@define("WITH b AS (SELECT scene_id, object_id, x * 100 AS x, y * 100 AS y, w * 50 AS h FROM (SELECT scene_id, object_id, min(x) AS x, min(y) AS y, min(w) AS w FROM (" + BOX + ") GROUP BY ALL)) SELECT a.scene_id, count(*) AS pairs, count(*) FILTER (abs(a.x - b.x) <= a.h + b.h + 1e-6 AND abs(a.y - b.y) <= a.h + b.h + 1e-6) AS meeting FROM b a JOIN b ON a.scene_id = b.scene_id AND a.object_id < b.object_id GROUP BY a.scene_id")
 def meeting_polygons(spark: SparkSession, sf: str) -> DataFrame:
     """How many pairs of a scene's polygons touch or overlap."""
-    p = polygons(spark, sf, single=True)
+    p = polygons(spark, sf)
     other = p.select("scene_id", F.col("object_id").alias("other"), F.col("polygon").alias("q"))
     pairs = p.join(other, "scene_id").filter("object_id < other")
     return pairs.groupBy("scene_id").agg(F.count("*").alias("pairs"), F.count_if(G.intersects(F.col("polygon"), F.col("q"), 1e-6)).alias("meeting"))

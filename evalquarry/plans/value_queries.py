@@ -211,14 +211,15 @@ def angular_bins(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("s_suppkey", r6(G.angular_distance(F.col("a"), F.col("b"))).alias("apart"), G.nearest_direction(F.col("b"), G.D4).alias("nearest"))
 
 
-BOX = "SELECT l_orderkey AS scene_id, l_linenumber AS object_id, l_partkey % 40 / 100.0 - 0.2 AS x, l_suppkey % 30 / 100.0 - 0.15 AS y, 0.02 + l_quantity / 1000 AS w FROM lineitem"
+BOX = "SELECT l_orderkey AS scene_id, l_linenumber AS object_id, min(l_partkey % 40 / 100.0 - 0.2) AS x, min(l_suppkey % 30 / 100.0 - 0.15) AS y, min(0.02 + l_quantity / 1000) AS w FROM lineitem GROUP BY ALL"
 
 
 def boxes(spark: SparkSession, sf: str) -> DataFrame:
-    """A made-up scene of rectangles for each order."""
-    li = table(spark, sf, "lineitem")
+    """A made-up scene of rectangles for each order, one for each line number: of repeated ones the least x, y and width."""
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("scene_id"), F.col("l_linenumber").alias("object_id"))
     x, y, w = F.col("l_partkey") % 40 / 100.0 - 0.2, F.col("l_suppkey") % 30 / 100.0 - 0.15, 0.02 + F.col("l_quantity") / 1000
-    return li.select(F.col("l_orderkey").alias("scene_id"), F.col("l_linenumber").alias("object_id"), G.centred_rect(x, y, w, w).alias("o"))
+    least = li.agg(F.min(x).alias("x"), F.min(y).alias("y"), F.min(w).alias("w"))
+    return least.select("scene_id", "object_id", G.centred_rect(F.col("x"), F.col("y"), F.col("w"), F.col("w")).alias("o"))
 
 
 @define(f"WITH b AS ({BOX}) SELECT a.scene_id, count(*) AS pairs, round(sum(greatest(0, least(a.x + a.w / 2, b.x + b.w / 2) - greatest(a.x - a.w / 2, b.x - b.w / 2)) * greatest(0, least(a.y + a.w / 2, b.y + b.w / 2) - greatest(a.y - a.w / 2, b.y - b.w / 2))), 9) AS area FROM b a JOIN b ON a.scene_id = b.scene_id AND a.object_id < b.object_id GROUP BY a.scene_id")
@@ -236,12 +237,12 @@ def shelf() -> F.Column:
 
 
 @define(
-    f"WITH b AS ({BOX}), m AS (SELECT scene_id, min(x) AS x, min(y) AS y, min(w) AS w FROM b WHERE object_id = 1 GROUP BY scene_id HAVING count(*) = 1), n AS (SELECT m.scene_id, 0.3 - 0.002 - (m.x + m.w / 2) AS room, (b.x - b.w / 2 - 0.002) - (m.x + m.w / 2) AS t0, (b.x + b.w / 2 + 0.002) - (m.x - m.w / 2) AS t1, (m.y + m.w / 2 <= b.y - b.w / 2 - 0.002 OR m.y - m.w / 2 >= b.y + b.w / 2 + 0.002) AS miss FROM m LEFT JOIN b ON m.scene_id = b.scene_id AND b.object_id > 1) "
+    f"WITH b AS ({BOX}), m AS (SELECT scene_id, min(x) AS x, min(y) AS y, min(w) AS w FROM b WHERE object_id = 1 GROUP BY scene_id), n AS (SELECT m.scene_id, 0.3 - 0.002 - (m.x + m.w / 2) AS room, (b.x - b.w / 2 - 0.002) - (m.x + m.w / 2) AS t0, (b.x + b.w / 2 + 0.002) - (m.x - m.w / 2) AS t1, (m.y + m.w / 2 <= b.y - b.w / 2 - 0.002 OR m.y - m.w / 2 >= b.y + b.w / 2 + 0.002) AS miss FROM m LEFT JOIN b ON m.scene_id = b.scene_id AND b.object_id > 1) "
     'SELECT scene_id, round(greatest(0, least(0.45, min(room), min(CASE WHEN NOT miss AND t1 > greatest(t0, 0) THEN greatest(t0, 0) END))), 6) AS "limit" FROM n GROUP BY scene_id'
 )
 def swept_aabb_limit(spark: SparkSession, sf: str) -> DataFrame:
     b = boxes(spark, sf)
-    moves = b.filter("object_id = 1").groupBy("scene_id").agg(F.min("o").alias("r"), F.count("*").alias("c")).filter("c = 1").select("scene_id", "r", F.lit(1.0).alias("vx"), F.lit(0.0).alias("vy"))
+    moves = b.filter("object_id = 1").groupBy("scene_id").agg(F.min("o").alias("r")).select("scene_id", "r", F.lit(1.0).alias("vx"), F.lit(0.0).alias("vy"))
     return scene.clearance_limits(moves, b.filter("object_id > 1"), shelf(), []).withColumn("limit", r6(F.col("limit")))
 
 
@@ -254,20 +255,19 @@ def translation_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({c: r6(F.col(c)) for c in ("distance", "limit")})
 
 
-def polygons(spark: SparkSession, sf: str, single: bool = False) -> DataFrame:
-    """The orders' boxes in centimetres, one for each object; single: objects of one box only."""
+def polygons(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders' boxes in centimetres."""
     o = F.col("o")
-    each = boxes(spark, sf).groupBy("scene_id", "object_id").agg(F.min("o").alias("o"), F.count("*").alias("c"))
     corner = F.array(G.point(o["xmin"] * 100, o["ymin"] * 100), G.point(o["xmax"] * 100, o["ymin"] * 100), G.point(o["xmax"] * 100, o["ymax"] * 100), G.point(o["xmin"] * 100, o["ymax"] * 100))
-    return (each.filter("c = 1") if single else each).select("scene_id", "object_id", corner.alias("polygon"))
+    return boxes(spark, sf).select("scene_id", "object_id", corner.alias("polygon"))
 
 
 APART = "100 * sqrt(pow(greatest(0, abs(a.x - b.x) - (a.w + b.w) / 2), 2) + pow(greatest(0, abs(a.y - b.y) - (a.w + b.w) / 2), 2))"
 
 
-@define(f"WITH b AS (SELECT scene_id, object_id, min(x) AS x, min(y) AS y, min(w) AS w FROM ({BOX}) GROUP BY ALL HAVING count(*) = 1) SELECT a.scene_id, a.object_id AS object_id_a, b.object_id AS object_id_b, round({APART}, 4) AS distance FROM b a JOIN b ON a.scene_id = b.scene_id AND a.object_id < b.object_id AND {APART} <= 5.00001")
+@define(f"WITH b AS (SELECT scene_id, object_id, min(x) AS x, min(y) AS y, min(w) AS w FROM ({BOX}) GROUP BY ALL) SELECT a.scene_id, a.object_id AS object_id_a, b.object_id AS object_id_b, round({APART}, 4) AS distance FROM b a JOIN b ON a.scene_id = b.scene_id AND a.object_id < b.object_id AND {APART} <= 5.00001")
 def convex_polygon_distance(spark: SparkSession, sf: str) -> DataFrame:
-    return scene.near_objects(polygons(spark, sf, single=True), 5.00001).withColumn("distance", F.round("distance", 4))
+    return scene.near_objects(polygons(spark, sf), 5.00001).withColumn("distance", F.round("distance", 4))
 
 
 @define(None)

@@ -1,4 +1,6 @@
 import json
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,10 +156,47 @@ def test_documents_of_reports(spark, tmp_path):
         io.write_document(df, str(tmp_path / "s"), most=1)
 
 
-def test_boxes_rule_pairs_out_before_polygons_are_compared(spark):
-    df = spark.createDataFrame([(1, i, [(float(i), 0.0), (i + 0.5, 0.0), (float(i), 1.0)]) for i in range(5)], "scene_id int, object_id int, polygon array<struct<x: double, y: double>>")
-    near = scene.near_objects(df, 0.6)
-    plan = near._jdf.queryExecution().optimizedPlan().toString()
-    join = next(line for line in plan.splitlines() if "Join" in line)
-    assert "SQRT" not in join.upper() and "exists" not in join
-    assert near.count() == 4
+def boxed(spark, rows):
+    """Objects (scene, id, x0, y0, x1, y1) as boxes."""
+    df = spark.createDataFrame(rows, "scene_id string, object_id long, xmin double, ymin double, xmax double, ymax double")
+    return df.select("scene_id", "object_id", F.struct("xmin", "ymin", "xmax", "ymax").alias("box"))
+
+
+@pytest.mark.parametrize("within", [0.0, 0.3, 5.0])
+def test_boxes_of_all_sizes_meet_once(spark, within):
+    rng = random.Random(12)
+
+    def some(n):
+        out = []
+        for i in range(n):
+            x, y, w, h = rng.uniform(-50, 50), rng.uniform(-50, 50), rng.choice([0.0, 0.01, 1.0, 8.0, 70.0]) * rng.random(), rng.choice([0.0, 0.2, 2.0, 30.0]) * rng.random()
+            out.append((rng.choice(["a", "a", "a", "b", None]), i, x, y, x + w, y + h))
+        return [*out, ("a", n, 1.0, 1.0, None, 2.0), ("a", n + 1, 2.0, 2.0, 4.0, 4.0), ("a", n + 2, 4.0, 4.0, 4.0, 8.0)]
+
+    left, right = some(120), some(100)
+    got = Counter((r.object_id_a, r.object_id_b) for r in scene.meeting_boxes(boxed(spark, left), boxed(spark, right), within=within).collect())
+    near = lambda p, q, k: p[k] - within <= q[k + 2] and q[k] <= p[k + 2] + within
+    whole = lambda rows: [r for r in rows if None not in r]
+    assert got == Counter((p[1], q[1]) for p in whole(left) for q in whole(right) if p[0] == q[0] and near(p, q, 2) and near(p, q, 3))
+
+
+def test_a_scene_of_many_objects_is_dealt_by_cells(spark):
+    n = 150
+    grid = spark.range(n * n).select(F.lit(1).alias("scene_id"), F.col("id").alias("object_id"), (F.col("id") % n * 1.0).alias("x"), (F.floor(F.col("id") / n) * 1.0).alias("y"))
+    polygon = F.array(*(F.struct((F.col("x") + a).alias("x"), (F.col("y") + b).alias("y")) for a, b in ((0, 0), (0.5, 0), (0.5, 0.5), (0, 0.5))))
+    near = scene.near_objects(grid.select("scene_id", "object_id", polygon.alias("polygon")), 0.55)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and all("_x" in line and "_y" in line for line in joins)  # the cells are keys, and no distance is in a join
+    assert "sqrt" not in " ".join(joins).lower()
+    assert near.count() == 2 * n * (n - 1)
+
+
+def test_fingers_beside_a_target(spark):
+    square = lambda x, y: [(x, y), (x + 1.0, y), (x + 1.0, y + 1.0), (x, y + 1.0)]
+    rows = [(1, 1, square(0.0, 0.0)), (1, 2, square(1.5, 0.9)), (1, 3, square(-3.2, 0.0)), (1, 4, square(0.0, 1.2)), (2, 1, square(0.0, 0.0))]
+    df = spark.createDataFrame(rows, "scene_id int, object_id int, polygon array<struct<x: double, y: double>>")
+    zones = scene.gripper_zones(df.filter("object_id = 1"), 2.0)
+    assert {(r.side, min(p.x for p in r.zone), max(p.x for p in r.zone), max(p.y for p in r.zone)) for r in zones.collect()} == {("LEFT", -2.0, 0.0, 1.0), ("RIGHT", 1.0, 3.0, 1.0)}
+    got = {(r.scene_id, r.side): (r.occupied_by, r.free) for r in scene.finger_zones(df, zones).collect()}
+    assert got == {(1, "LEFT"): ([], True), (1, "RIGHT"): ([2], False), (2, "LEFT"): ([], True), (2, "RIGHT"): ([], True)}
