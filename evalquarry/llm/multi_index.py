@@ -227,7 +227,8 @@ def nearest(vectors: DataFrame, queries: Column | Callable[[Column], Column], id
     non-finite components take no part, nor do null ids or vectors whose length is not
     the most frequent one. Equal vectors are indexed once with their k + 1 least ids, which is all
     that a list of k can show, so copies form no hot bucket. Repeated rows of one id
-    count once. With no usable vector the result is empty. The Hamming radius is
+    count once; an id with several vectors has the least of them (by the first component
+    that differs), as query and as candidate. With no usable vector the result is empty. The Hamming radius is
     learned to hold RECALL of a sample's neighbours unless it is given. Other
     columns play no part, whatever their names.
 
@@ -244,10 +245,10 @@ def nearest(vectors: DataFrame, queries: Column | Callable[[Column], Column], id
     if shape is None:
         return spark.createDataFrame([], empty)
     dim = shape["dim"]
-    given = given.filter(F.size("vector") == dim)
+    given = given.filter(F.size("vector") == dim).groupBy("id").agg(F.min("vector").alias("vector"))
     # Spark limits the rows of each vector before it shuffles them
     order = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
-    few = given.distinct().withColumn("place", order).filter(F.col("place") <= k + 1)
+    few = given.withColumn("place", order).filter(F.col("place") <= k + 1)
     distinct = few.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     distinct = saved(distinct, "vectors")
     size, norm = distinct.agg(F.count("*"), F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v)))).first()
@@ -257,7 +258,7 @@ def nearest(vectors: DataFrame, queries: Column | Callable[[Column], Column], id
     radius = learn_radius(rotation, known, k, size) if radius is None else radius
     blocks = max(1, -(-size // index_block))
 
-    asked = given.filter(queries(F.col("id")) if callable(queries) else queries).dropDuplicates(["id"])
+    asked = given.filter(queries(F.col("id")) if callable(queries) else queries)
     asked = saved(asked.mapInArrow(packed(dim, query_block), "ids array<long>, many binary"), "queries")
     slices = max(1, -(-asked.agg(F.coalesce(F.sum(F.octet_length("many")), F.lit(0))).first()[0] // QUERY_BYTES))
     # every block of vectors meets every row of queries once, in the task of its block (and slice of the queries)

@@ -321,3 +321,19 @@ def test_digest_of_query_is_of_kept_words(spark):
     df = spark.createDataFrame([("  a\tb \n c ",), (None,), ("",)], "text string")
     got = [r[0] for r in df.select(F.sha2(substring_dedup.word_text(F.col("text")), 256)).collect()]
     assert got == [hashlib.sha256(t).hexdigest() for t in (b"a b c", b"", b"")]
+
+
+def test_recall_of_near_duplicates_on_documents(spark):
+    """Every pair of different texts at 0.8 or more, by an exact search over words of five, is in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    classes = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+    bags = {r.doc_id: bag(r.text or "") for r in docs.collect()}
+    at = {}
+    for i, b in bags.items():
+        for g in b:
+            at.setdefault(g, []).append(i)
+    shared = Counter((x, y) for ids in at.values() if len(ids) <= 60 for k, x in enumerate(sorted(ids)) for y in sorted(ids)[k + 1 :])
+    pairs = [(x, y) for (x, y), _ in shared.items() if (bags[x] & bags[y]).total() >= 0.8 * (bags[x] | bags[y]).total()]
+    assert len(pairs) > 20
+    missed = [p for p in pairs if classes[p[0]] != classes[p[1]]]
+    assert not missed, (len(missed), len(pairs))

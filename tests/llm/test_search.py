@@ -126,3 +126,11 @@ def test_rotation_brings_codes_of_near_vectors_together():
     a, b = r.codes(x), r.codes(x + 0.05 * rng.normal(size=x.shape))
     assert np.bitwise_count(a ^ b).mean() < 12 < np.bitwise_count(a[1:] ^ a[:-1]).mean()
     assert 0 < multi_index.learn_radius(r, x, 5, 400) <= 64
+
+
+def test_an_id_with_several_vectors(spark):
+    rows = [(0, [2.0, 1.0]), (0, [1.0, 5.0]), (0, [1.0, 5.0]), (1, [3.0, 0.0]), (1, [0.0, 3.0]), (2, [-1.0, 1.0])]
+    want = [(1, 1, 15.0), (2, 2, 4.0)]  # of [1, 5] against [0, 3] and [-1, 1]
+    for _ in range(3):
+        got = nearest(vectors(spark, rows).repartition(4), lambda i: i % 2 == 0, k=3).filter("query_id = 0").orderBy("rank").collect()
+        assert [(r["rank"], r.vec_id, r.score) for r in got] == want

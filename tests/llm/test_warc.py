@@ -104,6 +104,6 @@ def test_a_very_long_page(spark):
     assert bytes(next(r.payload for r in got if r.payload is not None)) == html.encode()
 
 
-def test_object_store_names_open():
+def test_names_without_a_scheme_and_local_names_open():
     assert warc.opened("/a/b")[1] == "/a/b"
     assert warc.opened("file:///a/b")[1] == "/a/b"
