@@ -103,3 +103,9 @@ def action_error(valid: Column, checked: Column, action: Column, chosen: Column,
     wrong = lambda c: c.eqNullSafe(F.lit(False))
     rules = [(valid, "SUCCESS"), (_not(checked), "PRECHECK_ERROR"), (_not(action), "ACTION_WRONG"), (_not(chosen), "OBJECT_WRONG"), (wrong(direction), "DIRECTION_WRONG"), (wrong(distance), "DISTANCE_WRONG")]
     return first_match(rules, "PHYSICAL_FAILURE_AFTER_GT_MATCH")
+
+
+def blocking_reason(occluded: Column, too_near: Column) -> Column:
+    """Why an object can't be taken at once: something hides part of it, stands within its clearance, or both."""
+    hidden, crowded = F.coalesce(occluded, F.lit(False)), F.coalesce(too_near, F.lit(False))
+    return first_match([(hidden & crowded, "BOTH"), (hidden, "OCCLUSION"), (crowded, "CLEARANCE_OVERLAP")], "NONE")

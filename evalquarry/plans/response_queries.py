@@ -260,6 +260,15 @@ def column_or_nested(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", linking.column_or_nested(e, "kind", "factors").alias("kind"), linking.column_or_nested(e, "k", "factors").alias("k"))
 
 
+@define("SELECT l_orderkey, l_linenumber, CASE WHEN coalesce(v, '') <> 'FULL' AND near THEN 'BOTH' WHEN coalesce(v, '') <> 'FULL' THEN 'OCCLUSION' WHEN near THEN 'CLEARANCE_OVERLAP' ELSE 'NONE' END AS reason, coalesce(v, '') = 'FULL' AND NOT coalesce(near, false) AS direct FROM (SELECT l_orderkey, l_linenumber, [NULL, 'FULL', 'PARTIAL', 'FULL'][1 + l_partkey % 4] AS v, CASE WHEN l_suppkey % 5 > 0 THEN l_discount > 0.05 END AS near FROM lineitem)")
+def blocking_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether an object's visibility, its neighbours or both are in the way."""
+    seen = F.get(F.array(F.lit(None), F.lit("FULL"), F.lit("PARTIAL"), F.lit("FULL")), (F.col("l_partkey") % 4).cast("int"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", seen.alias("v"), F.when(F.col("l_suppkey") % 5 > 0, F.col("l_discount") > 0.05).alias("near"))
+    hidden = ~F.col("v").eqNullSafe(F.lit("FULL"))
+    return li.select("l_orderkey", "l_linenumber", C.blocking_reason(hidden, F.col("near")).alias("reason"), (F.col("v").eqNullSafe(F.lit("FULL")) & ~F.coalesce("near", F.lit(False))).alias("direct"))
+
+
 STATIC_SQL = f"WITH l AS ({SQL['swept_aabb_limit']}), b AS ({BOX}), m AS (SELECT scene_id, min(x) AS x, min(y) AS y, min(w) AS w FROM b WHERE object_id = 1 GROUP BY scene_id), t AS (SELECT scene_id, min(x) AS tx, min(y) AS ty, min(w) AS tw FROM b WHERE object_id = 2 GROUP BY scene_id), g AS (SELECT *, greatest(0, least(m.x + 0.05 + m.w / 2, tx + tw / 2 + 0.01) - greatest(m.x + 0.05 - m.w / 2, tx - tw / 2 - 0.01)) * greatest(0, least(m.y + m.w / 2, ty - tw / 2) - greatest(m.y - m.w / 2, -0.3)) AS area FROM m JOIN t USING (scene_id) JOIN l USING (scene_id)) "
 
 

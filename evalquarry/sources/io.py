@@ -101,14 +101,18 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").json(path)
 
 
-def write_csv(df: DataFrame, path: str, fields: Sequence[str] | None = None, allow_empty: bool = True) -> None:
-    """One CSV with a header: all columns, or those named (others are left out, absent ones are null). allow_empty: no rows are no error."""
+def write_csv(df: DataFrame, path: str, fields: Sequence[str] | None = None, allow_empty: bool = True, single: bool = False) -> None:
+    """CSV with a header: all columns, or those named (others are left out, absent ones are null). allow_empty: no rows are no error.
+
+    A file for each task; ``single`` writes a small report as one file, by one task.
+    """
     if fields:
         df = df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in fields))
     if not allow_empty and df.isEmpty():
         raise ValueError("no rows to write")
     flat = [F.to_json(c).alias(c) if isinstance(df.schema[c].dataType, T.ArrayType | T.MapType | T.StructType) else F.col(c) for c in df.columns]
-    df.select(*flat).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    flattened = df.select(*flat)
+    (flattened.coalesce(1) if single else flattened).write.mode("overwrite").option("header", True).csv(path)
 
 
 def union_all(*tables: DataFrame) -> DataFrame:
@@ -130,8 +134,10 @@ def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A report table of at most ``most`` rows, for reading."""
-    rows = df.limit(most).collect()
+    """A report table, for reading; more than ``most`` rows are an error, as none may be left out unseen."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows are no report")
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|")
     lines = [df.columns, ["---"] * len(df.columns), *([cell(v) for v in r] for r in rows)]
     return "\n".join(f"| {' | '.join(line)} |" for line in lines)

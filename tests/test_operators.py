@@ -1,5 +1,6 @@
 """DataFrame operators against known answers and plain Python."""
 
+import json
 import math
 import random
 import re
@@ -422,18 +423,59 @@ def test_readers_and_writers(spark, tmp_path):
     assert io.markdown(spark.createDataFrame([(1, "x|y")], "a int, b string")).splitlines()[2] == "| 1 | x\\|y |"
 
 
-def test_pending_work_is_retried(spark):
-    schedule = spark.createDataFrame([(i,) for i in range(6)], "k long")
-    done = spark.createDataFrame([(0,), (1,)], "k long")
+def asks(folder):
+    """How often each key was asked for, from the files that the client left."""
+    return Counter(int(f.name.split("-")[0]) for f in folder.iterdir())
+
+
+def test_rows_are_asked_again_until_they_are_valid(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    schedule = spark.createDataFrame([(k, f"q{k}") for k in range(20)] + [(3, "q3")], "k long, q string").repartition(3)
+
+    def call(part):
+        import uuid
+
+        if 5 in set(part.k):  # a row that no client answers takes its whole batch down
+            for k in part.k if len(part) == 1 else []:
+                (calls / f"{k}-{uuid.uuid4()}").touch()
+            raise RuntimeError("overloaded")
+        out = []
+        for k in part.k:
+            (calls / f"{k}-{uuid.uuid4()}").touch()
+            tried = len([f for f in calls.iterdir() if f.name.startswith(f"{k}-")])
+            out.append("nonsense" if k % 4 == 1 and tried == 1 else None if k == 7 and tried < 3 else f'{{"a": {k}}}')
+        return out
+
+    def valid(text):
+        return json.loads(text)["a"] >= 0
+
+    log = f"file://{tmp_path}/log"
+    out = {r.k: r for r in evaluation.run_pending(schedule, log, ["k"], call, valid, attempts=3, batch=4).collect()}
+    assert set(out) == set(range(20))
+    assert all(json.loads(r.response) == {"a": k} and r.error is None for k, r in out.items() if k != 5)
+    assert (out[5].response, out[5].error, out[5].attempt) == (None, "overloaded", 3)
+    assert {k: r.attempt for k, r in out.items() if r.attempt > 1} == {1: 2, 5: 3, 7: 3, 9: 2, 13: 2, 17: 2}
+    assert asks(calls) == Counter({k: 1 for k in range(20)}) + Counter({1: 1, 9: 1, 13: 1, 17: 1, 5: 2, 7: 2})
+    again = evaluation.run_pending(schedule, log, ["k"], call, valid, attempts=3)  # nothing is left to ask
+    assert again.count() == 20 and asks(calls).total() == 28
+
+
+def test_a_killed_run_goes_on(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    schedule = spark.createDataFrame([(k,) for k in range(8)], "k long")
+    log = f"file://{tmp_path}/log"
+    spark.createDataFrame([(0, "yes", None, 1), (1, None, "no answer", 1), (2, None, "lost", 3), (99, "other", None, 1)], "k long, response string, error string, attempt int").write.parquet(log)
 
     def call(part):
-        if (part.k == 5).any() and len(part) > 0:
-            raise RuntimeError("no answer")
+        for k in part.k:
+            (calls / f"{k}-x").touch(exist_ok=False)
         return [f"r{k}" for k in part.k]
 
-    out = evaluation.run_pending(schedule.repartition(6), done, ["k"], call).collect()
-    assert {r.k for r in out} == {2, 3, 4, 5}
-    assert {r.k: r.attempt for r in out if r.error} .get(5) == 3
+    out = {r.k: (r.response, r.attempt) for r in evaluation.run_pending(schedule, log, ["k"], call).collect()}
+    assert out == {0: ("yes", 1), 1: ("r1", 2), 2: (None, 3)} | {k: (f"r{k}", 1) for k in range(3, 8)}
+    assert set(asks(calls)) == {1, 3, 4, 5, 6, 7}
 
 
 def test_equal_inputs_are_computed_once(spark):
