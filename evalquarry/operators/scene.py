@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import binning as B
 from ..functions import geometry as G
-from .stable import checkpointed
+from .stable import checkpointed, spread
 
 
 def mask_summary(pixels: DataFrame, by: Sequence[str] = ("scene_id", "object_id")) -> DataFrame:
@@ -190,7 +190,7 @@ def near_objects(objects: DataFrame, within: float, scene: str = "scene_id", key
     boxed = objects.select(scene, key, polygon, box_of(polygon).alias("box"))
     pairs = meeting_boxes(boxed, boxed, scene, within=within).filter(F.col(f"{key}_a") < F.col(f"{key}_b"))
     near = F.filter(F.array(G.distance(F.col(f"{polygon}_a"), F.col(f"{polygon}_b"))), lambda d: d <= within)
-    return pairs.select(scene, f"{key}_a", f"{key}_b", F.explode(near).alias("distance"))
+    return spread(pairs).select(scene, f"{key}_a", f"{key}_b", F.explode(near).alias("distance"))
 
 
 def path_check(moves: DataFrame, obstacles: DataFrame, bounds: tuple[float, float, float, float], step: float = 0.25, key: Sequence[str] = ("scene_id", "move_id"), turn_step: float = 5.0, action: Column | None = None, mover: Column | None = None) -> DataFrame:
@@ -203,28 +203,42 @@ def path_check(moves: DataFrame, obstacles: DataFrame, bounds: tuple[float, floa
     id, if obstacles has it too. Returns steps, executed, first_step, outside, hits
     (ids met at that step), clear, fraction (of the distance, where it ends) and footprint.
 
-    Each pair of move and obstacle finds its own first step, so steps are no rows.
+    Only obstacles whose box meets that of the whole path are looked at (meeting_boxes).
+    A slide's first step follows from the interval of contact; a turn is tried step by
+    step up to the first that fails.
     """
     action = F.lit("TRANSLATE") if action is None else action
     whole = F.when(action == "ROTATE", F.least("distance", F.lit(360.0))).otherwise(F.col("distance")).cast("double")
     each = F.when(action == "ROTATE", F.lit(float(turn_step))).when(action == "TRANSLATE", F.lit(float(step)))
     m = moves.withColumns({"_action": action, "_whole": whole, "_each": each, "_mover": F.lit(None) if mover is None else mover})
     m = m.withColumn("_n", F.greatest(F.ceil(F.col("_whole") / F.col("_each")), F.lit(1)).cast("int"))
+    p, along = F.col("polygon"), G.direction_vector(F.col("degrees"))
 
     def at(i: Column) -> Column:
         """The polygon after i steps."""
-        d, p = F.least(i * F.col("_each"), F.col("_whole")), F.col("polygon")
-        along = G.direction_vector(F.col("degrees"))
+        d = F.least(i * F.col("_each"), F.col("_whole"))
         return F.when(F.col("_action") == "ROTATE", G.rotated(p, F.col("degrees") * d)).otherwise(G.let(F.struct((along["x"] * d).alias("x"), (along["y"] * d).alias("y")), lambda v: G.translated(p, v["x"], v["y"])))
 
-    def first(fails: Callable[[Column], Column]) -> Column:
-        path = F.when(F.col("_each").isNotNull(), F.sequence(F.lit(1), F.col("_n")))
-        return F.array_min(F.filter(path, lambda i: G.let(at(i), fails)))
-
-    other = obstacles.select("scene_id", F.col("object_id").alias("_hit"), F.col("polygon").alias("_op"))
-    met = m.join(other, "scene_id").filter(~F.col("_hit").eqNullSafe(F.col("_mover"))).withColumn("_at", first(lambda p: G.intersects(p, F.col("_op")))).filter("_at IS NOT NULL")
+    def first(slides: Callable[[Column], Column], fails: Callable[[Column], Column]) -> Column:
+        turns = G.first_turn(p, F.col("degrees") * F.col("_each"), F.col("_n"), F.col("degrees") * F.col("_whole"), fails)
+        return F.when(F.col("_action") == "ROTATE", turns).when(F.col("_action") == "TRANSLATE", G.let(along, slides))
+
+    def path_box() -> Column:
+        """The box of the whole path: the slide's two ends, or the circle of a turn."""
+        r = box_of("polygon")
+        ends = {n: along[n] * F.col("_whole") for n in "xy"}
+        slide = G.rect(*(r[f"{n}min"] + F.least(ends[n], F.lit(0.0)) for n in "xy"), *(r[f"{n}max"] + F.greatest(ends[n], F.lit(0.0)) for n in "xy"))
+        turn = G.let(G.centroid(p), lambda c: G.let(G.reach(p, c), lambda q: G.rect(c["x"] - q, c["y"] - q, c["x"] + q, c["y"] + q)))
+        return F.when(F.col("_action") == "ROTATE", turn).when(F.col("_action") == "TRANSLATE", slide)
+
+    other = obstacles.select("scene_id", F.col("object_id").alias("_hit"), F.col("polygon").alias("_op"), box_of("polygon").alias("box"))
+    asked = m.select(*dict.fromkeys(["scene_id", *key, "polygon", "degrees", "_action", "_whole", "_each", "_n", "_mover"]), path_box().alias("box"))
+    met = meeting_boxes(asked, other, within=2 * G.TOLERANCE, suffixes=("", "_o")).withColumnsRenamed({"_hit_o": "_hit", "_op_o": "_op"}).filter(~F.col("_hit").eqNullSafe(F.col("_mover")))
+    # the step stands in what is exploded, and not in a filter, which would be moved ahead of the shuffle and compute it again
+    step_of = first(lambda v: G.first_contact(p, F.col("_op"), v, F.col("_each"), F.col("_whole")), lambda q: G.intersects(q, F.col("_op")))
+    met = spread(met).select("*", F.explode(F.filter(F.array(step_of), lambda i: i.isNotNull())).alias("_at"))
     hits = met.groupBy(*key).agg(F.min("_at").alias("_met"), F.collect_list(F.struct("_at", "_hit")).alias("_hits"))
-    out = m.join(hits, list(key), "left").withColumn("_out", first(lambda p: ~G.inside(p, bounds)))
+    out = spread(m, *key).join(hits, list(key), "left").withColumn("_out", first(lambda v: G.first_outside(p, v, bounds, F.col("_each"), F.col("_whole")), lambda q: ~G.inside(q, bounds)))
     out = out.withColumn("first_step", F.least("_met", "_out")).withColumn("steps", F.coalesce("_n", F.lit(1)))
     out = out.withColumn("executed", F.coalesce("first_step", "steps"))
     now = F.transform(F.filter("_hits", lambda h: h["_at"] == F.col("first_step")), lambda h: h["_hit"])
@@ -262,7 +276,7 @@ def finger_zones(objects: DataFrame, zones: DataFrame, scene: str = "scene_id",
     boxed = objects.select(scene, F.col(key).alias("_other"), F.col(polygon).alias("_p"), box_of(polygon).alias("box"))
     asked = zones.select(scene, key, "side", "zone", box_of("zone").alias("box"))
     met = meeting_boxes(asked, boxed, scene, within=tolerance, suffixes=("", "_o")).filter(F.col(key) != F.col("_other_o"))
-    hits = met.select(scene, key, "side", F.explode(F.filter(F.array(F.when(G.distance(F.col("zone"), F.col("_p_o")) <= tolerance, F.col("_other_o"))), lambda o: o.isNotNull())).alias("_hit"))
+    hits = spread(met).select(scene, key, "side", F.explode(F.filter(F.array(F.when(G.distance(F.col("zone"), F.col("_p_o")) <= tolerance, F.col("_other_o"))), lambda o: o.isNotNull())).alias("_hit"))
     found = hits.groupBy(scene, key, "side").agg(F.array_sort(F.collect_set("_hit")).alias("_by"))
     none = F.array().cast(f"array<{objects.schema[key].dataType.simpleString()}>")
     out = zones.select(scene, key, "side").distinct().join(found, [scene, key, "side"], "left").withColumn("occupied_by", F.coalesce("_by", none)).drop("_by")
@@ -299,7 +313,7 @@ def relation_payloads(objects: DataFrame, targets: DataFrame, near: float = 5.0,
     zone = lambda r: F.when(r["gap"] <= near, "CLEARANCE_ZONE_OVERLAP").otherwise("CLEARANCE_ZONE_CLEAR")
     words = lambda r, names: F.struct(F.col(key), G.nearest_direction(r["bearing"], names).alias("center_direction"), G.occupied_directions(r["arcs"], names).alias("occupied_target_sides"), zone(r).alias("clearance_zone"))
     kinds = {"R_NUMERIC": numeric, "R_QUALITATIVE_D4": lambda r: words(r, G.D4), "R_QUALITATIVE_D8": lambda r: words(r, G.D8)}
-    each = met.select(scene, "target_id", F.inline(F.array(G.let(seen, lambda r: F.struct(*(use(r).alias(n) for n, use in kinds.items()))))))
+    each = spread(met).select(scene, "target_id", F.inline(F.array(G.let(seen, lambda r: F.struct(*(use(r).alias(n) for n, use in kinds.items()))))))
     return each.groupBy(scene, "target_id").agg(*(F.sort_array(F.collect_list(n)).alias(n) for n in kinds))
 
 
@@ -314,6 +328,7 @@ def motion_payloads(objects: DataFrame, bounds: tuple[float, float, float, float
     mine = objects if only is None else objects.filter(only)
     met = mine.join(other, (F.col(scene) == F.col("_s")) & (F.col(key) != F.col("_k")), "left")
     met = met.groupBy(scene, key).agg(F.any_value(polygon).alias("p"), F.collect_list("_p").alias("o"))
+    met = spread(met)
     by = lambda use, names: F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*(use(v) for v in names.values())))
     free = by(lambda a: G.free_space(F.col("p"), F.col("o"), F.lit(a), bounds), directions)
     slide = by(lambda a: G.translation_capacity(F.col("p"), F.col("o"), F.lit(a), bounds, step, most), directions)

@@ -19,3 +19,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='evalquarry-')}")
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df in as many partitions as shuffles have, for rows that are few bytes and much work: by bytes alone Spark would put small ones into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
