@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -135,10 +136,15 @@ def box_of(polygon: str) -> Column:
     return G.rect(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
-def meeting_boxes(left: DataFrame, right: DataFrame, scene: str = "scene_id", box: str = "box", within: float = 0.0, suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
+#: Scenes with at most so many boxes on either side are compared as they are; larger ones are dealt by cells.
+SMALL_SCENE = 64
+
+
+def meeting_boxes(left: DataFrame, right: DataFrame, scene: str = "scene_id", box: str = "box", within: float = 0.0, suffixes: tuple[str, str] = ("_a", "_b"), small: int = SMALL_SCENE) -> DataFrame:
     """Pairs of a left and a right row of one scene whose boxes are at most ``within`` apart in x and in y: all columns, with suffixes but for the scene's.
 
-    There is a grid for each power of two. A box lies in the cells of the grid whose
+    Scenes of at most ``small`` rows on both sides are joined by scene. In larger ones
+    there is a grid for each power of two. A box lies in the cells of the grid whose
     cells are as large as itself, four at most; a row looks for others in its own grid
     and in those of all larger sizes that occur. A pair meets in the cell of the lower corner
     of what their boxes share, and nowhere else. So a scene with any number of objects
@@ -148,37 +154,52 @@ def meeting_boxes(left: DataFrame, right: DataFrame, scene: str = "scene_id", bo
     def sized(df: DataFrame) -> DataFrame:
         r = F.col(box)
         size = F.greatest(r["xmax"] - r["xmin"], r["ymax"] - r["ymin"], F.lit(float(within)), F.lit(2.0**-40))
-        return df.filter(r["xmin"].isNotNull() & r["ymin"].isNotNull() & r["xmax"].isNotNull() & r["ymax"].isNotNull()).select(scene, F.struct("*").alias("_row"), box, F.ceil(F.log2(size)).cast("int").alias("_level"))
-
-    def dealt(df: DataFrame, by: float, suffix: str, level: Column) -> DataFrame:
-        """A row for each cell that the box, widened by ``by``, touches on its level's grid."""
-        r, cell = F.col(box), F.pow(F.lit(2.0), level)
-        span = lambda n: F.sequence(F.floor((r[f"{n}min"] - by) / cell), F.floor((r[f"{n}max"] + by) / cell))
-        named = df.select(F.col(scene).alias(f"_scene{suffix}"), F.col("_row").alias(f"_row{suffix}"), r.alias(f"_box{suffix}"), level.alias("_l"), F.explode(span("x")).alias("_x"), span("y").alias("_ys"))
-        return named.withColumn("_y", F.explode("_ys")).drop("_ys")
-
-    a, b = checkpointed(sized(left)), checkpointed(sized(right))
-    levels = sorted({r[0] for df in (a, b) for r in df.select("_level").distinct().collect()})  # powers of two that occur: few, whatever the rows
-    above = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda n: n > F.col("_level"))
-    one, two = suffixes
+        whole = df.filter(F.col(scene).isNotNull() & r["xmin"].isNotNull() & r["ymin"].isNotNull() & r["xmax"].isNotNull() & r["ymax"].isNotNull())
+        return checkpointed(whole.select(F.col(scene).alias("_scene"), F.struct("*").alias("_row"), F.col(box).alias("_box"), F.ceil(F.log2(size)).cast("int").alias("_level")))
 
-    def searched(asking: DataFrame, held: DataFrame, higher: bool, x: str, y: str) -> DataFrame:
-        """Asking rows against the rows held in their own grid, or in higher ones."""
-        probes = asking.withColumn("_at", F.explode(above)) if higher else asking.withColumn("_at", F.col("_level"))
-        p, h = dealt(probes, within, x, F.col("_at")), dealt(held, 0.0, y, F.col("_level"))
-        met = p.join(h.withColumnRenamed("_l", "_hl").withColumnRenamed("_x", "_hx").withColumnRenamed("_y", "_hy"), (F.col(f"_scene{x}") == F.col(f"_scene{y}")) & (F.col("_l") == F.col("_hl")) & (F.col("_x") == F.col("_hx")) & (F.col("_y") == F.col("_hy")))
-        s, t, cell = F.col(f"_box{x}"), F.col(f"_box{y}"), F.pow(F.lit(2.0), F.col("_l"))
-        for n in "xy":
-            low = F.greatest(s[f"{n}min"] - within, t[f"{n}min"])
-            met = met.filter((low <= s[f"{n}max"] + within) & (low <= t[f"{n}max"]) & (F.floor(low / cell) == F.col(f"_{n}")))
-        return met.select(F.col(f"_scene{x}").alias(scene), f"_row{one}", f"_row{two}")
-
-    # a pair of different sizes meets in the larger one's grid
-    pairs = searched(a, b, False, one, two)
-    if len(levels) > 1:
-        pairs = pairs.unionByName(searched(a, b, True, one, two)).unionByName(searched(b, a, True, two, one))
+    one, two = suffixes
+    a = sized(left)
+    b = a if right is left else sized(right)
     columns = [F.col(f"_row{x}.`{c}`").alias(f"{c}{x}") for x, df in ((one, left), (two, right)) for c in df.columns if c != scene]
-    return pairs.select(scene, *columns)
+    counts = a.groupBy("_scene").count() if b is a else a.groupBy("_scene").count().unionByName(b.groupBy("_scene").count())
+    large = checkpointed(counts.filter(F.col("count") > small).select("_scene").distinct())
+
+    def named(df: DataFrame, x: str, *more: Column) -> DataFrame:
+        return df.select(F.col("_scene").alias(f"_scene{x}"), F.col("_row").alias(f"_row{x}"), F.col("_box").alias(f"_box{x}"), *more)
+
+    def shared_corner(n: str) -> Column:
+        return F.greatest(F.col(f"_box{one}")[f"{n}min"] - within, F.col(f"_box{two}")[f"{n}min"])
+
+    met = reduce(Column.__and__, (shared_corner(n) <= F.least(F.col(f"_box{one}")[f"{n}max"] + within, F.col(f"_box{two}")[f"{n}max"]) for n in "xy"))
+    same = F.col(f"_scene{one}") == F.col(f"_scene{two}")
+    anything_large = not large.isEmpty()
+    few = [df.join(large, "_scene", "left_anti") if anything_large else df for df in (a, b)]
+    pairs = named(few[0], one).join(named(few[1], two), same & met)
+    if anything_large:
+        a, b = (df.join(large, "_scene", "left_semi") for df in (a, b))
+        levels = sorted({r[0] for df in (a, b) for r in df.select("_level").distinct().collect()})  # powers of two that occur: few, whatever the rows
+
+        def dealt(df: DataFrame, x: str, level: Column, by: float) -> DataFrame:
+            """A row for each cell that the box, widened by ``by``, touches on its level's grid."""
+            cell = F.pow(F.lit(2.0), level)
+            span = lambda n: F.sequence(F.floor((F.col("_box")[f"{n}min"] - by) / cell), F.floor((F.col("_box")[f"{n}max"] + by) / cell))
+            across = named(df, x, level.alias(f"_l{x}"), F.explode(span("x")).alias(f"_x{x}"), span("y").alias("_ys"))
+            return across.withColumn(f"_y{x}", F.explode("_ys")).drop("_ys")
+
+        def searched(asking: str | None) -> DataFrame:
+            """Left rows in the grids of larger right ones, right rows in those of larger left ones, or rows of one size."""
+            above = F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda n: n > F.col("_level")))
+            own = F.col("_level")
+            l_side = dealt(a.withColumn("_at", above), one, F.col("_at"), within) if asking == "left" else dealt(a, one, own, within)
+            r_side = dealt(b.withColumn("_at", above), two, F.col("_at"), 0.0) if asking == "right" else dealt(b, two, own, 0.0)
+            keys = reduce(Column.__and__, (F.col(f"_{k}{one}") == F.col(f"_{k}{two}") for k in ("scene", "l", "x", "y")))
+            cell = F.pow(F.lit(2.0), F.col(f"_l{one}"))
+            here = reduce(Column.__and__, (F.floor(shared_corner(n) / cell) == F.col(f"_{n}{one}") for n in "xy"))
+            return l_side.join(r_side, keys & met & here).select(*pairs.columns)
+
+        for asking in (None, "left", "right") if len(levels) > 1 else (None,):
+            pairs = pairs.unionByName(searched(asking))
+    return pairs.select(F.col(f"_scene{one}").alias(scene), *columns)
 
 
 def near_objects(objects: DataFrame, within: float, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon") -> DataFrame:

@@ -162,8 +162,9 @@ def boxed(spark, rows):
     return df.select("scene_id", "object_id", F.struct("xmin", "ymin", "xmax", "ymax").alias("box"))
 
 
+@pytest.mark.parametrize("small", [0, 40, 10_000])
 @pytest.mark.parametrize("within", [0.0, 0.3, 5.0])
-def test_boxes_of_all_sizes_meet_once(spark, within):
+def test_boxes_of_all_sizes_meet_once(spark, within, small):
     rng = random.Random(12)
 
     def some(n):
@@ -174,7 +175,7 @@ def test_boxes_of_all_sizes_meet_once(spark, within):
         return [*out, ("a", n, 1.0, 1.0, None, 2.0), ("a", n + 1, 2.0, 2.0, 4.0, 4.0), ("a", n + 2, 4.0, 4.0, 4.0, 8.0)]
 
     left, right = some(120), some(100)
-    got = Counter((r.object_id_a, r.object_id_b) for r in scene.meeting_boxes(boxed(spark, left), boxed(spark, right), within=within).collect())
+    got = Counter((r.object_id, r.object_id_o) for r in scene.meeting_boxes(boxed(spark, left), boxed(spark, right), within=within, small=small, suffixes=("", "_o")).collect())
     near = lambda p, q, k: p[k] - within <= q[k + 2] and q[k] <= p[k + 2] + within
     whole = lambda rows: [r for r in rows if None not in r]
     assert got == Counter((p[1], q[1]) for p in whole(left) for q in whole(right) if p[0] == q[0] and near(p, q, 2) and near(p, q, 3))
@@ -187,7 +188,8 @@ def test_a_scene_of_many_objects_is_dealt_by_cells(spark):
     near = scene.near_objects(grid.select("scene_id", "object_id", polygon.alias("polygon")), 0.55)
     plan = near._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join" in line]
-    assert joins and all("_x" in line and "_y" in line for line in joins)  # the cells are keys, and no distance is in a join
+    cells = [line for line in joins if "_x_a" in line]
+    assert cells and all("_y_a" in line and "_l_a" in line for line in cells)  # the cells are keys, and no distance is in a join
     assert "sqrt" not in " ".join(joins).lower()
     assert near.count() == 2 * n * (n - 1)
 
