@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stable import checkpointed
+
 #: Labels whose sums a task holds at once.
 MOST = 256
-#: Vectors in a block of the comparison of all with all.
+#: Vectors in a block of the search for nearest ones, and pivots at most.
 NEAR_BLOCK = 8192
+PIVOTS = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -204,38 +207,107 @@ def group_means(df: DataFrame, vector: str, label: str, dim: int) -> DataFrame:
     return a.crossJoin(b).select(f"{label}_i", f"{label}_j", F.try_divide(dot(F.col("s_i"), F.col("s_j")) - same, F.col("n_i") * F.col("n_j") - same).alias("cosine"))
 
 
-def nearest_agreement(df: DataFrame, key: str, vector: str, label: str, block: int = NEAR_BLOCK) -> DataFrame:
-    """By label: n and agree, the vectors whose nearest other one (ties: least key) has their label; every row is compared with every other one, block by block.
+def nearest_others(df: DataFrame, key: str, vector: str, label: str, block: int = NEAR_BLOCK) -> DataFrame:
+    """Each row's nearest other one by cosine (ties: least key): k, l, ok, ol, cosine, and met, how many rows it was compared with.
 
-    Time is quadratic, memory a block's. Cosines are equal if they are to 12 digits. Null vectors take no part.
+    Exact, by pivots on the sphere. Rows are dealt to the nearest of PIVOTS vectors at most;
+    a cell knows its widest angle from its pivot and is cut into blocks of ``block`` rows or so. In a first
+    round a row is compared with its own block. In a second one it goes to the
+    blocks of those cells that may hold something as near: by the triangle inequality,
+    nothing in a cell is nearer than the row's angle to the pivot less the widest angle. On vectors
+    without structure that is every cell, and the time is quadratic; on clustered ones it is few.
+    A task holds two blocks. Cosines are equal if they are to 12 digits. Null vectors take no part; a row without others has no row.
     """
     import numpy as np
     import pyarrow as pa
 
-    units = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(label).alias("l"), unit(F.col(vector)).alias("_u"))
-    blocks = max(1, -(-units.count() // block))
-    dealt = units.withColumn("_b", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked, held = dealt.withColumnRenamed("_b", "q").withColumn("c", others), dealt.withColumnRenamed("_b", "c").withColumn("q", others)
-
-    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
-        two = two.sort_by("k")  # the first maximum is the least key's
-        x, y = (np.asarray(t["_u"].combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (one, two))
+    units = checkpointed(df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(label).alias("l"), unit(F.col(vector)).alias("_u")))
+    kind = df.schema[label].dataType.simpleString()
+    found_schema = f"k long, l {kind}, ok long, ol {kind}, cosine double, met long"
+    total = units.count()
+    chosen = units.select("_u").orderBy(F.xxhash64("_u"), "k").limit(min(PIVOTS, max(1, 16 * total // block))).toArrow()
+    if not chosen.num_rows:
+        return df.sparkSession.createDataFrame([], found_schema)
+    table = np.array(chosen["_u"].to_pylist())
+    sent = df.sparkSession.sparkContext.broadcast(table)  # at most PIVOTS vectors
+    angles_to = lambda x, pivots: np.arccos(np.clip(x @ pivots.T, -1, 1))
+    rows_of = lambda column, n: np.asarray((column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()).reshape(n, -1)
+
+    def assign(batches):
+        for batch in batches:
+            if len(batch):
+                angles = angles_to(rows_of(batch.column("_u"), len(batch)), sent.value)
+                cell = angles.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angles[np.arange(len(cell)), cell])], names=[*batch.schema.names, "cell", "angle"])
+
+    dealt = checkpointed(units.mapInArrow(assign, f"k long, l {kind}, _u array<double>, cell int, angle double"))
+    cells = sorted(tuple(r) for r in dealt.groupBy("cell").agg(F.max("angle"), F.count("*")).collect())  # at most PIVOTS rows
+    wide = np.zeros(len(table))
+    parts = np.zeros(len(table), np.int64)
+    for cell, angle, n in cells:
+        wide[cell], parts[cell] = angle, -(-n // block)
+    first = np.concatenate([[0], np.cumsum(parts)])
+    lookup = lambda values: F.array(*(F.lit(int(v)) for v in values))
+    own = F.get(lookup(first[:-1]), "cell") + F.pmod(F.xxhash64("k"), F.get(lookup(parts), "cell"))
+    blocked = checkpointed(dealt.withColumn("b", own.cast("int")))
+
+    def nearest(one: pa.Table, two: pa.Table) -> tuple:
+        """For each row of one: the place of the nearest row of two, which is in order of keys, the cosine, and the number of rows met."""
+        x, y = rows_of(one["_u"], one.num_rows), rows_of(two["_u"], two.num_rows)
         keys, names = np.asarray(one["k"]), np.asarray(two["k"])
-        best, at = np.full(len(x), -np.inf), np.zeros(len(x), np.int64)
+        best, at, met = np.full(len(x), -np.inf), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
         for a in range(0, len(x) if len(y) else 0, 512):
             cos = np.round(x[a : a + 512] @ y.T, 12)
-            cos[keys[a : a + 512, None] == names] = -np.inf
+            same = keys[a : a + 512, None] == names
+            cos[same] = -np.inf
+            met[a : a + 512] = (~same).sum(axis=1)
             at[a : a + 512] = cos.argmax(axis=1)
             best[a : a + 512] = cos[np.arange(len(cos)), at[a : a + 512]]
-        rows = np.flatnonzero(best > -np.inf)
-        found = two.take(pa.array(at[rows]))
-        return pa.table([one["k"].take(pa.array(rows)), one["l"].take(pa.array(rows)), found["k"], found["l"], pa.array(best[rows])], names=["k", "l", "ok", "ol", "cosine"])
+        return best, at, met
 
-    kind = df.schema[label].dataType.simpleString()
-    near = asked.groupBy("q", "c").cogroup(held.groupBy("q", "c")).applyInArrow(compare, f"k long, l {kind}, ok long, ol {kind}, cosine double")
-    top = near.groupBy("k", "l").agg(F.max_by("ol", F.struct("cosine", (-F.col("ok")).alias("o"))).alias("nearest"))
-    return top.groupBy(F.col("l").alias(label)).agg(F.count("*").alias("n"), F.count_if(F.col("nearest") == F.col("l")).alias("agree"))
+    def result(one: pa.Table, two: pa.Table, best, at, met) -> dict:
+        found = np.where(best > -np.inf, at, 0)
+        take = lambda c: two[c].take(pa.array(found, mask=best == -np.inf)) if two.num_rows else pa.nulls(len(best), one.schema.field("k" if c == "k" else "l").type)
+        return {"k": one["k"], "l": one["l"], "ok": take("k"), "ol": take("l"), "cosine": pa.array(best), "met": pa.array(met)}
+
+    def inside(part: pa.Table) -> pa.Table:
+        held = part.sort_by("k")
+        out = result(part, held, *nearest(part, held))
+        return pa.table(out | {"_u": part["_u"], "b": part["b"]})
+
+    near = checkpointed(blocked.groupBy("b").applyInArrow(inside, f"{found_schema}, _u array<double>, b int"))
+
+    def visits(batches):
+        """The blocks that each row has to go to."""
+        for batch in batches:
+            if not len(batch):
+                continue
+            best = np.asarray(batch.column("cosine"))
+            bound = np.where(best > -np.inf, np.arccos(np.clip(np.where(best > -np.inf, best, -1) - 2e-12, -1, 1)), np.inf) + 1e-6
+            angles = angles_to(rows_of(batch.column("_u"), len(batch)), sent.value)
+            goes = (angles - wide <= bound[:, None]) & (parts > 0)
+            mine = np.asarray(batch.column("b"))
+            lists = [[int(c) for cell in np.flatnonzero(row) for c in range(first[cell], first[cell + 1]) if c != b] for row, b in zip(goes, mine)]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("l"), batch.column("_u"), batch.column("b"), pa.array(lists, pa.list_(pa.int32()))], names=["k", "l", "_u", "q", "c"])
+
+    asked = near.mapInArrow(visits, f"k long, l {kind}, _u array<double>, q int, c array<int>").withColumn("c", F.explode("c"))
+    pairs = asked.select(F.col("q").alias("by"), F.col("c").alias("of")).distinct()
+    held = pairs.join(blocked.select(F.col("k").alias("hk"), F.col("l").alias("hl"), F.col("_u").alias("hu"), F.col("b").alias("of")), "of").select("by", "of", "hk", "hl", "hu")
+
+    def across(one: pa.Table, two: pa.Table) -> pa.Table:
+        two = two.rename_columns(["by", "of", "k", "l", "_u"]).sort_by("k")  # the first maximum is the least key's
+        return pa.table(result(one, two, *nearest(one, two)))
+
+    far = asked.groupBy("q", "c").cogroup(held.groupBy("by", "of")).applyInArrow(across, found_schema)
+    every = near.select("k", "l", "ok", "ol", "cosine", "met").unionByName(far)
+    top = every.groupBy("k", "l").agg(F.max_by(F.struct("ok", "ol", "cosine"), F.when(F.col("ok").isNotNull(), F.struct("cosine", (-F.col("ok")).alias("o")))).alias("n"), F.sum("met").alias("met"))
+    return top.filter("n IS NOT NULL").select("k", "l", "n.*", "met")
+
+
+def nearest_agreement(df: DataFrame, key: str, vector: str, label: str, block: int = NEAR_BLOCK) -> DataFrame:
+    """By label: n and agree, the vectors whose nearest other one (ties: least key) has their label (see nearest_others)."""
+    top = nearest_others(df, key, vector, label, block)
+    return top.groupBy(F.col("l").alias(label)).agg(F.count("*").alias("n"), F.count_if(F.col("ol") == F.col("l")).alias("agree"))
 
 
 def softmax(logits: Column) -> Column:

@@ -264,6 +264,29 @@ def test_neighbours_and_matrices_reach_all_vectors(spark):
         assert {(r.vec_id_i, r.vec_id_j): r[name] for r in query(spark, SF).collect()} == pytest.approx(pairs_of(c, ids), abs=2e-6)
 
 
+def test_nearest_of_clustered_vectors_meets_few(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 16))
+    x = np.repeat(centres, 25, axis=0) + 0.02 * rng.normal(size=(1000, 16))
+    x[500] = x[20]  # copies, and one of three times the length
+    x[501] = 3 * x[20]
+    ids = rng.permutation(5000)[:1000]
+    df = spark.createDataFrame([(int(i), v.tolist(), f"c{n // 25}") for n, (i, v) in enumerate(zip(ids, x))] + [(9999, None, "none")], "k long, v array<double>, l string").repartition(4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = np.round(u @ u.T, 12)
+    np.fill_diagonal(cos, -2)
+    got = {r.k: r for r in vectors.nearest_others(df, "k", "v", "l", block=100).collect()}
+    assert set(got) == set(ids.tolist())
+    for n, i in enumerate(ids.tolist()):
+        best = cos[n].max()
+        assert got[i].cosine == pytest.approx(best, abs=1e-11)
+        assert got[i].ok in ids[cos[n] >= best - 3e-12]
+    for n in (20, 500, 501):
+        assert got[int(ids[n])].ok == min(int(ids[m]) for m in (20, 500, 501) if m != n)
+    share = sum(r.met for r in got.values()) / (1000 * 999)
+    assert share < 0.2, share
+
+
 def test_gaps_without_pairs(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0], "a"), (2, [3.0, 4.0], "a"), (3, [1.0, 0.0], None), (4, None, "b")], "k long, v array<double>, l string")
     got = vectors.all_pairs_gap(df, "v", "l", 2).first()
