@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import spans
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -66,11 +68,8 @@ def read_stems(spark: SparkSession, glob: str, schema: T.StructType | str) -> Da
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """path, size, sha256 and lines of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    text = F.decode("content", "ISO-8859-1")
-    lines = F.when(F.col("path").endswith(".jsonl"), F.regexp_count(text, F.lit(r"(?m)^[^\S\n]*\S")))
-    return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), lines.cast("long").alias("records"))
+    """path, size, sha256 and, for .jsonl files, records of every file below a folder; files of any size, read in pieces."""
+    return spans.manifest(spark, root)
 
 
 def read_images(spark: SparkSession, glob: str) -> DataFrame:
@@ -79,21 +78,8 @@ def read_images(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def read_arrays(spark: SparkSession, glob: str) -> DataFrame:
-    """Vectors of .npy and .npz files (rows of 2-D arrays): path, name (of an archive's array, else null), row, values. Files are decoded inside tasks."""
-    import io
-
-    import numpy as np
-    import pandas as pd
-
-    def decode(parts):
-        for part in parts:
-            for path, content in zip(part["path"], part["content"], strict=True):
-                got = np.load(io.BytesIO(content), allow_pickle=False)
-                for name in getattr(got, "files", [None]):
-                    table = np.atleast_2d(got if name is None else got[name]).astype(float)
-                    yield pd.DataFrame({"path": path, "name": name, "row": range(len(table)), "values": list(table)})
-
-    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInPandas(decode, "path string, name string, row long, values array<double>")
+    """Vectors of .npy and .npz files (rows of 2-D arrays): path, name (of an archive's array, else null), row, values. Arrays of any size, read by spans of rows."""
+    return spans.arrays(spark, glob)
 
 
 def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
