@@ -14,6 +14,8 @@ MOST = 256
 #: Vectors in a block of the search for nearest ones, and pivots at most.
 NEAR_BLOCK = 8192
 PIVOTS = 1024
+#: Rows of one direction beyond which a group counts as hot, and the tasks that such a group is dealt to.
+COPIES, SALTS = 10_000, 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -208,7 +210,38 @@ def group_means(df: DataFrame, vector: str, label: str, dim: int) -> DataFrame:
 
 
 def nearest_others(df: DataFrame, key: str, vector: str, label: str, block: int = NEAR_BLOCK) -> DataFrame:
-    """Each row's nearest other one by cosine (ties: least key): k, l, ok, ol, cosine, and met, how many rows it was compared with.
+    """Each row's nearest other one by cosine (ties: least key): k, l, ok, ol, cosine, and met, how many vectors it was compared with.
+
+    Keys are unique. Vectors of one direction are searched once, for the least key among their rows
+    (nearest_distinct); the others of such a group get that key, or their search's find where it
+    is as near and has a smaller key, in a join that deals groups of more than COPIES rows to
+    SALTS tasks. So a group of copies costs its size and not its square. Cosines are equal if
+    they are to 12 digits. Null vectors take no part; a row without others has no row.
+    """
+    units = checkpointed(df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(label).alias("l"), unit(F.col(vector)).alias("_u")))
+    groups = checkpointed(units.groupBy("_u").agg(F.min(F.struct("k", "l")).alias("r"), F.count("*").alias("copies")).withColumn("h", F.xxhash64("_u")))
+    found = nearest_distinct(groups.select("r.k", "r.l", "_u"), block)
+    several = groups.filter("copies > 1")
+    if several.isEmpty():
+        return found
+    found = checkpointed(found)
+    # a group of more than COPIES rows, or than a 200th of all, is hot: at most 200 hashes pass the driver
+    hot = [r.h for r in several.filter(F.col("copies") > max(COPIES, units.count() // 200)).select("h").collect()]
+    salts = F.when(F.col("h").isin(hot), SALTS).otherwise(1) if hot else F.lit(1)
+    known = several.select("h", "_u", F.col("r.k").alias("rk"), F.col("r.l").alias("rl")).join(found.select(F.col("k").alias("rk"), "ok", "ol", "cosine", "met"), "rk", "left")
+    one = units.withColumn("h", F.xxhash64("_u")).withColumn("salt", F.pmod(F.xxhash64("k"), salts).cast("int"))
+    members = checkpointed(one.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))), ["h", "_u", "salt"]).select("k", "l", "rk", "rl", "ok", "ol", "cosine", "met"))
+    second = members.filter("k != rk").groupBy("rk").agg(F.min(F.struct("k", "l")).alias("s"))
+    firsts = members.filter("k = rk").join(second, "rk").select("k", "l", F.col("s.k").alias("rk"), F.col("s.l").alias("rl"), "ok", "ol", "cosine", "met")
+    copies = members.filter("k != rk").select(firsts.columns).unionByName(firsts)
+    farther = F.col("ok").isNull() | (F.col("cosine") < 1) | ((F.col("cosine") <= 1) & (F.col("rk") < F.col("ok")))
+    either = lambda near, far: F.when(farther, near).otherwise(F.col(far)).alias(far)
+    grouped = copies.select("k", "l", either(F.col("rk"), "ok"), either(F.col("rl"), "ol"), either(F.lit(1.0), "cosine"), (F.coalesce("met", F.lit(0)) + 1).alias("met"))
+    return found.join(several.select(F.col("r.k").alias("k")), "k", "left_anti").unionByName(grouped)
+
+
+def nearest_distinct(units: DataFrame, block: int = NEAR_BLOCK) -> DataFrame:
+    """nearest_others of unit vectors (k, l, _u) of which few are equal.
 
     Exact, by pivots on the sphere. Rows are dealt to the nearest of PIVOTS vectors at most;
     a cell knows its widest angle from its pivot and is cut into blocks of ``block`` rows or so. In a first
@@ -216,20 +249,19 @@ def nearest_others(df: DataFrame, key: str, vector: str, label: str, block: int
     blocks of those cells that may hold something as near: by the triangle inequality,
     nothing in a cell is nearer than the row's angle to the pivot less the widest angle. On vectors
     without structure that is every cell, and the time is quadratic; on clustered ones it is few.
-    A task holds two blocks. Cosines are equal if they are to 12 digits. Null vectors take no part; a row without others has no row.
+    A task holds two blocks.
     """
     import numpy as np
     import pyarrow as pa
 
-    units = checkpointed(df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("k"), F.col(label).alias("l"), unit(F.col(vector)).alias("_u")))
-    kind = df.schema[label].dataType.simpleString()
+    kind = units.schema["l"].dataType.simpleString()
     found_schema = f"k long, l {kind}, ok long, ol {kind}, cosine double, met long"
     total = units.count()
     chosen = units.select("_u").orderBy(F.xxhash64("_u"), "k").limit(min(PIVOTS, max(1, 16 * total // block))).toArrow()
     if not chosen.num_rows:
-        return df.sparkSession.createDataFrame([], found_schema)
+        return units.sparkSession.createDataFrame([], found_schema)
     table = np.array(chosen["_u"].to_pylist())
-    sent = df.sparkSession.sparkContext.broadcast(table)  # at most PIVOTS vectors
+    sent = units.sparkSession.sparkContext.broadcast(table)  # at most PIVOTS vectors
     angles_to = lambda x, pivots: np.arccos(np.clip(x @ pivots.T, -1, 1))
     rows_of = lambda column, n: np.asarray((column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten()).reshape(n, -1)
 

@@ -1,5 +1,6 @@
 """DataFrame operators against known answers and plain Python."""
 
+import itertools
 import json
 import math
 import random
@@ -287,6 +288,30 @@ def test_nearest_of_clustered_vectors_meets_few(spark):
     assert share < 0.2, share
 
 
+def test_nearest_among_groups_of_copies(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    base = rng.integers(-3, 4, (60, 4)).astype(float)
+    base = base[np.abs(base).sum(axis=1) > 0]
+    x = np.concatenate([np.repeat(base[:1], 400, axis=0), base[rng.integers(0, len(base), 500)], rng.normal(size=(100, 4))])
+    ids = rng.permutation(9000)[: len(x)]
+    df = spark.createDataFrame([(int(i), v.tolist(), None if i % 7 == 0 else f"c{i % 5}") for i, v in zip(ids, x)], "k long, v array<double>, l string").repartition(5)
+    labels = {r.k: r.l for r in df.collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = np.round(u @ u.T, 12)
+    np.fill_diagonal(cos, -2)
+    want = {}
+    for n, i in enumerate(ids.tolist()):
+        want[i] = min(ids[cos[n] >= cos[n].max() - 3e-12].tolist())
+    for hot in (10_000, 20):  # without and with groups dealt over salts
+        monkeypatch.setattr(vectors, "COPIES", hot)
+        got = vectors.nearest_others(df, "k", "v", "l", block=50).collect()
+        assert len(got) == len(ids) and {r.k: r.ok for r in got} == want
+        assert all(r.ol == labels[r.ok] and r.l == labels[r.k] for r in got)
+        assert max(r.met for r in got) < 200  # of 400 copies and as many others
+    only = df.filter(F.col("k").isin(sorted(ids[:400].tolist())[:2]))  # nothing but copies
+    assert {(r.k, r.ok, r.cosine) for r in vectors.nearest_others(only, "k", "v", "l").collect()} == {(a, b, 1.0) for a, b in itertools.permutations(sorted(ids[:400].tolist())[:2])}
+
+
 def test_gaps_without_pairs(spark):
     df = spark.createDataFrame([(1, [3.0, 4.0], "a"), (2, [3.0, 4.0], "a"), (3, [1.0, 0.0], None), (4, None, "b")], "k long, v array<double>, l string")
     got = vectors.all_pairs_gap(df, "v", "l", 2).first()
