@@ -304,40 +304,104 @@ def finger_zones(objects: DataFrame, zones: DataFrame, scene: str = "scene_id",
     return out.withColumn("free", F.size("occupied_by") == 0)
 
 
+def _sides(r: Column, width: float) -> dict[str, Column]:
+    """The strips of a width at the left and right side of a box, as polygons."""
+
+    def zone(low: Column, high: Column) -> Column:
+        return F.array(G.point(low, r["ymin"]), G.point(high, r["ymin"]), G.point(high, r["ymax"]), G.point(low, r["ymax"]))
+
+    return {"LEFT": zone(r["xmin"] - width, r["xmin"]), "RIGHT": zone(r["xmax"], r["xmax"] + width)}
+
+
 def gripper_zones(targets: DataFrame, width: float, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon") -> DataFrame:
     """Where a gripper's two fingers would go: the strips of a width at the left and right side of each target's box, as deep as the box.
 
     Returns scene, key, side (LEFT, RIGHT) and zone, for finger_zones.
     """
-    r = box_of(polygon)
-
-    def zone(low: Column, high: Column) -> Column:
-        return F.array(G.point(low, r["ymin"]), G.point(high, r["ymin"]), G.point(high, r["ymax"]), G.point(low, r["ymax"]))
-
-    sides = {"LEFT": zone(r["xmin"] - width, r["xmin"]), "RIGHT": zone(r["xmax"], r["xmax"] + width)}
+    sides = _sides(box_of(polygon), width)
     return targets.select(scene, key, F.inline(F.array(*(F.struct(F.lit(n).alias("side"), z.alias("zone")) for n, z in sides.items()))))
 
 
-def relation_payloads(objects: DataFrame, targets: DataFrame, near: float = 5.0, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon", centre: str = "centre") -> DataFrame:
+def relation_payloads(objects: DataFrame, targets: DataFrame, near: float = 5.0, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon", centre: str = "centre", finger_width: float | None = None) -> DataFrame:
     """What each scene's target has around it, in numbers and in words: scene, target_id, R_NUMERIC, R_QUALITATIVE_D4, R_QUALITATIVE_D8.
 
     objects: scene, key, polygon and centre (a point) in centimetres; targets: scene,
     target_id. Each payload is an array of structs in the order of the ids: gap,
     bearing and arcs, or direction, sides and whether the gap is at most ``near``.
+    With ``finger_width`` the numbers have the distances to both finger zones of that width too, and
+    the words say which zones an object is in, in place of whether it is near.
     """
     ids = targets.select(F.col(scene).alias("_s"), "target_id")
     target = ids.join(objects, (F.col("_s") == F.col(scene)) & (F.col("target_id") == F.col(key))).select("_s", "target_id", F.col(polygon).alias("_tp"), F.col(centre).alias("_tc"))
     met = objects.join(target, (F.col(scene) == F.col("_s")) & (F.col(key) != F.col("target_id")))
     away = {n: F.col(centre)[n] - F.col("_tc")[n] for n in "xy"}
-    seen = F.struct(G.distance(F.col("_tp"), F.col(polygon)).alias("gap"), G.bearing(away["x"], away["y"]).alias("bearing"), G.occupied_arc(F.col("_tc"), F.col(polygon)).alias("arcs"))
-    numeric = lambda r: F.struct(F.col(key), F.round(r["gap"], 1).alias("surface_gap_cm"), F.round(r["bearing"], 1).alias("center_bearing_deg"), r["arcs"].alias("occupied_angular_sectors_deg"))
-    zone = lambda r: F.when(r["gap"] <= near, "CLEARANCE_ZONE_OVERLAP").otherwise("CLEARANCE_ZONE_CLEAR")
-    words = lambda r, names: F.struct(F.col(key), G.nearest_direction(r["bearing"], names).alias("center_direction"), G.occupied_directions(r["arcs"], names).alias("occupied_target_sides"), zone(r).alias("clearance_zone"))
+    zones = {} if finger_width is None else _sides(box_of("_tp"), finger_width)
+    to_zones = [F.struct(*(G.distance(F.col(polygon), z).alias(n) for n, z in zones.items())).alias("zones")] if zones else []
+    seen = F.struct(G.distance(F.col("_tp"), F.col(polygon)).alias("gap"), G.bearing(away["x"], away["y"]).alias("bearing"), G.occupied_arc(F.col("_tc"), F.col(polygon)).alias("arcs"), *to_zones)
+
+    def numeric(r: Column) -> Column:
+        more = [F.struct(*(F.round(r["zones"][n], 3).alias(n) for n in zones)).alias("distance_to_finger_placement_zone_cm")] if zones else []
+        return F.struct(F.col(key), F.round(r["gap"], 1).alias("surface_gap_cm"), F.round(r["bearing"], 1).alias("center_bearing_deg"), r["arcs"].alias("occupied_angular_sectors_deg"), *more)
+
+    def words(r: Column, names: dict[str, float]) -> Column:
+        if zones:
+            room = F.array_compact(F.array(*(F.when(r["zones"][n] <= G.TOLERANCE, F.lit(n)) for n in zones))).alias("finger_placement_zones_occupied")
+        else:
+            room = F.when(r["gap"] <= near, "CLEARANCE_ZONE_OVERLAP").otherwise("CLEARANCE_ZONE_CLEAR").alias("clearance_zone")
+        return F.struct(F.col(key), G.nearest_direction(r["bearing"], names).alias("center_direction"), G.occupied_directions(r["arcs"], names).alias("occupied_target_sides"), room)
+
     kinds = {"R_NUMERIC": numeric, "R_QUALITATIVE_D4": lambda r: words(r, G.D4), "R_QUALITATIVE_D8": lambda r: words(r, G.D8)}
     each = spread(met).select(scene, "target_id", F.inline(F.array(G.let(seen, lambda r: F.struct(*(use(r).alias(n) for n, use in kinds.items()))))))
     return each.groupBy(scene, "target_id").agg(*(F.sort_array(F.collect_list(n)).alias(n) for n in kinds))
 
 
+def relation_documents(objects: DataFrame, targets: DataFrame, near: float = 5.0, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon", centre: str = "centre", finger_width: float | None = None) -> DataFrame:
+    """relation_payloads as JSON documents, three for each target: scene, target_id, payload (its name) and document.
+
+    A target that stands alone has documents without relations; one that isn't among the objects has none.
+    With ``finger_width`` they tell the gripper and which of its zones is occupied, too.
+    """
+    targets = targets.select(scene, "target_id").distinct()
+    found = relation_payloads(objects, targets, near, scene, key, polygon, centre, finger_width)
+    there = targets.join(objects.select(scene, F.col(key).alias("target_id")), [scene, "target_id"], "left_semi")
+    kinds = ("R_NUMERIC", "R_QUALITATIVE_D4", "R_QUALITATIVE_D8")
+    whole = there.join(found, [scene, "target_id"], "left").withColumns({k: F.coalesce(k, F.array().cast(found.schema[k].dataType)) for k in kinds})
+
+    def document(kind: str) -> Column:
+        condition, _, resolution = kind.partition("_D")
+        head = [F.lit(condition).alias("condition"), *([F.lit(f"D{resolution}").alias("direction_resolution")] if resolution else []), "target_id", F.col(kind).alias("relations")]
+        if finger_width is not None and not resolution:
+            head.append(F.struct(F.lit("PARALLEL_JAW").alias("type"), F.lit("SHELF_LEFT_RIGHT").alias("closing_axis"), F.lit(float(finger_width)).alias("required_side_clearance_cm")).alias("gripper"))
+        elif finger_width is not None:
+            taken = lambda side: F.when(F.exists(kind, lambda r: F.array_contains(r["finger_placement_zones_occupied"], side)), "OCCUPIED").otherwise("CLEAR").alias(side)
+            head.append(F.struct(taken("LEFT"), taken("RIGHT")).alias("finger_placement_zone_status"))
+        return F.struct(F.lit(kind).alias("payload"), F.to_json(F.struct(*head)).alias("document"))
+
+    return whole.select(scene, "target_id", F.inline(F.array(*map(document, kinds))))
+
+
+def motion_documents(objects: DataFrame, bounds: tuple[float, float, float, float], step: float = 0.25, most: float = 100.0, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon") -> DataFrame:
+    """motion_payloads of all objects as JSON documents, eight for each scene (free space and motion, in numbers and words, by four and eight directions): scene, payload (its name) and document.
+
+    A document lists a scene's objects in the order of their ids, so it is as long as the scene.
+    """
+    fields = {
+        "F_NUMERIC": {"free_space_cm": "F_NUMERIC"},
+        "F_QUALITATIVE": {"free_space_level": "F_QUALITATIVE"},
+        "M_NUMERIC": {"max_safe_translation_cm": "M_NUMERIC", "max_safe_rotation_deg": "turn_deg"},
+        "M_QUALITATIVE": {"max_safe_translation_level": "M_QUALITATIVE", "max_safe_rotation_level": "turn_level"},
+    }
+    parts = []
+    for resolution, names in (("D4", G.D4), ("D8", G.D8)):
+        moves = motion_payloads(objects, bounds, names, step, most, scene=scene, key=key, polygon=polygon)
+        told = F.array(*(F.struct(F.lit(kind).alias("condition"), F.to_json(F.struct(key, *(F.col(c).alias(n) for n, c in into.items()))).alias("object")) for kind, into in fields.items()))
+        parts.append(moves.select(scene, key, F.inline(told)).withColumn("resolution", F.lit(resolution)))
+    lists = parts[0].unionByName(parts[1]).groupBy(scene, "condition", "resolution").agg(F.sort_array(F.collect_list(F.struct(key, "object"))).alias("o"))
+    listed = F.array_join(F.transform("o", lambda r: r["object"]), ",")
+    document = F.format_string('{"condition":"%s","direction_resolution":"%s","objects":[%s]}', "condition", "resolution", listed)
+    return lists.select(scene, F.concat_ws("_", "condition", "resolution").alias("payload"), document.alias("document"))
+
+
 def motion_payloads(objects: DataFrame, bounds: tuple[float, float, float, float], directions: dict[str, float], step: float = 0.25, most: float = 100.0, only: Column | None = None, scene: str = "scene_id", key: str = "object_id", polygon: str = "polygon") -> DataFrame:
     """Room and motion of each object among the others of its scene: scene, key, F_NUMERIC, F_QUALITATIVE, M_NUMERIC, M_QUALITATIVE.
 
@@ -362,3 +426,48 @@ def motion_payloads(objects: DataFrame, bounds: tuple[float, float, float, float
         values("slide", lambda v: F.floor(v + 1e-9)).alias("M_NUMERIC"), values("slide", B.translation_level).alias("M_QUALITATIVE"),
         "turn_deg", values("turn_deg", B.rotation_level).alias("turn_level"),
     )
+
+
+#: Distances that a catalogue may have: it travels with each row.
+CATALOGUE = 100_000
+
+
+def action_catalogue(training: DataFrame, least_mm: int = 20, most_mm: int = 250, step_mm: int = 5, scene: str = "scene_id", distance: str = "distance") -> DataFrame:
+    """The distances (m) that a move is chosen from: an even grid, and every training distance off it, so that a move that was taught is there even where safe ones are closer than the grid.
+
+    Distances are whole micrometres. Returns distance and first_scene, the least scene that brings it; null for the grid's.
+    Rows of other splits aren't to be handed in. Training rows without a distance bring none.
+    """
+    grid = training.sparkSession.range(least_mm, most_mm + 1, step_mm).select((F.col("id") * 1000).alias("um"), F.lit(True).alias("grid"), F.lit(None).cast(training.schema[scene].dataType).alias("by"))
+    taught = training.filter(F.col(distance).isNotNull()).select(F.round(F.col(distance) * 1e6).cast("long").alias("um"), F.lit(False).alias("grid"), F.col(scene).alias("by"))
+    return grid.unionByName(taught).groupBy("um").agg(F.when(~F.bool_or("grid"), F.min("by")).alias("first_scene")).select((F.col("um") / 1e6).alias("distance"), "first_scene")
+
+
+def catalogue_masks(moves: DataFrame, obstacles: DataFrame, catalogue: DataFrame, bounds: Column, margin: float, gap: float = 0.002, most: float = 0.45) -> DataFrame:
+    """Which distances of a catalogue are valid slides of each scene's blocker in each direction.
+
+    moves: scene_id, direction, target and blocker (structs), vx, vy; obstacles: scene_id, o, without
+    both. Returns scene_id, direction, limit and allowed, the valid distances in order. Valid as in
+    static_validity: the target's corridor is cleared, nothing is met and the bounds are kept.
+    The catalogue is one row of at most CATALOGUE numbers beside each move; more are an error.
+    """
+    n = F.count("*")
+    grid = catalogue.agg(F.when(n > CATALOGUE, F.raise_error(F.lit(f"more than {CATALOGUE} distances")).cast("array<double>")).otherwise(F.array_sort(F.collect_list("distance"))).alias("_grid"))
+    things = obstacles.select("scene_id", "o").unionByName(moves.select("scene_id", F.col("target").alias("o")).distinct())
+    limits = clearance_limits(moves.withColumnRenamed("blocker", "r"), things, bounds, ["direction"], gap=gap, most=most)
+    strip = G.corridor(F.col("target"), bounds["ymin"], margin)
+
+    def valid(d: Column) -> Column:
+        goal = G.moved(F.col("blocker"), F.col("vx") * d, F.col("vy") * d)
+        return (d < F.col("limit")) & (G.overlap(goal, F.col("_strip")) <= 1e-10) & G.rect_inside(goal, bounds, gap)
+
+    out = moves.withColumn("_strip", strip).join(limits, ["scene_id", "direction"]).join(F.broadcast(grid))
+    return out.select("scene_id", "direction", "limit", F.filter("_grid", valid).alias("allowed"))
+
+
+def untaught(masks: DataFrame, training: DataFrame) -> DataFrame:
+    """Training rows (scene_id, direction, distance) that their own masks contradict: covered (some distance of their direction is allowed) and valid (their own distance is), where either is false."""
+    both = training.select("scene_id", "direction", "distance").join(masks.select("scene_id", "direction", "allowed"), ["scene_id", "direction"], "left")
+    own = F.exists("allowed", lambda d: F.abs(d - F.round(F.col("distance"), 6)) < 1e-9)
+    told = both.select("scene_id", "direction", "distance", F.coalesce(F.size("allowed") > 0, F.lit(False)).alias("covered"), F.coalesce(own, F.lit(False)).alias("valid"))
+    return told.filter(~F.col("covered") | ~F.col("valid"))

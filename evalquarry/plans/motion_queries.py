@@ -9,7 +9,7 @@ from ..functions import geometry as G
 from ..operators import scene
 from .catalog import define, r6
 from .shape_queries import near_zero, near_zero_sql
-from .value_queries import BOX, polygons
+from .value_queries import BOX, boxes, polygons, shelf
 
 SHELF = (-30.0, 30.0, -30.0, 30.0)
 
@@ -123,3 +123,64 @@ def finger_zones(spark: SparkSession, sf: str) -> DataFrame:
     """Which objects stand where a gripper's fingers would go, 2.8 cm on both sides of each object."""
     o = odd_squares(spark, sf)
     return scene.finger_zones(o, scene.gripper_zones(o, 2.8)).select("scene_id", "object_id", "side", "occupied_by", "free")
+
+
+ZONE_GAP = "sqrt(pow(greatest(0, abs(o.x - (m.x {0} (m.h + 1.4))) - o.h - 1.4), 2) + pow(greatest(0, abs(o.y - m.y) - o.h - m.h), 2))"
+SIDE = "CASE WHEN count(*) FILTER ({} <= 1e-7) OVER (PARTITION BY scene_id) > 0 THEN 'OCCUPIED' ELSE 'CLEAR' END"
+
+
+@define(
+    f"WITH b AS ({ODD}), m AS (SELECT * FROM b WHERE object_id = 1), e AS (SELECT o.scene_id, o.object_id, {GAP} AS gap, {BEARING} AS bearing, {ZONE_GAP.format('-')} AS l, {ZONE_GAP.format('+')} AS r FROM b o JOIN m ON o.scene_id = m.scene_id AND o.object_id > 1) "
+    f"SELECT scene_id, object_id, round(gap, 1) AS surface_gap_cm, round(l, 3) AS left_cm, round(r, 3) AS right_cm, {nearest_sql(G.D4)} AS direction_d4, {nearest_sql(G.D8)} AS direction_d8, CASE WHEN l <= 1e-7 THEN ['LEFT'] ELSE [] END || CASE WHEN r <= 1e-7 THEN ['RIGHT'] ELSE [] END AS zones, {SIDE.format('l')} AS left_status, {SIDE.format('r')} AS right_status, CAST(2.8 AS DOUBLE) AS width FROM e"
+)
+def relation_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The JSON documents of what stands around each scene's first object, with its gripper's zones; read back and taken apart by object."""
+    o = odd_squares(spark, sf)
+    out = scene.relation_documents(o, o.filter("object_id = 1").select("scene_id", F.col("object_id").alias("target_id")), finger_width=2.8)
+    kinds = out.groupBy("scene_id").agg(*(F.first(F.when(F.col("payload") == p, F.col("document")), ignorenulls=True).alias(c) for p, c in (("R_NUMERIC", "n"), ("R_QUALITATIVE_D4", "f"), ("R_QUALITATIVE_D8", "e"))))
+    numbers = "gripper struct<required_side_clearance_cm: double>, relations array<struct<object_id: bigint, surface_gap_cm: double, distance_to_finger_placement_zone_cm: struct<LEFT: double, RIGHT: double>>>"
+    words = "finger_placement_zone_status struct<LEFT: string, RIGHT: string>, relations array<struct<object_id: bigint, center_direction: string, finger_placement_zones_occupied: array<string>>>"
+    read = kinds.select("scene_id", F.from_json("n", numbers).alias("n"), F.from_json("f", words).alias("f"), F.from_json("e", words).alias("e"))
+    rows = read.select("scene_id", "f.finger_placement_zone_status", "n.gripper", F.inline(F.arrays_zip(F.col("n.relations").alias("n"), F.col("f.relations").alias("f"), F.col("e.relations").alias("e"))))
+    gap, status = F.col("n.distance_to_finger_placement_zone_cm"), F.col("finger_placement_zone_status")
+    return rows.select(
+        "scene_id", "n.object_id", "n.surface_gap_cm", gap["LEFT"].alias("left_cm"), gap["RIGHT"].alias("right_cm"), F.col("f.center_direction").alias("direction_d4"), F.col("e.center_direction").alias("direction_d8"),
+        F.col("f.finger_placement_zones_occupied").alias("zones"), status["LEFT"].alias("left_status"), status["RIGHT"].alias("right_status"), F.col("gripper.required_side_clearance_cm").alias("width"),
+    )
+
+
+CATALOGUE = "SELECT um / 1e6 AS distance, CASE WHEN NOT bool_or(grid) THEN min(scene_id) END AS first_scene FROM (SELECT i * 1000 AS um, true AS grid, NULL AS scene_id FROM range(20, 251, 5) s(i) UNION ALL SELECT CAST(round((0.0213 + 0.0047 * (o_custkey % 50)) * 1e6) AS BIGINT), false, o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY um"
+
+
+def taught(spark: SparkSession, sf: str) -> DataFrame:
+    """A made-up training split: finished orders, each with a distance."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").filter("o_orderstatus = 'F'")
+    return o.select(F.col("o_orderkey").alias("scene_id"), (0.0213 + 0.0047 * (F.col("o_custkey") % 50)).alias("distance"))
+
+
+@define(CATALOGUE)
+def action_catalogue(spark: SparkSession, sf: str) -> DataFrame:
+    """Every 5 mm from 20 to 250, and the distances of the training split off that grid with the scene that brings them."""
+    return scene.action_catalogue(taught(spark, sf))
+
+
+#: Lengths that no box or grid hits, so that no border hangs on a rounding.
+ROOM_GAP, MARGIN = 0.0021373, 0.0103719
+MASKS = (
+    f"WITH b AS ({BOX}), c AS (SELECT distance FROM ({CATALOGUE})), m AS (SELECT b.*, name AS direction, s FROM b, (SELECT unnest(['LEFT', 'RIGHT']) AS name, unnest([-1, 1]) AS s) WHERE object_id = 1), t AS (SELECT * FROM b WHERE object_id = 2), "
+    f"n AS (SELECT m.scene_id, m.direction, 0.3 - {ROOM_GAP} - (s * m.x + m.w / 2) AS room, s * b.x - b.w / 2 - {ROOM_GAP} - (s * m.x + m.w / 2) AS t0, s * b.x + b.w / 2 + {ROOM_GAP} - (s * m.x - m.w / 2) AS t1, abs(m.y - b.y) >= m.w / 2 + b.w / 2 + {ROOM_GAP} AS miss FROM m JOIN b ON m.scene_id = b.scene_id AND b.object_id > 1), "
+    'l AS (SELECT scene_id, direction, greatest(0, least(0.45, min(room), min(CASE WHEN NOT miss AND t1 > greatest(t0, 0) THEN greatest(t0, 0) END))) AS "limit" FROM n GROUP BY ALL), '
+    f'g AS (SELECT m.scene_id, m.direction, "limit", distance, m.x + s * distance AS gx, m.y, m.w, t.x AS tx, t.y AS ty, t.w AS tw FROM m JOIN t USING (scene_id) JOIN l USING (scene_id, direction), c), '
+    f'v AS (SELECT *, distance < "limit" AND abs(gx) + w / 2 <= 0.3 - {ROOM_GAP} AND abs(y) + w / 2 <= 0.3 - {ROOM_GAP} AND greatest(0, least(gx + w / 2, tx + tw / 2 + {MARGIN}) - greatest(gx - w / 2, tx - tw / 2 - {MARGIN})) * greatest(0, least(y + w / 2, ty - tw / 2) - greatest(y - w / 2, -0.3)) <= 1e-10 AS ok FROM g) '
+)
+
+
+@define(MASKS + "SELECT scene_id, direction, count(*) FILTER (ok) AS n_allowed, min(distance) FILTER (ok) AS least, max(distance) FILTER (ok) AS furthest FROM v GROUP BY ALL")
+def catalogue_masks(spark: SparkSession, sf: str) -> DataFrame:
+    """Which distances of the catalogue each scene's first object may be slid to the left and right, to clear the second one's way out."""
+    b = boxes(spark, sf)
+    pick = lambda i, name: b.filter(F.col("object_id") == i).select("scene_id", F.col("o").alias(name))
+    ways = F.array(*(F.struct(F.lit(n).alias("direction"), F.lit(v).alias("vx"), F.lit(0.0).alias("vy")) for n, v in (("LEFT", -1.0), ("RIGHT", 1.0))))
+    moves = pick(1, "blocker").join(pick(2, "target"), "scene_id").select("scene_id", "target", "blocker", F.inline(ways))
+    out = scene.catalogue_masks(moves, b.filter("object_id > 2"), scene.action_catalogue(taught(spark, sf)), shelf(), MARGIN, gap=ROOM_GAP)
+    return out.select("scene_id", "direction", F.size("allowed").cast("bigint").alias("n_allowed"), F.array_min("allowed").alias("least"), F.array_max("allowed").alias("furthest"))
