@@ -125,18 +125,20 @@ def finger_zones(spark: SparkSession, sf: str) -> DataFrame:
     return scene.finger_zones(o, scene.gripper_zones(o, 2.8)).select("scene_id", "object_id", "side", "occupied_by", "free")
 
 
-ZONE_GAP = "sqrt(pow(greatest(0, abs(o.x - (m.x {0} (m.h + 1.4))) - o.h - 1.4), 2) + pow(greatest(0, abs(o.y - m.y) - o.h - m.h), 2))"
+#: Of a gripper, in centimetres: no gap to its zones lies half way between two thousandths, where the engines' roundings differ.
+FINGER = 2.800006
+ZONE_GAP = f"sqrt(pow(greatest(0, abs(o.x - (m.x {{0}} (m.h + {FINGER / 2}))) - o.h - {FINGER / 2}), 2) + pow(greatest(0, abs(o.y - m.y) - o.h - m.h), 2))"
 SIDE = "CASE WHEN count(*) FILTER ({} <= 1e-7) OVER (PARTITION BY scene_id) > 0 THEN 'OCCUPIED' ELSE 'CLEAR' END"
 
 
 @define(
     f"WITH b AS ({ODD}), m AS (SELECT * FROM b WHERE object_id = 1), e AS (SELECT o.scene_id, o.object_id, {GAP} AS gap, {BEARING} AS bearing, {ZONE_GAP.format('-')} AS l, {ZONE_GAP.format('+')} AS r FROM b o JOIN m ON o.scene_id = m.scene_id AND o.object_id > 1) "
-    f"SELECT scene_id, object_id, round(gap, 1) AS surface_gap_cm, round(l, 3) AS left_cm, round(r, 3) AS right_cm, {nearest_sql(G.D4)} AS direction_d4, {nearest_sql(G.D8)} AS direction_d8, CASE WHEN l <= 1e-7 THEN ['LEFT'] ELSE [] END || CASE WHEN r <= 1e-7 THEN ['RIGHT'] ELSE [] END AS zones, {SIDE.format('l')} AS left_status, {SIDE.format('r')} AS right_status, CAST(2.8 AS DOUBLE) AS width FROM e"
+    f"SELECT scene_id, object_id, round(gap, 1) AS surface_gap_cm, round(l, 3) AS left_cm, round(r, 3) AS right_cm, {nearest_sql(G.D4)} AS direction_d4, {nearest_sql(G.D8)} AS direction_d8, CASE WHEN l <= 1e-7 THEN ['LEFT'] ELSE [] END || CASE WHEN r <= 1e-7 THEN ['RIGHT'] ELSE [] END AS zones, {SIDE.format('l')} AS left_status, {SIDE.format('r')} AS right_status, CAST({FINGER} AS DOUBLE) AS width FROM e"
 )
 def relation_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The JSON documents of what stands around each scene's first object, with its gripper's zones; read back and taken apart by object."""
     o = odd_squares(spark, sf)
-    out = scene.relation_documents(o, o.filter("object_id = 1").select("scene_id", F.col("object_id").alias("target_id")), finger_width=2.8)
+    out = scene.relation_documents(o, o.filter("object_id = 1").select("scene_id", F.col("object_id").alias("target_id")), finger_width=FINGER)
     kinds = out.groupBy("scene_id").agg(*(F.first(F.when(F.col("payload") == p, F.col("document")), ignorenulls=True).alias(c) for p, c in (("R_NUMERIC", "n"), ("R_QUALITATIVE_D4", "f"), ("R_QUALITATIVE_D8", "e"))))
     numbers = "gripper struct<required_side_clearance_cm: double>, relations array<struct<object_id: bigint, surface_gap_cm: double, distance_to_finger_placement_zone_cm: struct<LEFT: double, RIGHT: double>>>"
     words = "finger_placement_zone_status struct<LEFT: string, RIGHT: string>, relations array<struct<object_id: bigint, center_direction: string, finger_placement_zones_occupied: array<string>>>"

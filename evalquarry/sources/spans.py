@@ -8,7 +8,9 @@ from __future__ import annotations
 import hashlib
 import os
 import zipfile
+from collections import namedtuple
 from collections.abc import Iterator
+from io import BytesIO
 from typing import BinaryIO
 from urllib.parse import quote, unquote
 
@@ -16,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.stable import spread
 
@@ -23,8 +26,10 @@ from ..operators.stable import spread
 SPAN, PIECE = 64 << 20, 4 << 20
 
 
-def opened(path: str) -> BinaryIO:
-    """A file by the name that Spark gives it, for reading at any place."""
+def opened(path: str, content: bytes | None = None) -> BinaryIO:
+    """A file by the name that Spark gives it, or its content if that is there, for reading at any place."""
+    if content is not None:
+        return BytesIO(content)
     scheme, colon, rest = path.partition(":")
     if not colon or scheme == "file":
         where = (rest if colon else path).removeprefix("//")
@@ -33,14 +38,29 @@ def opened(path: str) -> BinaryIO:
     return files.open_input_file(name)
 
 
-def listed(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """The paths of files, empty ones too, dealt over all tasks; their contents aren't read.
+def listed(spark: SparkSession, path: str, recursive: bool = False) -> tuple[DataFrame, bool]:
+    """path and content of files, empty ones too, dealt over all tasks; and whether tasks can open them.
 
-    The names come from Spark's file index, which the driver holds for any scan; a scan itself leaves out empty files.
+    content is null, as tasks open the files themselves, unless they lie in a store that only Spark
+    reaches: there it has the whole file, of 2 GB at most. The names come from Spark's
+    file index, which the driver holds for any scan; a scan itself leaves out empty files.
     """
     files = spark.read.format("binaryFile")
-    names = (files.option("recursiveFileLookup", True) if recursive else files).load(path).inputFiles()
-    return spread(spark.createDataFrame([(unquote(n),) for n in names], "path string"))
+    found = (files.option("recursiveFileLookup", True) if recursive else files).load(path)
+    names = [unquote(n).replace(":///", ":/", 1) for n in found.inputFiles()]  # as the column path has them
+    paths = spread(spark.createDataFrame([(n,) for n in names], "path string"))
+    if not names or _reached(names[0]):
+        return paths.withColumn("content", F.lit(None).cast("binary")), True
+    return paths.join(found.select("path", "content"), "path", "left").withColumn("content", F.coalesce("content", F.lit(b""))), False
+
+
+def _reached(path: str) -> bool:
+    """Whether Python can open a file of Spark's by its name."""
+    try:
+        opened(path).close()
+    except (OSError, ValueError, NotImplementedError):  # no such file system for Arrow, or not its library
+        return False
+    return True
 
 
 def manifest(spark: SparkSession, root: str, piece: int = PIECE) -> DataFrame:
@@ -51,11 +71,12 @@ def manifest(spark: SparkSession, root: str, piece: int = PIECE) -> DataFrame:
 
     def digested(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for path in part["path"]:
-                with opened(path) as f:
+            for path, content in zip(part["path"], part["content"], strict=True):
+                with opened(path, content) as f:
                     yield pd.DataFrame([(path, *digest_and_records(f, piece, path.endswith(".jsonl")))], columns=["path", "size", "sha256", "records"]).astype({"records": "Int64"})
 
-    return listed(spark, root, recursive=True).mapInPandas(digested, "path string, size long, sha256 string, records long")
+    files, _ = listed(spark, root, recursive=True)
+    return files.mapInPandas(digested, "path string, size long, sha256 string, records long")
 
 
 def digest_and_records(f: BinaryIO, piece: int, lines: bool) -> tuple[int, str, int | None]:
@@ -95,20 +116,37 @@ def arrays(spark: SparkSession, glob: str, span: int = SPAN) -> DataFrame:
         for part in parts:
             for s in part.itertuples(index=False):
                 with opened(s.path) as f:
-                    first = int(s.first)
-                    for block in blocks_of(f, s, span):
-                        for i in range(0, len(block), step := max(1, PIECE // max(1, 8 * block.shape[1]))):
-                            values = block[i : i + step].astype(float)
-                            yield pd.DataFrame({"path": s.path, "name": s.name, "row": range(first + i, first + i + len(values)), "values": list(values)})
-                        first += len(block)
+                    yield from rows_of(f, Span(*s), span)
 
-    found = listed(spark, glob).mapInPandas(headers, ", ".join(f"{n} {t}" for n, t in SPANS.items()))
-    return spread(found).mapInPandas(rows, "path string, name string, row long, values array<double>")
+    def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for path, content in zip(part["path"], part["content"], strict=True):
+                for s in spans_of(BytesIO(content), path, span):
+                    yield from rows_of(BytesIO(content), Span(path, *s), span)
+
+    schema = "path string, name string, row long, values array<double>"
+    files, reached = listed(spark, glob)
+    if not reached:
+        return files.mapInPandas(whole, schema)
+    return spread(files.select("path").mapInPandas(headers, ", ".join(f"{n} {t}" for n, t in SPANS.items()))).mapInPandas(rows, schema)
 
 
 #: A span: rows ``first`` up to ``first + n`` of ``rows``, of an array whose numbers begin at byte ``at`` (null: compressed).
 SPANS = {"path": "string", "name": "string", "member": "string", "at": "long", "dtype": "string", "by_column": "boolean", "rows": "long", "width": "long", "first": "long", "n": "long"}
 
+Span = namedtuple("Span", SPANS)
+
+
+def rows_of(f: BinaryIO, s: Span, span: int) -> Iterator[pd.DataFrame]:
+    """A span's rows as tables of at most about PIECE bytes."""
+    first = int(s.first)
+    for block in blocks_of(f, s, span):
+        step = max(1, PIECE // max(1, 8 * block.shape[1]))
+        for i in range(0, len(block), step):
+            values = block[i : i + step].astype(float)
+            yield pd.DataFrame({"path": s.path, "name": s.name, "row": range(first + i, first + i + len(values)), "values": list(values)})
+        first += len(block)
+
 
 def spans_of(f: BinaryIO, path: str, span: int) -> Iterator[tuple]:
     """The spans of all arrays of a file, without its path."""
@@ -151,7 +189,7 @@ def _header(f: BinaryIO) -> tuple[tuple[int, ...], bool, np.dtype]:
     return (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
 
 
-def blocks_of(f: BinaryIO, s, span: int) -> Iterator[np.ndarray]:
+def blocks_of(f: BinaryIO, s: Span, span: int) -> Iterator[np.ndarray]:
     """A span's rows, as tables of at most about ``span`` bytes."""
     dtype, width, n = np.dtype(s.dtype), int(s.width), int(s.n)
     size = dtype.itemsize

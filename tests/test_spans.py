@@ -44,6 +44,13 @@ def test_arrays_by_spans_are_numpys(spark, files):
     assert tables(io.read_arrays(spark, f"file://{files}")) == want
 
 
+def test_files_that_only_spark_reaches(spark, files, monkeypatch):
+    (files / "none.jsonl").write_bytes(b"")
+    plain = tables(io.read_arrays(spark, f"file://{files}/*.np[yz]")), sorted(io.manifest(spark, f"file://{files}").collect())
+    monkeypatch.setattr(spans, "_reached", lambda path: False)
+    assert (tables(io.read_arrays(spark, f"file://{files}/*.np[yz]")), sorted(io.manifest(spark, f"file://{files}").collect())) == plain
+
+
 def test_a_large_array_is_read_by_several_tasks(spark, files):
     read = spans.arrays(spark, f"file://{files}/flat.npy", span=1000)
     from pyspark.sql import functions as F
