@@ -28,9 +28,9 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector over its length; a zero vector is an error."""
-    n = norm(a)
-    checked = F.when(n == 0, F.raise_error(F.lit("zero vector")).cast("double")).otherwise(n)
-    return F.transform(a, lambda x: x.cast("double") / checked)
+    checked = lambda n: F.when(n == 0, F.raise_error(F.lit("zero vector")).cast("double")).otherwise(n)
+    # the length stands in an array of its own, so that it is computed once and not for each component
+    return F.element_at(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x.cast("double") / checked(n))), 1)
 
 
 def centred(df: DataFrame, vector: str, dim: int, by: Sequence[str] = ()) -> DataFrame:
@@ -244,12 +244,12 @@ def nearest_distinct(units: DataFrame, block: int = NEAR_BLOCK) -> DataFrame:
     """nearest_others of unit vectors (k, l, _u) of which few are equal.
 
     Exact, by pivots on the sphere. Rows are dealt to the nearest of PIVOTS vectors at most;
-    a cell knows its widest angle from its pivot and is cut into blocks of ``block`` rows or so. In a first
-    round a row is compared with its own block. In a second one it goes to the
-    blocks of those cells that may hold something as near: by the triangle inequality,
+    a cell knows its widest angle from its pivot. Small cells share a block of ``block`` rows or so, large ones are cut
+    into several. In a first round a row is compared with its own cell's part of its block. In a second one it goes, once for
+    each block, to the cells that may hold something as near: by the triangle inequality,
     nothing in a cell is nearer than the row's angle to the pivot less the widest angle. On vectors
     without structure that is every cell, and the time is quadratic; on clustered ones it is few.
-    A task holds two blocks.
+    A task holds two blocks, and rows travel once for each pair of blocks.
     """
     import numpy as np
     import pyarrow as pa
@@ -273,20 +273,21 @@ def nearest_distinct(units: DataFrame, block: int = NEAR_BLOCK) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angles[np.arange(len(cell)), cell])], names=[*batch.schema.names, "cell", "angle"])
 
     dealt = checkpointed(units.mapInArrow(assign, f"k long, l {kind}, _u array<double>, cell int, angle double"))
-    cells = sorted(tuple(r) for r in dealt.groupBy("cell").agg(F.max("angle"), F.count("*")).collect())  # at most PIVOTS rows
-    wide = np.zeros(len(table))
-    parts = np.zeros(len(table), np.int64)
-    for cell, angle, n in cells:
+    cells = [tuple(r) for r in dealt.groupBy("cell").agg(F.max("angle"), F.count("*")).collect()]  # at most PIVOTS rows
+    wide, parts, first = np.zeros(len(table)), np.zeros(len(table), np.int64), np.zeros(len(table), np.int64)
+    near_first, at, held_rows = angles_to(table, table[:1])[:, 0], -1, block
+    for cell, angle, n in sorted(cells, key=lambda c: (near_first[c[0]], c[0])):
         wide[cell], parts[cell] = angle, -(-n // block)
-    first = np.concatenate([[0], np.cumsum(parts)])
+        if held_rows + n > block:  # a new block, or as many as a large cell needs
+            at, held_rows = at + 1, 0
+        first[cell], held_rows = at, held_rows + n
+        at += parts[cell] - 1
     lookup = lambda values: F.array(*(F.lit(int(v)) for v in values))
-    own = F.get(lookup(first[:-1]), "cell") + F.pmod(F.xxhash64("k"), F.get(lookup(parts), "cell"))
+    own = F.get(lookup(first), "cell") + F.pmod(F.xxhash64("k"), F.get(lookup(parts), "cell"))
     blocked = checkpointed(dealt.withColumn("b", own.cast("int")))
 
-    def nearest(one: pa.Table, two: pa.Table) -> tuple:
-        """For each row of one: the place of the nearest row of two, which is in order of keys, the cosine, and the number of rows met."""
-        x, y = rows_of(one["_u"], one.num_rows), rows_of(two["_u"], two.num_rows)
-        keys, names = np.asarray(one["k"]), np.asarray(two["k"])
+    def nearest(x, keys, y, names) -> tuple:
+        """For each row of x: the place of the nearest row of y, which is in order of keys, the cosine, and the number of rows met."""
         best, at, met = np.full(len(x), -np.inf), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
         for a in range(0, len(x) if len(y) else 0, 512):
             cos = np.round(x[a : a + 512] @ y.T, 12)
@@ -297,20 +298,34 @@ def nearest_distinct(units: DataFrame, block: int = NEAR_BLOCK) -> DataFrame:
             best[a : a + 512] = cos[np.arange(len(cos)), at[a : a + 512]]
         return best, at, met
 
-    def result(one: pa.Table, two: pa.Table, best, at, met) -> dict:
+    def by_cells(one: pa.Table, two: pa.Table, asked: dict) -> dict:
+        """The nearest among those cells of two, in order of keys, that each row of one asks for: ``asked`` has the rows of one by cell."""
+        x, y = rows_of(one["_u"], one.num_rows), rows_of(two["_u"], two.num_rows)
+        keys, names, cell = np.asarray(one["k"]), np.asarray(two["k"]), np.asarray(two["cell"])
+        best, at, met = np.full(len(x), -np.inf), np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        for c in np.unique(cell):
+            if c not in asked:
+                continue
+            rows, columns = asked[c], np.flatnonzero(cell == c)
+            cos, place, n = nearest(x[rows], keys[rows], y[columns], names[columns])
+            place = columns[place]
+            better = (cos > best[rows]) | ((cos == best[rows]) & (cos > -np.inf) & (names[place] < names[at[rows]]))
+            best[rows[better]], at[rows[better]] = cos[better], place[better]
+            met[rows] += n
         found = np.where(best > -np.inf, at, 0)
-        take = lambda c: two[c].take(pa.array(found, mask=best == -np.inf)) if two.num_rows else pa.nulls(len(best), one.schema.field("k" if c == "k" else "l").type)
+        take = lambda c: two[c].take(pa.array(found, mask=best == -np.inf)) if two.num_rows else pa.nulls(len(best), one.schema.field(c).type)
         return {"k": one["k"], "l": one["l"], "ok": take("k"), "ol": take("l"), "cosine": pa.array(best), "met": pa.array(met)}
 
     def inside(part: pa.Table) -> pa.Table:
-        held = part.sort_by("k")
-        out = result(part, held, *nearest(part, held))
-        return pa.table(out | {"_u": part["_u"], "b": part["b"]})
+        part = part.sort_by("k")
+        cell = np.asarray(part["cell"])
+        return pa.table(by_cells(part, part, {c: np.flatnonzero(cell == c) for c in np.unique(cell)}) | {"_u": part["_u"], "cell": part["cell"], "b": part["b"]})
 
-    near = checkpointed(blocked.groupBy("b").applyInArrow(inside, f"{found_schema}, _u array<double>, b int"))
+    near = checkpointed(blocked.groupBy("b").applyInArrow(inside, f"{found_schema}, _u array<double>, cell int, b int"))
 
     def visits(batches):
-        """The blocks that each row has to go to."""
+        """The blocks that each row has to go to, and which cells it asks for there."""
+        to = pa.list_(pa.struct([("c", pa.int32()), ("cells", pa.list_(pa.int32()))]))
         for batch in batches:
             if not len(batch):
                 continue
@@ -318,17 +333,26 @@ def nearest_distinct(units: DataFrame, block: int = NEAR_BLOCK) -> DataFrame:
             bound = np.where(best > -np.inf, np.arccos(np.clip(np.where(best > -np.inf, best, -1) - 2e-12, -1, 1)), np.inf) + 1e-6
             angles = angles_to(rows_of(batch.column("_u"), len(batch)), sent.value)
             goes = (angles - wide <= bound[:, None]) & (parts > 0)
-            mine = np.asarray(batch.column("b"))
-            lists = [[int(c) for cell in np.flatnonzero(row) for c in range(first[cell], first[cell + 1]) if c != b] for row, b in zip(goes, mine)]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("l"), batch.column("_u"), batch.column("b"), pa.array(lists, pa.list_(pa.int32()))], names=["k", "l", "_u", "q", "c"])
-
-    asked = near.mapInArrow(visits, f"k long, l {kind}, _u array<double>, q int, c array<int>").withColumn("c", F.explode("c"))
+            lists = []
+            for row, b, mine in zip(goes, np.asarray(batch.column("b")), np.asarray(batch.column("cell"))):
+                to_block: dict[int, list[int]] = {}
+                for cell in np.flatnonzero(row):
+                    for c in range(first[cell], first[cell] + parts[cell]):
+                        if c != b or cell != mine:
+                            to_block.setdefault(int(c), []).append(int(cell))
+                lists.append([{"c": c, "cells": asked} for c, asked in to_block.items()])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("l"), batch.column("_u"), batch.column("b"), pa.array(lists, to)], names=["k", "l", "_u", "q", "v"])
+
+    asked = near.mapInArrow(visits, f"k long, l {kind}, _u array<double>, q int, v array<struct<c: int, cells: array<int>>>").select("k", "l", "_u", "q", F.inline("v"))
     pairs = asked.select(F.col("q").alias("by"), F.col("c").alias("of")).distinct()
-    held = pairs.join(blocked.select(F.col("k").alias("hk"), F.col("l").alias("hl"), F.col("_u").alias("hu"), F.col("b").alias("of")), "of").select("by", "of", "hk", "hl", "hu")
+    held = pairs.join(blocked.select(F.col("k").alias("hk"), F.col("l").alias("hl"), F.col("_u").alias("hu"), "cell", F.col("b").alias("of")), "of").select("by", "of", "hk", "hl", "hu", "cell")
 
     def across(one: pa.Table, two: pa.Table) -> pa.Table:
-        two = two.rename_columns(["by", "of", "k", "l", "_u"]).sort_by("k")  # the first maximum is the least key's
-        return pa.table(result(one, two, *nearest(one, two)))
+        two = two.rename_columns(["by", "of", "k", "l", "_u", "cell"]).sort_by("k")  # the first maximum is the least key's
+        cells = one["cells"].combine_chunks()
+        row = np.repeat(np.arange(one.num_rows), np.asarray(cells.value_lengths()))
+        cell = np.asarray(cells.flatten())
+        return pa.table(by_cells(one, two, {c: row[cell == c] for c in np.unique(cell)}))
 
     far = asked.groupBy("q", "c").cogroup(held.groupBy("by", "of")).applyInArrow(across, found_schema)
     every = near.select("k", "l", "ok", "ol", "cosine", "met").unionByName(far)
