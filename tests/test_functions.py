@@ -7,6 +7,7 @@ import math
 import random
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,18 @@ def test_angles(spark):
     assert one(spark, G.bearing(F.lit(0.0), F.lit(-1.0))) == pytest.approx(270)
 
 
+def test_angular_bins_on_the_sectors_borders(spark, tmp_path):
+    """Each balance lies half way between two directions, where the SQL takes the next one."""
+    from evalquarry.plans import catalog
+
+    balances = [45.0, 135.0, 225.0, 315.0, 765.0, -45.0, -315.0, 44.99, 45.01, 0.0]
+    spark.createDataFrame(list(enumerate(balances)), "s_suppkey long, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {tuple(r) for r in catalog.QUERIES["angular_bins"](spark, str(tmp_path)).collect()}
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+        assert got == set(con.execute(catalog.SQL["angular_bins"]).fetchall())
+
+
 def test_polygons(spark):
     s = square(0, 0, 1)
     c = one(spark, G.centroid(poly([(0, 0), (4, 0), (0, 3)])))
