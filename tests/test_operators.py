@@ -556,3 +556,16 @@ def test_queries_run(spark, name):
 def test_known_answer(spark):
     got = {r.event_type: (r.paired_n, r.lost, r.gained, round(r.p_value, 6)) for r in catalog.QUERIES["mcnemar_exact"](spark, "/root/testdata/sf0.01").collect()}
     assert got == {"click": (599, 73, 79, 0.685209), "error": (569, 68, 70, 0.932202), "purchase": (557, 73, 58, 0.221116), "signup": (588, 71, 70, 1.0)}
+
+
+def test_a_slide_that_ends_at_its_limit_is_not_free(spark):
+    """0.138 - 0.002 - 0.086 is 0.05 and two units in the last place more: a slide of 0.05 would touch."""
+    box = lambda x0, x1: G.rect(F.lit(x0), F.lit(0.0), F.lit(x1), F.lit(0.05))
+    one = spark.range(1).select(F.lit(1).alias("scene_id"), G.rect(F.lit(-0.2), F.lit(0.1), F.lit(-0.1), F.lit(0.2)).alias("target"), box(0.036, 0.086).alias("blocker"), F.lit(1.0).alias("vx"), F.lit(0.0).alias("vy"))
+    moves = one.withColumn("distance", F.explode(F.array(F.lit(0.05), F.lit(0.0499))))
+    bounds = G.rect(*(F.lit(b) for b in (-0.3, -0.3, 0.3, 0.3)))
+    for distance, free in ((0.05, False), (0.0499, True)):
+        (r,) = scene.static_validity(moves.filter(F.col("distance") == distance), one.select("scene_id", box(0.138, 0.2).alias("o")), bounds, 0.01).collect()
+        assert r.clearance_limit > 0.05 and r.collision_free is free
+    (m,) = scene.catalogue_masks(one.withColumn("direction", F.lit("RIGHT")), one.select("scene_id", box(0.138, 0.2).alias("o")), moves.select("distance"), bounds, 0.01).collect()
+    assert m.allowed == [0.0499]
