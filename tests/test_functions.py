@@ -143,6 +143,17 @@ def test_angles(spark):
     assert one(spark, G.bearing(F.lit(0.0), F.lit(-1.0))) == pytest.approx(270)
 
 
+def test_no_room_but_for_a_rounding(spark):
+    """Two equal squares, the other centre within: the ray leaves the other at the polygon's own rim."""
+    from evalquarry.operators import scene
+
+    h = 1.0371 + 0.05173 * 44
+    rows = [(1, i, [{"x": x + a * h, "y": -11.0 + b * h} for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1))]) for i, x in ((1, 5.0), (7, 2.0))]
+    o = spark.createDataFrame(rows, "scene_id int, object_id int, polygon array<struct<x:double,y:double>>")
+    (r,) = scene.motion_payloads(o, (-30.0, 30.0, -30.0, 30.0), G.D4, only=F.col("object_id") == 1).collect()
+    assert r.F_NUMERIC["BACK"] == r.F_NUMERIC["FRONT"] == 0 and r.F_QUALITATIVE["BACK"] == r.F_QUALITATIVE["FRONT"] == "OCCUPIED"
+
+
 def test_angular_bins_on_the_sectors_borders(spark, tmp_path):
     """Each balance lies half way between two directions, where the SQL takes the next one."""
     from evalquarry.plans import catalog
