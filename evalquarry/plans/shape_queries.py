@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import binning as B
 from ..functions import geometry as G
+from ..functions import planar as P
 from ..functions import text as X
 from ..operators import audit, metrics, orders, ranking, scene, vectors
 from ..sources import io
@@ -146,14 +147,12 @@ def polygon_measures(spark: SparkSession, sf: str) -> DataFrame:
     degrees = F.col("l_partkey") % 360
     square = F.array(G.point(x - h, y - h), G.point(x + h, y - h), G.point(x + h, y + h), G.point(x - h, y + h))
 
-    def measures(m: Column) -> Column:
-        p, c, d, corner = m["p"], m["c"], G.direction_vector(degrees), G.translated(m["p"], F.lit(3.0), F.lit(-1.0))[0]
-        numbers = {"cx": c["x"], "cy": c["y"], "area": G.area(p), "ux": d["x"], "uy": d["y"], "corner_x": corner["x"], "corner_y": corner["y"], "bearing": G.bearing(x, y)}
-        return F.struct(F.size(G.hull(F.concat(p, F.array(c)))).alias("hull_size"), G.inside(p, (-20.0, 20.0, -20.0, 20.0)).alias("inside"), *(near_zero(v).alias(n) for n, v in numbers.items()))
-
-    centred = G.let(G.let(square, lambda q: G.rotated(q, degrees)), lambda p: F.struct(p.alias("p"), G.centroid(p).alias("c")))
-    out = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.array(G.let(centred, measures)).alias("m"))
-    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.inline("m"))
+    m, d = F.col("m"), G.direction_vector(degrees)
+    inside = (m["xmin"] >= -20.0 - G.TOLERANCE) & (m["xmax"] <= 20.0 + G.TOLERANCE) & (m["ymin"] >= -20.0 - G.TOLERANCE) & (m["ymax"] <= 20.0 + G.TOLERANCE)
+    numbers = {"cx": m["cx"], "cy": m["cy"], "area": m["area"], "ux": d["x"], "uy": d["y"], "corner_x": m["x"] + 3.0, "corner_y": m["y"] - 1.0, "bearing": G.bearing(x, y)}
+    rounded = (F.when(F.abs(v) < 5e-7, 0.0).otherwise(r6(v)).alias(n) for n, v in numbers.items())
+    out = table(spark, sf, "lineitem").withColumn("m", P.turned_measures(square, degrees))
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", m["hull_size"].cast("int").alias("hull_size"), inside.alias("inside"), *rounded)
 
 
 #: Corners of a rectangle seen from the origin; widest is the largest gap between neighbouring angles.
