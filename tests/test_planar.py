@@ -65,3 +65,35 @@ def test_scenes_are_dealt_once(spark, monkeypatch):
 def scene_count(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("a"), F.max("l_linenumber").alias("b"))
     return li.filter("a = 1 AND b > 1").count()
+
+
+def test_distances_arcs_and_turns_are_those_of_geometry(spark):
+    df = pairs(spark)
+    origin = F.lit(0.5), F.lit(-0.25)
+    got = df.select("i", P.distance(F.col("p"), F.col("q")).alias("apart"), P.around(F.col("p"), *origin, F.col("q"), {"ZONE": F.col("p")}).alias("a"), P.turned_measures(F.col("p"), F.col("i") * 7).alias("m")).collect()
+    turned = G.rotated(F.col("p"), F.col("i") * 7)
+    both = df.filter("size(p) > 0 AND size(q) > 0")
+    want = {r.i: r for r in both.select("i", G.distance(F.col("p"), F.col("q")).alias("apart"), G.occupied_arc(G.point(*origin), F.col("q")).alias("arcs"), G.area(turned).alias("area"), G.centroid(turned).alias("c"), turned[0].alias("first"), F.size(G.hull(F.concat(turned, F.array(G.centroid(turned))))).alias("hull")).collect()}
+    assert len(want) == 122
+    for r in got:
+        if r.i not in want:
+            assert r.apart is None
+            continue
+        w = want[r.i]
+        assert close(r.apart, w.apart) and close(r.a.gap, w.apart) and close(r.a.ZONE, w.apart), r.i
+        assert [w.arcs[0].start, w.arcs[-1].end] == [round(r.a["first"], 1), round(r.a["last"], 1)] and (len(w.arcs) == 2) == (r.a["first"] > r.a["last"])
+        assert all(map(close, (r.m.cx, r.m.cy, r.m.area, r.m.x, r.m.y, r.m.hull_size), (w.c.x, w.c.y, w.area, w.first.x, w.first.y, w.hull))), r.i
+
+
+def test_polygon_measures_leave_the_jvm_once(spark):
+    """No fold over arrays is left, which isn't compiled."""
+    from evalquarry.plans import shape_queries
+
+    plan = shape_queries.polygon_measures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
+
+
+def test_small_scenes_are_joined_without_being_written(spark):
+    """Rows carry their box once, and only large scenes' are checkpointed."""
+    plan = value_queries.convex_polygon_distance(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan and "_box" not in plan
